@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spotframe.llm import clusters
+from spotframe.llm import clusters, leaks, quantiles
 from spotframe.session import cut, table
 
 QUERIES: dict = {}
@@ -46,3 +46,78 @@ def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = runs.join(leaves.select(*_XS, "leaf"), _XS)
     typical = clusters.typical_members(members, _XS).groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("typical_cv_ids"))
     return sizes.join(typical, "leaf")
+
+
+MEASURES = ["volume_um3", "mean_intensity"]
+
+
+def spot_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each spot once: ``measure``, ``condition``, ``marker``, ``acq_day``, ``v``; beads and bad values left out."""
+    rows = table(spark, sf_dir, "foci").select(
+        "focus_id", "ingested_at", "is_bead", F.lower(F.trim("condition")).alias("condition"), F.lower(F.trim("marker")).alias("marker"), F.to_date("acquired_at").alias("day"), *MEASURES
+    )
+    # copies are equal but for ingested_at; the latest holds, then the greatest values
+    w = Window.partitionBy("focus_id").orderBy(F.col("ingested_at").desc(), *[F.col(m).desc() for m in MEASURES], "condition", "marker", "day", "is_bead")
+    once = rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1 AND NOT is_bead AND condition IS NOT NULL")
+    long = once.select("condition", "marker", "day", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in MEASURES])).alias("x"))
+    return long.select("x.measure", "condition", "marker", F.date_format("day", "yyyy-MM-dd").alias("acq_day"), "x.v").where("v IS NOT NULL AND NOT isnan(v) AND v >= 0 AND v < double('Infinity')")
+
+
+_GROUPS = ["measure", "condition", "marker"]
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days whose percentile is 1.5 times off that of all days of the condition and marker."""
+    day, whole = quantiles.percentiles(cut(spot_values(spark, sf_dir)), [[*_GROUPS, "acq_day"], _GROUPS], "v", [50, 90])
+    whole = whole.select(*_GROUPS, "pct", F.col("value").alias("overall"))
+    off = (F.col("value") >= 1.5 * F.col("overall")) | (F.col("value") <= F.col("overall") / 1.5)
+    return day.where("size >= 20").join(whole, [*_GROUPS, "pct"]).where(off).select("measure", "pct", "condition", "marker", "acq_day")
+
+
+_P4 = """
+WITH one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY focus_id ORDER BY ingested_at DESC, volume_um3 DESC, mean_intensity DESC) AS rn FROM foci) WHERE rn = 1),
+v AS (
+  SELECT m AS measure, lower(trim(condition)) AS condition, lower(trim(marker)) AS marker, strftime(acquired_at, '%Y-%m-%d') AS acq_day,
+         CAST(CASE m WHEN 'volume_um3' THEN volume_um3 ELSE mean_intensity END AS DOUBLE) AS v
+  FROM one, (VALUES ('volume_um3'), ('mean_intensity')) AS t(m) WHERE NOT is_bead AND condition IS NOT NULL),
+ok AS (SELECT * FROM v WHERE v IS NOT NULL AND NOT isnan(v) AND v >= 0 AND NOT isinf(v)),
+p AS (SELECT unnest([50, 90]) AS pct),
+whole AS (SELECT measure, pct, condition, marker, count(*) AS size, CASE pct WHEN 50 THEN quantile_cont(v, 0.5) ELSE quantile_cont(v, 0.9) END AS value FROM ok, p GROUP BY measure, pct, condition, marker),
+day AS (SELECT measure, pct, condition, marker, acq_day, count(*) AS size, CASE pct WHEN 50 THEN quantile_cont(v, 0.5) ELSE quantile_cont(v, 0.9) END AS value FROM ok, p GROUP BY measure, pct, condition, marker, acq_day)
+"""
+SQL["p4_found"] = _P4 + """
+SELECT d.measure, CAST(d.pct AS INT) AS pct, d.condition, d.marker, d.acq_day FROM day d JOIN whole w USING (measure, pct, condition, marker)
+WHERE d.size >= 20 AND (d.value >= 1.5 * w.value OR d.value <= w.value / 1.5)"""
+
+
+@query
+def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact p5, p25, p50, p75 and p95 of both measures per condition and marker over all days."""
+    out = quantiles.percentiles(cut(spot_values(spark, sf_dir)), [[*_GROUPS, "acq_day"], _GROUPS], "v", [5, 25, 50, 75, 95])[1]
+    return out.withColumn("value", F.round("value", 6))
+
+
+SQL["p4_percentiles"] = _P4 + """
+, q AS (SELECT measure, condition, marker, count(*) AS size, quantile_cont(v, [0.05, 0.25, 0.5, 0.75, 0.95]) AS qs FROM ok GROUP BY ALL)
+SELECT measure, condition, marker, size, CAST(unnest([5, 25, 50, 75, 95]) AS INT) AS pct, round(unnest(qs), 6) AS value FROM q"""
+
+
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and items that share 13 consecutive words."""
+    found = leaks.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.where("edits = 0 AND words >= 13").select("doc_id", "item_id")
+
+
+@query
+def p7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passages within one edit in 13 words, with their places."""
+    return leaks.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+@query
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per leaked item: the documents that hold it, and those that hold 13 words unchanged."""
+    found = p7_passages(spark, sf_dir)
+    return found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.count_if(F.col("edits") == 0).alias("n_docs_exact"), F.max("n_windows").alias("most_windows"))
