@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spotframe.llm import clusters, leaks, quantiles
+from spotframe.llm import clusters, leaks, packing, quality, quantiles
 from spotframe.session import cut, table
 
 QUERIES: dict = {}
@@ -121,3 +121,81 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per leaked item: the documents that hold it, and those that hold 13 words unchanged."""
     found = p7_passages(spark, sf_dir)
     return found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.count_if(F.col("edits") == 0).alias("n_docs_exact"), F.max("n_windows").alias("most_windows"))
+
+
+@query
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's statistics with the reasons of the rules it fails."""
+    return quality.text_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+
+
+@query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are mostly list, table or junk."""
+    return p8_statistics(spark, sf_dir).where("kind IS NOT NULL").select("doc_id", "kind")
+
+
+@query
+def p8_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents of each source fail each rule."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    stats = p8_statistics(spark, sf_dir).select("doc_id", F.explode("reasons").alias("reason"))
+    return stats.join(docs, "doc_id").groupBy("source", "reason").agg(F.count("*").alias("n_docs"))
+
+
+def _capacities(spark: SparkSession, sf_dir: str, most: int = 100) -> list[int]:
+    """The containers' capacities; a few kinds by their nature, more than ``most`` is an error."""
+    rows = table(spark, sf_dir, "containers").select("capacity").where("capacity > 0").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} capacities")
+    return sorted(r[0] for r in rows)
+
+
+def _packed(items: DataFrame, capacities: list[int]) -> DataFrame:
+    parts = [packing.pack(items, c).withColumn("capacity", F.lit(c)) for c in capacities]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _word_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return cut(docs.select(F.col("doc_id").alias("id"), packing.word_tokens(F.col("text")).alias("n_tokens")))
+
+
+@query
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its container, for each capacity."""
+    return _packed(_word_items(spark, sf_dir), _capacities(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the packing had to split, per capacity."""
+    split = p6_containers(spark, sf_dir).where("container IS NOT NULL AND n_pieces > 1 AND piece = 0")
+    return split.select("doc_id", F.col("capacity").cast("int").alias("capacity"))
+
+
+SQL["p6_found"] = r"""
+SELECT doc_id, capacity FROM documents, containers
+WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{85}]+')) > capacity"""
+
+
+@query
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capacity: containers, tokens and the share of room that is used."""
+    packed = p6_containers(spark, sf_dir)
+    return packed.groupBy("capacity").agg(F.countDistinct("container").alias("n_containers"), F.sum("length").alias("n_tokens")).withColumn("fill", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")), 4))
+
+
+#: Fixed value: the pre-tokenising pattern of the byte-level vocabulary.
+BYTE_BPE_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+@query
+def p6_bpe_fill(spark: SparkSession, sf_dir: str, ranks_path: str = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    """As p6_fill, with sizes in tokens of a public byte-level vocabulary."""
+    items = cut(packing.bpe_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", ranks_path, BYTE_BPE_PATTERN))
+    packed = _packed(items, _capacities(spark, sf_dir))
+    return packed.groupBy("capacity").agg(F.countDistinct("container").alias("n_containers"), F.sum("length").alias("n_tokens")).withColumn("fill", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")), 4))
