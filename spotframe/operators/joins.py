@@ -24,14 +24,19 @@ def range_lookup(df: DataFrame, value: str, ranges: DataFrame, low: str, high: s
     return df.join(first, F.col(value).cast("long") == F.col("_at"), "left").select(*df.columns, *[F.col(f"_hit.{k}").alias(k) for k in keep])
 
 
-def first_zone(points: DataFrame, point: str, zones: DataFrame, low: str, high: str, order: str, value: str, key: list[str]) -> DataFrame:
-    """``points`` with ``value`` of the first zone (by ``order``) of the same key that holds the point; a zone of -1 drops it."""
-    rows = zones.select(*[F.col(k).alias(f"z_{k}") for k in key], F.struct(F.col(order).alias("o"), F.col(low).alias("l"), F.col(high).alias("h"), F.col(value).alias("v")).alias("z"))
-    lists = rows.groupBy(*[f"z_{k}" for k in key]).agg(F.array_sort(F.collect_list("z")).alias("_zones"))
-    on = reduce(and_, [F.col(k) == F.col(f"z_{k}") for k in key])
-    hit = F.try_element_at(F.filter("_zones", lambda r: (r["l"] <= F.col(point)) & (F.col(point) <= r["h"])), F.lit(1))
-    out = points.join(lists, on, "left").withColumn(value, hit["v"])
-    return out.where(F.col(value).isNull() | (F.col(value) != -1)).select(*points.columns, value)
+def first_zone(points: DataFrame, ident: list[str], point: str, zones: DataFrame, key: list[str], low: str, high: str, order: list[str], value: str, width: float) -> DataFrame:
+    """``points`` with ``value`` of the first zone (by ``order``) of the same key that holds the point, both ends included.
+
+    A first zone of -1 drops the point; a point in no zone keeps NULL. Points and zones meet in
+    bins of ``width``, so a key of any size is spread over its bins. ``ident`` tells the points
+    apart.
+    """
+    z = zones.where(F.col(low) <= F.col(high)).select(*[F.col(k).alias(f"z_{k}") for k in key], F.struct(*order, F.col(value).alias("_v")).alias("_z"), F.col(low).alias("_l"), F.col(high).alias("_h"))
+    z = z.withColumn("_c", F.explode(F.sequence(F.floor(F.col("_l") / width), F.floor(F.col("_h") / width))))
+    on = reduce(and_, [F.col(k) == F.col(f"z_{k}") for k in key]) & (F.floor(F.col(point) / width) == F.col("_c")) & (F.col("_l") <= F.col(point)) & (F.col(point) <= F.col("_h"))
+    first = points.join(z, on).groupBy(*ident).agg(F.min("_z").alias("_z")).select(*ident, F.col("_z._v").alias(value))
+    out = points.join(first, ident, "left")
+    return out.where(F.col(value).isNull() | (F.col(value) != -1))
 
 
 def overlap_pairs(df: DataFrame, key: list[str], ident: str, start: str, end: str, width: int) -> DataFrame:
@@ -96,11 +101,11 @@ def nearest_group(groups: DataFrame, key: str, ident: str, low: str, high: str,
     """
     width = float(limit)
     a = groups.where(~F.col(anchor)).select(F.col(key), F.col(ident), F.col(low).alias("_l"), F.col(high).alias("_h"))
-    b = groups.where(F.col(anchor)).select(F.col(key).alias("_k"), F.col(ident).alias("nearest"), F.col(low).alias("_bl"), F.col(high).alias("_bh"))
+    b = groups.where(F.col(anchor)).select(F.col(key).alias("_anchor_key"), F.col(ident).alias("nearest"), F.col(low).alias("_bl"), F.col(high).alias("_bh"))
     a = a.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_l") / width) - 1, F.floor(F.col("_h") / width) + 1)))
     b = b.withColumn("_c", F.explode(F.sequence(F.floor(F.col("_bl") / width), F.floor(F.col("_bh") / width))))
     gap = F.greatest(F.lit(0), F.greatest("_l", "_bl") - F.least("_h", "_bh"))
-    pairs = a.join(b, (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_c"))).withColumn("gap", gap).where(F.col("gap") <= limit)
+    pairs = a.join(b, (F.col(key) == F.col("_anchor_key")) & (F.col("_b") == F.col("_c"))).withColumn("gap", gap).where(F.col("gap") <= limit)
     return pairs.groupBy(key, ident).agg(F.min(F.struct("gap", "nearest")).alias("m")).select(key, ident, F.col("m.nearest").alias("nearest"), F.col("m.gap").alias("gap"))
 
 
