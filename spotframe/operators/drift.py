@@ -163,11 +163,12 @@ def changes(catalogue: dict[str, DataFrame]) -> DataFrame:
 def alias_table(catalogue: dict[str, DataFrame], log: DataFrame, most: int = 5000) -> dict[str, tuple[str, str]]:
     """path -> (canonical path, type) of one stream, from the renames.
 
-    Names linked by renames share one canonical name, the one that opens the most series. The
-    table is schema, not data; more than ``most`` names is an error.
+    Names linked by renames share one canonical name, the one that opens the most series, with
+    the type it first has in most of them. The table is schema, not data; more than ``most`` names is an error.
     """
     paths = catalogue["schema"].groupBy("path").agg(F.count_if(F.col("seq") == 1).alias("first"), F.count("*").alias("n")).limit(most + 1).collect()
-    kinds = catalogue["schema"].groupBy("path", "type").agg(F.count("*").alias("n")).limit(8 * most).collect()
+    opening = catalogue["schema"].groupBy(*_PRODUCER, "path").agg(F.min_by("type", "seq").alias("type"))
+    kinds = opening.groupBy("path", "type").agg(F.count("*").alias("n")).limit(8 * most).collect()
     links = log.where("change = 'renamed'").select("old_path", "new_path").distinct().limit(most + 1).collect()
     if max(len(paths), len(links)) > most:
         raise ValueError(f"more than {most} field names")
@@ -182,11 +183,11 @@ def alias_table(catalogue: dict[str, DataFrame], log: DataFrame, most: int = 500
     for a, b in links:
         x, y = sorted((find(a), find(b)), key=lambda p: weight.get(p, (0, 0, p)))
         root[y] = x
-    votes: dict[tuple[str, str], int] = {}
+    # the type that a canonical name has where it first appears, in most series
+    types: dict[str, tuple[int, str]] = {}
     for p, kind, n in kinds:
-        votes[find(p), kind] = votes.get((find(p), kind), 0) + n
-    types = {p: max((n, k) for (q, k), n in votes.items() if q == p)[1] for p in {q for q, _ in votes}}
-    return {p: (find(p), types[find(p)]) for p in weight}
+        types[p] = max(types.get(p, (0, "")), (n, kind))
+    return {p: (find(p), types[find(p)][1]) for p in weight}
 
 
 def consistent_table(lines: DataFrame, stream: str) -> DataFrame:

@@ -138,4 +138,4 @@ def latest_rows(df: DataFrame, key: list[str], by: str) -> DataFrame:
     on the partitioning. The key's rows are its revisions, a few.
     """
     w = Window.partitionBy(*key).orderBy(F.col(by).desc_nulls_last(), F.xxhash64(*[F.to_json(F.struct("*"))]))
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return df.withColumn("_latest_rank", F.row_number().over(w)).where("_latest_rank = 1").drop("_latest_rank")

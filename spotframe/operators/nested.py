@@ -32,19 +32,19 @@ def state(c: Column, kind: T.DataType) -> Column:
     return F.when(c.isNull(), "0").otherwise("1")
 
 
-def _columns(c: Column, kind: T.StructType, prefix: str = "") -> list[Column]:
+def _columns(c: Column, kind: T.StructType, prefix: str = "") -> list[tuple[str, Column]]:
     """Scalars of an object and of the objects in it, named by their path with ``_``."""
-    out: list[Column] = []
+    out: list[tuple[str, Column]] = []
     for f in kind.fields:
         if isinstance(f.dataType, T.StructType):
             out += _columns(c[f.name], f.dataType, f"{prefix}{f.name}_")
         elif not isinstance(f.dataType, T.ArrayType):
-            out.append(c[f.name].alias(f"{prefix}{f.name}"))
+            out.append((f"{prefix}{f.name}", c[f.name]))
     return out
 
 
-def _shapes(c: Column, kind: T.StructType, prefix: str = "") -> list[Column]:
-    out = [state(c, kind).alias(f"{prefix}shape")]
+def _shapes(c: Column, kind: T.StructType, prefix: str = "") -> list[tuple[str, Column]]:
+    out = [(f"{prefix}shape", state(c, kind))]
     for f in kind.fields:
         if isinstance(f.dataType, T.StructType):
             out += _shapes(c[f.name], f.dataType, f"{prefix}{f.name}_")
@@ -77,17 +77,21 @@ def flat_tables(df: DataFrame, key: str, inherit: dict[str, str] | None = None)
 
     def walk(rows: DataFrame, name: str, kind: T.StructType, keys: list[str], taken: list[str]) -> None:
         c = F.col("_v")
-        columns = [x for x in _columns(c, kind) if x._jc.toString().split(" AS ")[-1].strip("`") != key]
-        out = rows.select(*keys, *taken, *columns, *_shapes(c, kind))
-        tables[name] = out
-        mine = [s for s, where in inherit.items() if where == name]
-        shapes = {n: x for n, x in zip([y for y in out.columns if y.endswith("shape")][-len(_shapes(c, kind)) :], _shapes(c, kind))}
+        shapes = _shapes(c, kind)
+        used, columns = {*keys, *taken, *[n for n, _ in shapes]}, []
+        for n, x in _columns(c, kind):
+            while n in used:
+                n += "_"
+            used.add(n)
+            columns.append(x.alias(n))
+        tables[name] = rows.select(*keys, *taken, *columns, *[x.alias(n) for n, x in shapes])
+        passed = {f"{name or 'record'}_{n}": x for n, x in shapes if inherit.get(n) == name}
         for path, array, element in _arrays(c, kind):
-            child = f"{name}_{path}" if name else path
-            pos = f"{path.split('_')[-1] if path not in ('per_cell_counts',) else path}_pos"
-            passed = [shapes[s].alias(f"{name or 'record'}_{s}") for s in mine]
-            inner = rows.select(*keys, *taken, *passed, F.posexplode(array).alias(pos, "_v"))
-            more = [*taken, *[f"{name or 'record'}_{s}" for s in mine]]
+            pos = f"{path.split('_')[-1]}_pos"
+            while pos in keys or pos in taken:
+                pos += "_"
+            inner = rows.select(*keys, *taken, *[x.alias(n) for n, x in passed.items()], F.posexplode(array).alias(pos, "_v"))
+            child, more = f"{name}_{path}" if name else path, [*taken, *passed]
             if isinstance(element, T.StructType):
                 walk(inner, child, element, [*keys, pos], more)
             else:
