@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotframe.llm.text import DIGIT, LETTER, PUNCT, SYMBOL, UPPER, char_classes, chunks, code_points
+from spotframe.llm.text import DIGIT, FORMAT, LETTER, PUNCT, SYMBOL, UPPER, char_classes, chunks, code_points
 
 #: Characters that begin an entry of a list.
 BULLETS = "•*-–—·◦▪‣●○"
@@ -63,6 +63,10 @@ class Lines:
         cls_of = char_classes()
         whole = "\n".join((t or "").replace("\x00", " ").replace("\r\n", "\n").replace("\r", "\n") for t in texts) + "\n"
         cp = code_points(whole)
+        hidden = cls_of[cp] == FORMAT  # invisible characters count for nothing and part no word
+        if hidden.any():
+            cp = cp[~hidden]
+            whole = cp.tobytes().decode("utf-32-le", "surrogatepass")
         low = code_points(whole.lower())
         if len(low) != len(cp):  # a few capitals lower to two characters
             low = np.array([ord(c.lower()[0]) for c in whole], "uint32")
@@ -244,7 +248,7 @@ def text_quality(docs: DataFrame, common_words: DataFrame, doc_id: str = "doc_id
 
     ``kind`` is ``list``, ``table`` or ``junk`` where more than half of the characters outside
     heading and page lines are of that kind, else NULL. NULL and empty texts have zero counts,
-    fail ``too_few_words`` and have no kind. Whole texts are read; nothing is shuffled. The
+    fail ``too_few_words`` and have no kind; invisible (format) characters count for nothing. Whole texts are read; nothing is shuffled. The
     common words are a dictionary, not data: more than ``most_words`` of them is an error.
     """
     rows = common_words.select(F.lower(word).alias("w")).where("w IS NOT NULL").distinct().limit(most_words + 1).collect()
