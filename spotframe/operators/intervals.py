@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotframe.functions.exprs import coarse_cuts, slot_of
 from spotframe.session import cut
 
 
@@ -75,10 +76,10 @@ def disjoint_intervals(df: DataFrame, key: list[str], slot_rows: int = 200_000)
     large = large.select(*[F.col(c).alias(f"k_{c}") for c in key], "n")
     points = F.percentile_approx("s", [i / 1024 for i in range(1, 1024)], F.lit(10_000))
     hot = lists.join(large, on(large)).groupBy(*[f"k_{c}" for c in key]).agg(points.alias("q"), F.max(F.ceil(F.lit(1024 * slot_rows) / F.col("n"))).alias("step"))
-    hot = hot.withColumn("cuts", F.array_distinct(F.filter("q", lambda _, i: (i + 1) % F.col("step") == 0)))
+    hot = hot.withColumn("cuts", F.array_distinct(F.filter("q", lambda _, i: (i + 1) % F.col("step") == 0))).withColumn("coarse", coarse_cuts(F.col("cuts")))
     slotted = lists.join(hot, on(hot), "left").select(
         *key,
-        F.coalesce(F.size(F.filter("cuts", lambda x: x <= F.col("s"))), F.lit(0)).cast("int").alias("slot"),
+        slot_of(F.col("coarse"), F.col("cuts"), F.col("s"), inclusive=True).alias("slot"),
         "s",
         "e",
     )

@@ -8,6 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotframe.functions.exprs import coarse_cuts, slot_of
 from spotframe.session import cut
 
 
@@ -117,9 +118,8 @@ def running_total(df: DataFrame, group: list[str], order: str, value: str, name:
     """
     cuts = df.groupBy(*group).agg(F.percentile_approx(order, [i / slots for i in range(1, slots)], F.lit(10_000)).alias("_cuts"))
     on = lambda p: reduce(and_, [F.col(g).eqNullSafe(F.col(f"{p}{g}")) for g in group])
-    cuts = cuts.select(*[F.col(g).alias(f"c_{g}") for g in group], F.array_distinct("_cuts").alias("_cuts"))
-    slot = F.size(F.filter("_cuts", lambda x: x < F.col(order)))
-    rows = df.join(cuts, on("c_"), "left").withColumn("_slot", slot).select(*df.columns, "_slot")
+    cuts = cuts.select(*[F.col(g).alias(f"c_{g}") for g in group], F.array_distinct("_cuts").alias("_cuts")).withColumn("_coarse", coarse_cuts(F.col("_cuts")))
+    rows = cut(df.join(cuts, on("c_"), "left").withColumn("_slot", slot_of(F.col("_coarse"), F.col("_cuts"), F.col(order))).select(*df.columns, "_slot"))
     sums = rows.groupBy(*group, "_slot").agg(F.sum(value).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*[F.col(g).alias(f"s_{g}") for g in group], F.col("_slot").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))

@@ -29,7 +29,7 @@ def rank_statistics(long: DataFrame, control: str, features: list[str]) -> DataF
     mine = counts.where(F.col("grp") != control)
     # every distinct value of the group or of the control, once per group
     both = mine.select(*features, "grp", "value", "n", F.lit(0).cast("long").alias("nc")).unionByName(groups.join(ctrl, features).select(*features, "grp", "value", F.lit(0).cast("long").alias("n"), "nc"))
-    both = both.groupBy(*features, "grp", "value").agg(F.sum("n").alias("n"), F.sum("nc").alias("nc"))
+    both = cut(both.groupBy(*features, "grp", "value").agg(F.sum("n").alias("n"), F.sum("nc").alias("nc")))
     both = running_total(both, [*features, "grp"], "value", "nc", "below")
     t = F.col("n") + F.col("nc")
     out = both.groupBy(*features, "grp").agg(
@@ -40,7 +40,7 @@ def rank_statistics(long: DataFrame, control: str, features: list[str]) -> DataF
     )
     na, nb = F.col("na").cast("double"), F.col("nb").cast("double")
     n = na + nb
-    var = na * nb / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1)))
+    var = na * nb / 12.0 * ((n + 1) - F.coalesce(F.try_divide("ties", n * (n - 1)), F.lit(0.0)))
     enough = (F.col("na") >= 3) & (F.col("nb") >= 3)
     dev = F.col("u") - na * nb / 2.0
     z = F.signum(dev) * F.greatest(F.abs(dev) - 0.5, F.lit(0.0)) / F.sqrt(var)
@@ -100,7 +100,11 @@ def correlation_matrix(df: DataFrame, group: list[str], features: list[str]) ->
     Pairs without spread in one of the two are left out.
     """
     good = lambda f: F.when(~F.isnan(f), F.col(f).cast("double"))
-    aggs = [F.corr(F.when(good(b).isNotNull(), good(a)), F.when(good(a).isNotNull(), good(b))).alias(f"{i}_{j}") for i, a in enumerate(features) for j, b in enumerate(features) if i <= j]
+    def pair(a: str, b: str) -> Column:
+        x, y = F.when(good(b).isNotNull(), good(a)), F.when(good(a).isNotNull(), good(b))
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+    aggs = [pair(a, b).alias(f"{i}_{j}") for i, a in enumerate(features) for j, b in enumerate(features) if i <= j]
     wide = df.groupBy(*group).agg(*aggs)
     cells = [F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(f"{min(i, j)}_{max(i, j)}").alias("r")) for i, a in enumerate(features) for j, b in enumerate(features)]
     return wide.select(*group, F.explode(F.array(*cells)).alias("_x")).select(*group, "_x.*").where("r IS NOT NULL AND NOT isnan(r)")

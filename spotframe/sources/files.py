@@ -16,7 +16,7 @@ NUCLEUS_SCHEMA = "label long, volume_vox long, volume_um3 double, circularity do
 
 def read_delimited(spark: SparkSession, paths: str | list[str], schema: str, sep: str = ",", strip_bom: str | None = None) -> DataFrame:
     """CSV or TSV with a header and a given schema; empty files give no rows. ``strip_bom`` names a text column to clean."""
-    df = spark.read.schema(schema).option("header", True).option("sep", sep).csv(paths)
+    df = spark.read.schema(schema).option("header", True).option("sep", sep).option("escape", '"').csv(paths)
     return df.withColumn(strip_bom, F.trim(F.regexp_replace(strip_bom, "^﻿|\r$", ""))) if strip_bom else df
 
 
@@ -30,7 +30,7 @@ def read_cards(spark: SparkSession, path: str) -> DataFrame:
 
     Files without front matter and files whose names begin with ``_`` drop out.
     """
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path).select(F.input_file_name().alias("path"), F.regexp_replace("value", "\r\n", "\n").alias("value"))
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.input_file_name().alias("path"), F.regexp_replace("value", "\r\n", "\n").alias("value"))
     head, field = F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---\n?", 1), lambda n: F.trim(F.regexp_extract("head", rf"(?m)^{n}:\s*(.*)$", 1))
     items = lambda n: F.filter(F.transform(F.split(F.regexp_replace(field(n), r"^\[|\]$", ""), ","), lambda x: F.trim(x)), lambda x: x != "")
     slug = F.regexp_extract("path", r"([^/]+)\.md$", 1)
@@ -46,14 +46,14 @@ def card_lookup(cards: DataFrame) -> DataFrame:
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """``header``, ``sequence``: records split at ``>``, line breaks taken out."""
-    rows = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
+    rows = spark.read.text(path, lineSep=">").where(F.length(F.trim("value")) > 0)
     parts = F.split("value", "\n", 2)
     return rows.select(F.trim(parts[0]).alias("header"), F.regexp_replace(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")), r"\s+", "").alias("sequence"))
 
 
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     """Movie sidecars: ``path``, ``width``, ``height``, ``n_frames``, ``little``; a missing field is an error when read."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
 
     def need(pattern: str, group: int) -> Column:
         got = F.regexp_extract("value", pattern, group)
