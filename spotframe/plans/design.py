@@ -17,7 +17,8 @@ R = F.round
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest revision of each feature with ordered bounds, one spelling of chr, and no NULL bound."""
-    rows = intervals.latest_rows(table(spark, sf_dir, "coordinates_v2"), ["panel_id", "name"], "updated_at")
+    narrow = table(spark, sf_dir, "coordinates_v2").select("panel_id", "name", "type", "chr", "strand", "rna_start", "rna_end", "dna_start", "dna_end", "tss_used", "note", "updated_at")
+    rows = intervals.latest_rows(narrow, ["panel_id", "name"], "updated_at")
     two = lambda a, b: (F.least(a, b), F.greatest(a, b))
     (rs, re), (ds, de) = two("rna_start", "rna_end"), two("dna_start", "dna_end")
     ok = F.col("rna_start").isNotNull() & F.col("rna_end").isNotNull() & F.col("dna_start").isNotNull() & F.col("dna_end").isNotNull()

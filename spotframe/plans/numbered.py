@@ -70,16 +70,20 @@ SELECT panel_id, chr, count(*) AS n_stretches, CAST(sum(e - s) AS BIGINT) AS cov
 FROM g GROUP BY 1, 2"""
 
 
-def round_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Flat tables of the latest version of each round; cells keep their trial's params shape."""
-    rows = intervals.latest_rows(table(spark, sf_dir, "rounds"), ["round_id"], "logged_at")
+def round_tables(spark: SparkSession, sf_dir: str, *columns: str) -> dict[str, DataFrame]:
+    """Flat tables of the latest version of each round; cells keep their trial's params shape.
+
+    With ``columns`` only those are read, and versions that tie are told apart by those alone.
+    """
+    rows = table(spark, sf_dir, "rounds")
+    rows = intervals.latest_rows(rows.select("round_id", "logged_at", *columns) if columns else rows, ["round_id"], "logged_at")
     return nested.flat_tables(rows, "round_id", inherit={"metrics_params_shape": "trials"})
 
 
 @query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the trials whose params variant carries a threshold."""
-    cells = round_tables(spark, sf_dir)["trials_metrics_cells"]
+    cells = round_tables(spark, sf_dir, "trials")["trials_metrics_cells"]
     keep = nested.has_field(F.col("trials_metrics_params_shape"), "threshold") & (F.col("shape") != "0")
     return cells.where(keep).select("round_id", F.col("trials_pos").alias("trial_pos"), F.col("cells_pos").alias("cell_pos"))
 
@@ -97,7 +101,7 @@ SELECT round_id, CAST(trial_pos AS INT) AS trial_pos, CAST(cell_pos AS INT) AS c
 @query
 def p5_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of trials: every element with its link, its scores and its params."""
-    t = round_tables(spark, sf_dir)["trials"]
+    t = round_tables(spark, sf_dir, "trials")["trials"]
     return t.select("round_id", F.col("trials_pos").alias("trial_pos"), F.col("trial").cast("double").alias("trial"), "score", "metrics_valid", "metrics_score", "metrics_params_threshold", "metrics_params_levels", (F.col("shape") == "0").alias("is_null"))
 
 
@@ -109,7 +113,7 @@ SELECT round_id, CAST(trial_pos AS INT) AS trial_pos, CAST(x.trial AS DOUBLE) AS
 @query
 def p5_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of the cells' flags, three arrays deep, with the links to its parents."""
-    t = round_tables(spark, sf_dir)["trials_metrics_cells_flags"]
+    t = round_tables(spark, sf_dir, "trials")["trials_metrics_cells_flags"]
     return t.select("round_id", F.col("trials_pos").alias("trial_pos"), F.col("cells_pos").alias("cell_pos"), F.col("flags_pos").alias("flag_pos"), F.col("value").alias("flag"))
 
 

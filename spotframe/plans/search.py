@@ -16,6 +16,7 @@ R = F.round
 
 
 def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest version of each round."""
     return intervals.latest_rows(table(spark, sf_dir, "rounds"), ["round_id"], "logged_at")
 
 
