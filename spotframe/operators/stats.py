@@ -116,13 +116,35 @@ def composition(df: DataFrame, group: str, token: str) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(group)))
 
 
-def robust_noise(df: DataFrame, group: list[str], value: str, accuracy: int | None = None) -> DataFrame:
+def group_percentiles(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """``group`` and one column per name of ``shares``: exact percentiles with linear interpolation.
+
+    For groups of any size: rows are counted per distinct value with map-side combining, running
+    counts come in slots, and only the two values around each rank are kept, so no task holds a
+    group's values. NULL and NaN don't count; NULL group keys form groups.
+    """
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*group, F.col(value).cast("double").alias("_v"))
+    counts = cut(rows.groupBy(*group, "_v").agg(F.count("*").alias("_n")))
+    run = running_total(counts, group, "_v", "_n", "_upto")
+    sizes = counts.groupBy(*group).agg((F.sum("_n") - 1).alias("_last"))
+    want = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), (F.col("_last") * F.lit(float(p))).alias("place")) for n, p in shares.items()])).alias("_w")
+    want = sizes.select(*[F.col(g).alias(f"w_{g}") for g in group], want).select(*[f"w_{g}" for g in group], "_w.*")
+    at = (F.floor("place") < F.col("_upto")) & (F.ceil("place") >= F.col("_upto") - F.col("_n"))
+    for g in group:
+        at = at & F.col(g).eqNullSafe(F.col(f"w_{g}"))
+    both = run.join(F.broadcast(want) if not group else want, at).groupBy(*group, "name", "place").agg(F.min("_v").alias("a"), F.max("_v").alias("b"))
+    x = F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - F.floor("place"))
+    return both.groupBy(*group).agg(*[F.max(F.when(F.col("name") == n, x)).alias(n) for n in shares])
+
+
+def robust_noise(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """``median``, ``mad`` (x 1.4826, of values at or below the median, at least 1) and ``snr`` = (p99 - median) / mad.
 
     Two passes of percentiles per group.
     """
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*group, F.col(value).cast("double").alias("_v"))
-    first = rows.groupBy(*group).agg(F.percentile("_v", F.lit(0.5)).alias("median"), F.percentile("_v", F.lit(0.99)).alias("p99"))
-    dev = rows.join(first, group).where(F.col("_v") <= F.col("median")).groupBy(*group).agg(F.percentile(F.abs(F.col("_v") - F.col("median")), F.lit(0.5)).alias("_d"))
+    rows = cut(df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*group, F.col(value).cast("double").alias("_x")))
+    first = cut(group_percentiles(rows, group, "_x", {"median": 0.5, "p99": 0.99}))
+    low = rows.join(first, group).where(F.col("_x") <= F.col("median")).select(*group, F.abs(F.col("_x") - F.col("median")).alias("_dev"))
+    dev = group_percentiles(low, group, "_dev", {"_d": 0.5})
     mad = F.greatest(F.col("_d") * 1.4826, F.lit(1.0))
     return first.join(dev, group).select(*group, "median", mad.alias("mad"), ((F.col("p99") - F.col("median")) / mad).alias("snr"))

@@ -196,7 +196,7 @@ def differential_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Effect size, p, adjusted p and both medians per condition and feature."""
     v = cut(condition_values(spark, sf_dir))
     s = stats.rank_statistics(v, "control", ["marker", "feature"]).withColumn("p", stats.two_sided_p("z"))
-    med = v.groupBy("marker", "feature", "grp").agg(F.percentile("value", F.lit(0.5)).alias("median_cond"))
+    med = cut(stats.group_percentiles(v, ["marker", "feature", "grp"], "value", {"median_cond": 0.5}))
     ctrl = med.where("grp = 'control'").select("marker", "feature", F.col("median_cond").alias("median_ctrl"))
     out = stats.bh_adjust(cut(s), ["grp"], "p").join(med, ["marker", "feature", "grp"]).join(ctrl, ["marker", "feature"])
     return out.select("marker", "feature", "grp", "cliffs_delta", "p", "padj", "median_cond", "median_ctrl")
@@ -274,8 +274,8 @@ def robust_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT focus_id, round(greatest(intensity - bg, 0) + 1e-7, 4) AS signal FROM spots JOIN b USING (fov, marker) WHERE intensity IS NOT NULL""")
 def percentile_background(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signal above the 5th percentile of its field of view and marker, clipped at 0."""
-    s = spots(spark, sf_dir).where("intensity IS NOT NULL").select("focus_id", "fov", "marker", "intensity")
-    bg = s.groupBy("fov", "marker").agg(F.percentile("intensity", F.lit(0.05)).alias("bg"))
+    s = cut(spots(spark, sf_dir).where("intensity IS NOT NULL").select("focus_id", "fov", "marker", "intensity"))
+    bg = stats.group_percentiles(s, ["fov", "marker"], "intensity", {"bg": 0.05})
     return s.join(bg, ["fov", "marker"]).select("focus_id", R(F.greatest(F.col("intensity") - F.col("bg"), F.lit(0.0)) + 1e-7, 4).alias("signal"))
 
 
@@ -283,8 +283,8 @@ def percentile_background(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT marker, round(q[1], 6) AS p5, round(q[2], 6) AS p25, round(q[3], 6) AS p50, round(q[4], 6) AS p75, round(q[5], 6) AS p95 FROM q""")
 def percentile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p5, p25, p50, p75 and p95 of the volume per marker."""
-    q = spots(spark, sf_dir).groupBy("marker").agg(F.percentile("volume", F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)])).alias("q"))
-    return q.select("marker", *[R(F.col("q")[i], 6).alias(f"p{p}") for i, p in enumerate((5, 25, 50, 75, 95))])
+    q = stats.group_percentiles(spots(spark, sf_dir).select("marker", "volume"), ["marker"], "volume", {f"p{p}": p / 100 for p in (5, 25, 50, 75, 95)})
+    return q.select("marker", *[R(f"p{p}", 6).alias(f"p{p}") for p in (5, 25, 50, 75, 95)])
 
 
 @query(f"""WITH {SPOTS}
@@ -336,6 +336,6 @@ def coordinate_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT focus_id, CAST(CASE WHEN q[2] > q[1] THEN round_even(least(greatest((intensity - q[1]) / (q[2] - q[1]), 0), 1) * 255, 0) ELSE 0 END AS INT) AS grey FROM spots JOIN s USING (marker, fov) WHERE intensity IS NOT NULL""")
 def contrast_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intensities stretched between two percentiles to 0..255 per field of view and marker."""
-    s = spots(spark, sf_dir).where("intensity IS NOT NULL").select("focus_id", "marker", "fov", "intensity")
-    q = s.groupBy("marker", "fov").agg(F.percentile("intensity", F.array(F.lit(0.01), F.lit(0.995))).alias("q"))
-    return s.join(q, ["marker", "fov"]).select("focus_id", exprs.stretch(F.col("intensity"), F.col("q")[0], F.col("q")[1]).alias("grey"))
+    s = cut(spots(spark, sf_dir).where("intensity IS NOT NULL").select("focus_id", "marker", "fov", "intensity"))
+    q = stats.group_percentiles(s, ["marker", "fov"], "intensity", {"low": 0.01, "high": 0.995})
+    return s.join(q, ["marker", "fov"]).select("focus_id", exprs.stretch(F.col("intensity"), F.col("low"), F.col("high")).alias("grey"))

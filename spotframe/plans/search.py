@@ -108,8 +108,9 @@ def panel_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nuclei(spark, sf_dir).where("nucleus_volume_um3 > 0").select("fov", "nucleus", "nucleus_volume_um3")
     rows = cut(s.join(n, ["fov", "nucleus"]).join(F.broadcast(noise), "marker").select("condition", "marker", "fov", "nucleus", "nucleus_volume_um3", "volume", ((F.col("intensity") - F.col("median")) / F.col("mad")).alias("contrast"), "snr"))
     cells = rows.groupBy("condition", "marker", "fov", "nucleus", "nucleus_volume_um3").agg(F.count("*").alias("count"), (F.sum("volume") / F.col("nucleus_volume_um3")).alias("fill"), F.count("*").alias("n_vols"), F.count_if(F.col("volume") < 0.01).alias("tiny"), F.count_if(F.col("volume") > 0.05 * F.col("nucleus_volume_um3")).alias("huge"))
-    spot = rows.groupBy("condition", "marker").agg(F.percentile("volume", F.lit(0.5)).alias("median_vol"), F.percentile("contrast", F.lit(0.5)).alias("median_contrast"), F.max("snr").alias("snr"))
-    return search.proxy_score(cells, ["condition", "marker"]).join(spot, ["condition", "marker"])
+    by = ["condition", "marker"]
+    spot = stats.group_percentiles(rows, by, "volume", {"median_vol": 0.5}).join(stats.group_percentiles(rows, by, "contrast", {"median_contrast": 0.5}), by)
+    return search.proxy_score(cells, by).join(spot, by).join(rows.groupBy(*by).agg(F.max("snr").alias("snr")), by)
 
 
 _M = f"""WITH {SPOTS}, {NUCLEI}, m0 AS (SELECT marker, median(intensity) AS med, quantile_cont(intensity, 0.99) AS p99 FROM spots GROUP BY 1),

@@ -123,3 +123,15 @@ def test_convergence_and_halving(spark):
     assert {(r.arm, r["round"]): r.converging for r in search.convergence(b, ["arm"]).collect()} == {("a", 1): True, ("a", 2): False, ("a", 3): True, ("b", 1): True, ("b", 2): True}
     r = spark.createDataFrame([(1, 2, 0.5, 0.1), (2, 2, 0.5, 0.9), (3, 2, None, 0.9), (4, 2, 0.4, None)], "i int, round int, s double, c double").withColumn("run", F.lit("r"))
     assert {x.i: (x.rk, x.keep) for x in search.halving(r, ["run"], "s", "c", "i").collect()} == {2: (1, True), 1: (2, True), 4: (3, True), 3: (4, False)}
+
+
+def test_group_percentiles(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(30) / 4) for _ in range(200)] + [("one", 2.0), ("a", None), ("a", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.p0, r.p33, r.p100) for r in stats.group_percentiles(df, ["g"], "v", {"p0": 0.0, "p33": 0.333, "p100": 1.0}).collect()}
+    assert set(got) == {"a", "b", None, "one"}
+    for g, q in got.items():
+        x = [v for h, v in rows if h == g and v is not None and v == v]
+        assert q == pytest.approx(tuple(np.percentile(x, [0, 33.3, 100])))
+    assert stats.group_percentiles(df.limit(0), ["g"], "v", {"p": 0.5}).count() == 0
