@@ -3,9 +3,9 @@
 Only a text longer than the capacity is split, into pieces of exactly the capacity and one rest.
 The histogram of piece lengths over all data has at most ``capacity`` entries, so it is the one
 thing the driver sees. On it, dynamic programming chooses the bucket boundaries that minimise
-padding; then a plan is made for counts of equal lengths, not for items: bucket by bucket from
-the longest, pieces first use up room left in open containers, the tightest fit first, and then
-open new ones by token budget. An item takes its place in the plan by its length and its rank
+padding; then a plan is made for counts of equal lengths, not for items: the pieces of a bucket
+form batches by token budget among themselves, and the shortest buckets, as many as it takes, use
+up the room that these leave, the tightest fit first. An item takes its place in the plan by its length and its rank
 among the items of that length; ranks come from salted counts, so a length that a third of all
 items share is spread over all tasks.
 """
@@ -62,52 +62,77 @@ def bucket_boundaries(lengths: np.ndarray, counts: np.ndarray, capacity: int, bu
     """Upper bounds of at most ``buckets`` length buckets with the least padding, by dynamic programming.
 
     An item of bucket b is padded to b; the last bound is the largest length.
-    The plain recurrence over the candidates, one bucket more per round.
+    The plain recurrence over all distinct lengths, one bucket more per round. A start of the last
+    bucket is a line in its bound, with slopes that fall and bounds that grow, so the least one
+    moves forward along their lower hull and a round takes linear time.
     """
     order = np.argsort(lengths)
-    x, c = lengths[order].astype("float64"), counts[order].astype("float64")
-    if len(x) > 1024:  # boundaries are chosen among 1024 candidates at equal shares of the tokens
-        share = np.cumsum(x * c)
-        pick = np.unique(np.searchsorted(share, np.linspace(share[-1] / 1024, share[-1], 1024)).clip(0, len(x) - 1))
-    else:
-        pick = np.arange(len(x))
-    upper = x[pick]
-    n, t = np.r_[0, np.cumsum(c)][np.r_[0, pick + 1]], np.r_[0, np.cumsum(x * c)][np.r_[0, pick + 1]]
-    m = len(pick)
-    # cost[i, j]: candidates i..j-1 in one bucket
-    best = np.full(m + 1, np.inf)
-    best[0] = 0
+    upper = [int(v) for v in lengths[order]]
+    n = [0, *np.cumsum(counts[order]).tolist()]
+    t = [0, *np.cumsum(lengths[order] * counts[order]).tolist()]
+    m = len(upper)
+    best: list[int | None] = [0] + [None] * m  # of the first j lengths; None: not possible
     choice = []
     for _ in range(buckets):
-        new, arg = np.full(m + 1, np.inf), np.zeros(m + 1, "int64")
-        new[0] = 0
+        new, arg = [0] + [None] * m, [0] * (m + 1)
+        hull: list[tuple[int, int, int]] = []  # slope, value at 0, start
+        at = 0
         for j in range(1, m + 1):
-            cost = best[:j] + upper[j - 1] * (n[j] - n[:j]) - (t[j] - t[:j])
-            arg[j] = cost.argmin()
-            new[j] = cost[arg[j]]
+            if best[j - 1] is not None:
+                k, v = -n[j - 1], best[j - 1] + t[j - 1]
+                while len(hull) > 1 and (v - hull[-2][1]) * (hull[-2][0] - hull[-1][0]) <= (hull[-1][1] - hull[-2][1]) * (hull[-2][0] - k):
+                    hull.pop()
+                hull.append((k, v, j - 1))
+            u, at = upper[j - 1], min(at, len(hull) - 1)
+            while at + 1 < len(hull) and hull[at + 1][0] * u + hull[at + 1][1] <= hull[at][0] * u + hull[at][1]:
+                at += 1
+            new[j] = hull[at][0] * u + hull[at][1] + u * n[j] - t[j]
+            arg[j] = hull[at][2]
         choice.append(arg)
         best = new
     out, j = [], m
     for arg in reversed(choice):
         if j == 0:
             break
-        out.append(int(upper[j - 1]))
-        j = int(arg[j])
+        out.append(upper[j - 1])
+        j = arg[j]
     return sorted(set(out))
 
 
 def packing_plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, boundaries: list[int]) -> pd.DataFrame:
     """Runs: items ``rank_from``..``rank_to`` of a ``length`` go, ``per`` to a container, to containers from ``first``.
 
-    Open containers are held as runs of equal room, by room; a run is cut where it is used in
-    part. The number of runs depends on the distinct lengths, not on the items.
+    The items of a bucket form batches of at most ``capacity`` tokens among themselves; then the
+    shortest buckets, which are held back, fill the room that these leave, bucket by bucket. So
+    many are held back as give the fewest containers, and of equal plans the fewest. Open
+    containers are held as runs of equal room, by room; a run is cut where it is used in part. The
+    number of runs depends on the distinct lengths, not on the items.
     """
-    edges = np.array([0, *boundaries])
-    bucket = np.searchsorted(edges, lengths, "left")
-    rooms: list[tuple[int, int, int]] = []  # room, first container, containers; sorted
-    rows, fresh = [], 0
-    for i in np.lexsort((-lengths, -bucket)):
-        length, left, rank = int(lengths[i]), int(counts[i]), 0
+    bucket = np.searchsorted(np.array(boundaries), lengths, "left")
+    members = [sorted(((int(lengths[i]), int(counts[i])) for i in np.flatnonzero(bucket == b)), reverse=True) for b in range(len(boundaries))]
+    least, plan, rooms, fresh = None, [], [], 0
+    batches, left = [], []  # of the buckets that aren't held back
+    for held in range(len(boundaries) - 1, -1, -1):
+        rows, more, fresh = _batches(members[held], capacity, [], fresh)
+        batches, left = batches + rows, sorted(left + more)
+        rows, rooms, end = [], left, fresh
+        for b in range(held - 1, -1, -1):
+            filled, rooms, end = _batches(members[b], capacity, rooms, end)
+            rows += filled
+        if least is None or end <= least:
+            least, plan = end, batches + rows
+    return pd.DataFrame(plan, columns=["length", "rank_from", "rank_to", "per", "first"])
+
+
+def _batches(members: list[tuple[int, int]], capacity: int, rooms: list[tuple[int, int, int]], fresh: int) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]], int]:
+    """Runs of ``members`` (length, items; longest first), the rooms left and the next new container.
+
+    Items go to the tightest of ``rooms`` (room, first container, containers; sorted), else to new
+    containers from ``fresh``.
+    """
+    rows, rooms = [], list(rooms)
+    for length, left in members:
+        rank = 0
         while left:
             k = bisect_left(rooms, (length, -1, -1))
             if k < len(rooms):
@@ -125,7 +150,7 @@ def packing_plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, boundar
                 insort(rooms, (room, first + use, n - use))
             if room - per * length > 0:
                 insort(rooms, (room - per * length, first, use))
-    return pd.DataFrame(rows, columns=["length", "rank_from", "rank_to", "per", "first"])
+    return rows, rooms, fresh
 
 
 def pieces(items: DataFrame, capacity: int) -> DataFrame:

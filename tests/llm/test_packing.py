@@ -69,3 +69,42 @@ def test_same_result_for_any_partitioning(spark):
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "id long, n_tokens long"), 10).count() == 0
+
+
+def test_boundaries_among_all_lengths():
+    rng = np.random.default_rng(5)
+    lengths = np.arange(1, 1501)
+    counts = rng.integers(1, 3, 1500)
+    best = np.r_[0, np.full(1500, np.inf)]
+    n, t = np.r_[0, np.cumsum(counts)], np.r_[0, np.cumsum(lengths * counts)]
+    for _ in range(4):
+        best = np.array([0, *[(best[:j] + lengths[j - 1] * (n[j] - n[:j]) - (t[j] - t[:j])).min() for j in range(1, 1501)]])
+    assert boundaries_cost(lengths, counts, packing.bucket_boundaries(lengths, counts, 2048, 4)) == best[-1]
+
+
+def containers(plan):
+    """Lengths in each container."""
+    out = {}
+    for length, a, b, per, first in plan.itertuples(index=False):
+        for k in range((b - a) // per):
+            out.setdefault(first + k, []).extend([length] * per)
+    return sorted(sorted(v) for v in out.values())
+
+
+def test_boundaries_decide_who_shares_a_container():
+    lengths, counts = np.array([60, 50, 40, 1]), np.array([2, 2, 2, 40])
+    plan = lambda bounds: containers(packing.packing_plan(lengths, counts, 100, bounds))
+    ones = [1] * 40
+    assert plan([60]) == sorted([[50, 50], [40, 60], [40, 60], [1] * 40])
+    # no more containers if only the ones are held back: each bucket's batches are its own
+    assert plan([1, 40, 50, 60]) == sorted([[1] * 20 + [40, 40], [50, 50], [60], [1] * 20 + [60]])
+
+
+def test_no_more_containers_than_best_fit_over_all():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        lengths = np.sort(rng.choice(np.arange(1, 200), 40, replace=False))
+        counts = rng.integers(1, 30, 40)
+        bounds = packing.bucket_boundaries(lengths, counts, 200, 6)
+        n = [len(containers(packing.packing_plan(lengths, counts, 200, b))) for b in (bounds, [int(lengths[-1])])]
+        assert n[0] <= n[1]
