@@ -68,15 +68,17 @@ def nucleus_marker_features(spots: DataFrame, nuclei: DataFrame, markers: list[s
     )
 
 
-def coloc_features(nn: DataFrame, partners: DataFrame, nuclei: DataFrame, radius: float) -> DataFrame:
+def coloc_features(nn: DataFrame, partners: DataFrame, nuclei: DataFrame, radius: float, pair: tuple[str, ...] = ()) -> DataFrame:
     """Per nucleus: share of spots with a partner strictly nearer than ``radius``, median distance, enrichment.
 
     Expected by chance: ``1 - (1 - min(ball / nucleus volume, 1)) ** n_partners``; NULL where it
-    isn't positive. Spots without a distance don't count.
+    isn't positive. Spots without a distance don't count. ``pair``: columns of ``nn`` and
+    ``nuclei`` that tell marker pairs apart; the last is the partner's marker, as in ``partners``.
     """
-    obs = nn.where("nn_dist IS NOT NULL").groupBy("fov", "nucleus").agg(F.avg((F.col("nn_dist") < radius).cast("double")).alias("frac"), F.percentile("nn_dist", F.lit(0.5)).alias("nn_um"))
-    n_b = partners.groupBy("fov", "nucleus").agg(F.count("*").alias("n_partners"))
+    key = ["fov", "nucleus", *pair]
+    obs = nn.where("nn_dist IS NOT NULL").groupBy(*key).agg(F.avg((F.col("nn_dist") < radius).cast("double")).alias("frac"), F.percentile("nn_dist", F.lit(0.5)).alias("nn_um"))
+    n_b = partners.groupBy("fov", "nucleus", *pair[-1:]).agg(F.count("*").alias("n_partners"))
     ball = 4.0 / 3.0 * 3.141592653589793 * radius**3
-    rows = nuclei.join(n_b, ["fov", "nucleus"], "left").join(obs, ["fov", "nucleus"], "left").withColumn("n_partners", F.coalesce("n_partners", F.lit(0)))
+    rows = nuclei.join(n_b, ["fov", "nucleus", *pair[-1:]], "left").join(obs, key, "left").withColumn("n_partners", F.coalesce("n_partners", F.lit(0)))
     expected = 1 - F.pow(1 - F.least(F.lit(ball) / F.col("nucleus_volume_um3"), F.lit(1.0)), F.col("n_partners"))
-    return rows.withColumn("enrich", safe_ratio(F.col("frac"), expected)).select("fov", "nucleus", "n_partners", "frac", "nn_um", "enrich")
+    return rows.withColumn("enrich", safe_ratio(F.col("frac"), expected)).select(*key, "n_partners", "frac", "nn_um", "enrich")

@@ -61,19 +61,23 @@ def nearest(left: DataFrame, right: DataFrame, key: list[str], coords: list[str]
     """``left`` with ``nn_dist``: the distance to the nearest row of ``right`` with an equal key.
 
     Rounds of grid joins with growing cells: a row is settled as soon as its nearest candidate
-    is nearer than the cell is wide, so dense groups never pair all with all, and only rows
-    without a near neighbour go to the wider cells. Beyond the last radius, or with a NULL or
-    NaN coordinate or an empty partner side, ``nn_dist`` is NULL.
+    is within the round's radius, so dense groups never pair all with all, and only rows
+    without a near neighbour go to the wider cells. Rows with none within the last radius are held
+    against all partners of their key. With a NULL or NaN coordinate or an empty partner side,
+    ``nn_dist`` is NULL.
     """
     good = lambda p: reduce(and_, [F.col(f"{p}{c}").isNotNull() & ~F.isnan(f"{p}{c}") for c in coords])
     partner = right.select(*[F.col(k).alias(f"r_{k}") for k in key], *[F.col(c).cast("double").alias(f"r_{c}") for c in coords]).where(good("r_")).distinct()
     rest = left.withColumn("_id", F.struct(*[F.col(k) for k in key], *[F.col(c).cast("double").alias(c) for c in coords])).select("_id").distinct().where(good("_id."))
     found = None
     for r in radii:
-        cells = lambda p: [F.floor(F.col(f"{p}{c}") / r) for c in coords]
-        around = F.explode(F.array(*[F.struct(*[F.lit(d).alias(f"d{i}") for i, d in enumerate(ds)]) for ds in _offsets(len(coords))]))
-        a = rest.withColumn("_d", around).select("_id", *[(c + F.col(f"_d.d{i}")).alias(f"g{i}") for i, c in enumerate(cells("_id."))])
-        b = partner.select("*", *[c.alias(f"h{i}") for i, c in enumerate(cells("r_"))])
+        # a partner stands in the two cells, each way, that what is within r of it can lie in
+        width, reach = 2.01 * r, 1.001 * r
+        open_keys = rest.select(*[F.col(f"_id.{k}").alias(f"r_{k}") for k in key]).distinct()
+        b = partner.join(open_keys, [f"r_{k}" for k in key], "left_semi")
+        for i, c in enumerate(coords):
+            b = b.withColumn(f"h{i}", F.explode(F.sequence(F.floor((F.col(f"r_{c}") - reach) / width), F.floor((F.col(f"r_{c}") + reach) / width))))
+        a = rest.select("_id", *[F.floor(F.col(f"_id.{c}") / width).alias(f"g{i}") for i, c in enumerate(coords)])
         on = reduce(and_, [F.col(f"_id.{k}") == F.col(f"r_{k}") for k in key] + [F.col(f"g{i}") == F.col(f"h{i}") for i in range(len(coords))])
         d2 = reduce(lambda x, y: x + y, [(F.col(f"_id.{c}") - F.col(f"r_{c}")) * (F.col(f"_id.{c}") - F.col(f"r_{c}")) for c in coords])
         near = a.join(b, on).groupBy("_id").agg(F.sqrt(F.min(d2)).alias("nn_dist")).where(F.col("nn_dist") <= r)
@@ -83,17 +87,14 @@ def nearest(left: DataFrame, right: DataFrame, key: list[str], coords: list[str]
         rest = step.where("nn_dist IS NULL").select("_id")
         if rest.isEmpty():
             break
+    else:
+        on = reduce(and_, [F.col(f"_id.{k}") == F.col(f"r_{k}") for k in key])
+        far = reduce(lambda x, y: x + y, [F.pow(F.col(f"_id.{c}") - F.col(f"r_{c}"), F.lit(2.0)) for c in coords])
+        found = found.unionByName(rest.join(partner, on).groupBy("_id").agg(F.sqrt(F.min(far)).alias("nn_dist")))
     out = left.withColumn("_id", F.struct(*[F.col(k) for k in key], *[F.col(c).cast("double").alias(c) for c in coords]))
     return out.join(found, "_id", "left").drop("_id")
 
 
-def _offsets(n: int) -> list[tuple[int, ...]]:
-    out: list[tuple[int, ...]] = [()]
-    for _ in range(n):
-        out = [(*o, d) for o in out for d in (-1, 0, 1)]
-    return out
-
-
 def nearest_group(groups: DataFrame, key: str, ident: str, low: str, high: str, anchor: str, limit: float) -> DataFrame:
     """Each group that is no anchor with the nearest anchor group of its key, within ``limit``.
 

@@ -156,6 +156,67 @@ def coloc_summary_by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("condition").agg(R(F.avg("frac"), 6).alias("frac_mean"), R(F.percentile("frac", F.lit(0.5)), 6).alias("frac_median"), F.count("frac").alias("frac_count"), R(F.percentile("enrich", F.lit(0.5)), 4).alias("enrich_median"))
 
 
+#: Fixed value: the pairs of the co-localization summaries.
+PAIRS = [("Brd4", "Pol2"), ("Pol2", "Sc35"), ("Brd4", "Sc35")]
+
+
+def nearest_of_pairs(spark: SparkSession, sf_dir: str, pairs: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """Spots of marker ``a`` with the distance to the nearest spot of ``b``, for pairs (a, b); the partners."""
+    s = cut(spots(spark, sf_dir).where("nucleus <> 0").where(F.col("marker").isin(MARKERS)).select("focus_id", "fov", "nucleus", "marker", "is_bead", "z", "y", "x"))
+    others = lambda a: F.array(*[F.lit(b) for x, b in pairs if x == a])
+    asked = F.explode(F.coalesce(*[F.when(F.col("marker") == a, others(a)) for a in dict(pairs)]))
+    left = s.withColumn("b", asked).withColumnRenamed("marker", "a")
+    partner = s.where("NOT is_bead").withColumnRenamed("marker", "b").where(F.col("b").isin([b for _, b in pairs]))
+    return joins.nearest(left, partner, ["fov", "nucleus", "b"], ["z", "y", "x"]), partner
+
+
+_NN_ALL = f"""WITH {SPOTS}, {NUCLEI},
+b AS (SELECT fov, nucleus, marker AS b, z, y, x FROM spots WHERE nucleus <> 0 AND NOT is_bead),
+pairs AS (SELECT p.a, q.b FROM (VALUES ('Brd4'), ('DAPI'), ('Pol2'), ('Sc35')) p(a), (VALUES ('Brd4'), ('DAPI'), ('Pol2'), ('Sc35')) q(b) WHERE p.a <> q.b),
+nn AS (SELECT s.focus_id, pairs.a, pairs.b, any_value(s.fov) AS fov, any_value(s.nucleus) AS nucleus, any_value(s.is_bead) AS is_bead, sqrt(min((s.z - b.z) * (s.z - b.z) + (s.y - b.y) * (s.y - b.y) + (s.x - b.x) * (s.x - b.x))) AS nn_dist
+       FROM spots s JOIN pairs ON s.marker = pairs.a LEFT JOIN b ON s.fov = b.fov AND s.nucleus = b.nucleus AND pairs.b = b.b WHERE s.nucleus <> 0 GROUP BY 1, 2, 3)
+"""
+
+
+@query(_NN_ALL + "SELECT focus_id, a, b, round(nn_dist, 5) AS nn_dist FROM nn")
+def nearest_neighbor_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each spot's distance to the nearest spot of every other marker of its nucleus; beads ask but never answer."""
+    nn, _ = nearest_of_pairs(spark, sf_dir, [(a, b) for a in MARKERS for b in MARKERS if a != b])
+    return nn.select("focus_id", "a", "b", R("nn_dist", 5).alias("nn_dist"))
+
+
+_COLOC_ALL = _NN_ALL + """,
+asked AS (SELECT * FROM (VALUES ('Brd4', 'Pol2'), ('Pol2', 'Sc35'), ('Brd4', 'Sc35')) t(a, b)),
+o AS (SELECT fov, nucleus, a, b, avg(CASE WHEN nn_dist < 1.0 THEN 1.0 ELSE 0.0 END) AS frac, median(nn_dist) AS nn_um FROM nn WHERE NOT is_bead AND nn_dist IS NOT NULL GROUP BY 1, 2, 3, 4),
+n AS (SELECT fov, nucleus, b, count(*) AS n_partners FROM b GROUP BY 1, 2, 3),
+r AS (SELECT nuclei.fov, nuclei.nucleus, asked.a, asked.b, coalesce(n_partners, 0) AS n_partners, frac, nn_um, 1 - pow(1 - least(4.0 / 3 * pi() / nucleus_volume_um3, 1), coalesce(n_partners, 0)) AS expected
+      FROM nuclei CROSS JOIN asked LEFT JOIN n ON nuclei.fov = n.fov AND nuclei.nucleus = n.nucleus AND asked.b = n.b
+      LEFT JOIN o ON nuclei.fov = o.fov AND nuclei.nucleus = o.nucleus AND asked.a = o.a AND asked.b = o.b WHERE kept = 1 AND nucleus_volume_um3 > 0),
+coloc AS (SELECT fov, nucleus, a, b, n_partners, frac, nn_um, CASE WHEN expected > 0 THEN frac / expected END AS enrich FROM r)
+"""
+
+
+def coloc_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nn, partner = nearest_of_pairs(spark, sf_dir, PAIRS)
+    kept = nuclei(spark, sf_dir).where("kept = 1 AND nucleus_volume_um3 > 0").select("fov", "nucleus", "nucleus_volume_um3")
+    grid = kept.withColumn("_p", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in PAIRS]))).select(*kept.columns, "_p.a", "_p.b")
+    return features.coloc_features(nn.where("NOT is_bead"), partner, grid, 1.0, ("a", "b"))
+
+
+@query(_COLOC_ALL + "SELECT fov, nucleus, a, b, n_partners, round(frac, 6) AS frac, round(nn_um, 5) AS nn_um, round(enrich, 4) AS enrich FROM coloc")
+def coloc_fraction_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Co-localization fraction, median distance and enrichment over chance per nucleus and marker pair."""
+    return coloc_of_pairs(spark, sf_dir).select("fov", "nucleus", "a", "b", "n_partners", R("frac", 6).alias("frac"), R("nn_um", 5).alias("nn_um"), R("enrich", 4).alias("enrich"))
+
+
+@query(_COLOC_ALL + """SELECT condition, a, b, round(avg(frac), 6) AS frac_mean, round(median(frac), 6) AS frac_median, count(frac) AS frac_count, round(median(enrich), 4) AS enrich_median
+FROM coloc JOIN conditions ON fov BETWEEN fov_start AND fov_end GROUP BY 1, 2, 3""")
+def coloc_summary_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, median and count of the co-localization columns per condition and marker pair."""
+    c = joins.range_lookup(coloc_of_pairs(spark, sf_dir), "fov", table(spark, sf_dir, "conditions"), "fov_start", "fov_end", ["condition"]).where("condition IS NOT NULL")
+    return c.groupBy("condition", "a", "b").agg(R(F.avg("frac"), 6).alias("frac_mean"), R(F.percentile("frac", F.lit(0.5)), 6).alias("frac_median"), F.count("frac").alias("frac_count"), R(F.percentile("enrich", F.lit(0.5)), 4).alias("enrich_median"))
+
+
 def condition_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long spot values: feature = marker and measure, grp = condition."""
     s = spots(spark, sf_dir).where("NOT is_bead AND condition IS NOT NULL")

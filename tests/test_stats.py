@@ -110,6 +110,20 @@ def test_coloc_radius_is_strict(spark):
     assert got[1].frac == 0.5 and got[1].enrich == pytest.approx(0.5 / (4 / 3 * math.pi / 100)) and got[2].frac is None and got[2].enrich is None
 
 
+def test_nearest_of_every_ordered_pair(spark, monkeypatch):
+    from spotframe.plans import measurements as m
+
+    rows = [(1, 1, 5, "Brd4", False, 0.0), (2, 1, 5, "Pol2", False, 3.0), (3, 1, 5, "Sc35", True, 1.0), (4, 1, 5, "Sc35", False, 2000.0), (5, 1, 0, "DAPI", False, 0.0), (6, 2, 5, "DAPI", False, 0.0)]
+    s = spark.createDataFrame([(*r, 0.0, 0.0) for r in rows], "focus_id long, fov int, nucleus long, marker string, is_bead boolean, z double, y double, x double")
+    monkeypatch.setattr(m, "spots", lambda *_: s)
+    got = {(r.focus_id, r.b): r.nn_dist for r in m.nearest_neighbor_all_pairs(spark, "").collect()}
+    near = {(1, "Pol2"): 3.0, (1, "Sc35"): 2000.0, (2, "Brd4"): 3.0, (2, "Sc35"): 1997.0, (3, "Brd4"): 1.0, (3, "Pol2"): 2.0, (4, "Brd4"): 2000.0, (4, "Pol2"): 1997.0}
+    assert got == {(i, b): near.get((i, b)) for i, _, n, a, *_ in rows if n for b in m.MARKERS if b != a}
+    n = spark.createDataFrame([(1, 5, 100.0, 1)], "fov int, nucleus long, nucleus_volume_um3 double, kept int")
+    monkeypatch.setattr(m, "nuclei", lambda *_: n)
+    assert {(r.a, r.b): (r.n_partners, r.nn_um) for r in m.coloc_fraction_all_pairs(spark, "").collect()} == {("Brd4", "Pol2"): (1, 3.0), ("Pol2", "Sc35"): (1, 1997.0), ("Brd4", "Sc35"): (1, 2000.0)}
+
+
 def test_clipping_and_defaults(spark):
     specs = spark.createDataFrame([(1, "wavelet"), (2, "mean_fold")], "i int, family string")
     params = spark.createDataFrame([(1, "levels", "9-9"), (1, "k", "7.5"), (1, "nonsense", "1"), (2, "threshold", "0.1"), (2, "min_size", "12.9")], "i int, param string, val string")
