@@ -96,3 +96,31 @@ def connected_labels(edges: DataFrame, most: int = 60) -> DataFrame:
         if moved:
             return labels
     raise RuntimeError(f"labels still move after {most} rounds")
+
+
+def propagated_labels(nodes: DataFrame, edges: DataFrame, halves: int = 20) -> DataFrame:
+    """``node``, ``label``: communities of an undirected edge table (``a``, ``b``) by label propagation; a node without an edge is its own.
+
+    A node wants the label that most of its neighbours have (of equals, one by hash), if those are
+    more than have its own. In the first ``halves`` rounds half of those that want move, by hash;
+    then only those before whose neighbours none comes by hash, so that each move joins more edges
+    than it parts and the rounds end by themselves. The driver sees only whether any
+    wants to move.
+    """
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = cut(nodes.select(F.col("node").cast("long")).distinct().withColumn("label", F.col("node")))
+    turn = 0
+    while True:
+        votes = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"), F.col("label").alias("seen")).agg(F.count("*").alias("n"))
+        top = F.max(F.struct("n", F.xxhash64("node", "seen").alias("tie"), "seen")).alias("top")
+        best = votes.join(labels, "node").groupBy("node").agg(top, F.coalesce(F.max(F.when(F.col("seen") == F.col("label"), F.col("n"))), F.lit(0)).alias("own"))
+        want = cut(best.where("top.n > own").select("node", F.col("top.seen").alias("new"), F.struct(F.xxhash64("node", F.lit(turn)).alias("hash"), "node").alias("order")))
+        if want.isEmpty():
+            return labels
+        if turn < halves:
+            want = want.where("order.hash >= 0")
+        else:
+            near = both.join(want.select(F.col("node").alias("b"), F.col("order").alias("other")), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
+            want = want.join(near, "node", "left").where("other IS NULL OR order < other")
+        labels = cut(labels.join(want.select("node", "new"), "node", "left").select("node", F.coalesce("new", "label").alias("label")))
+        turn += 1

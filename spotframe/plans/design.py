@@ -202,9 +202,10 @@ def knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def neighbour_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connected sets of the nearest-neighbour edges."""
-    e = knn_edges(spark, sf_dir).where("rank <= 2").select(F.col("query").alias("a"), F.col("neighbour").alias("b"))
-    return matrix.connected_labels(e)
+    """A community for every vector, by label propagation on the graph of the 10 nearest of all vectors."""
+    e = table(spark, sf_dir, "embeddings")
+    edges = matrix.nearest_vectors(e, e, "vec_id", "embedding", 10).select(F.col("query").alias("a"), F.col("neighbour").alias("b"))
+    return matrix.propagated_labels(e.select(F.col("vec_id").alias("node")), edges)
 
 
 @query()

@@ -192,3 +192,25 @@ def test_streams(spark, tmp_path):
     q = ingest.windowed_counts(ingest.file_stream(spark, str(tmp_path), "x"), "ts", [], "1 minute", "0 seconds").writeStream.format("memory").queryName("w").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("w").where("n = 6").count() == 5
+
+
+def test_every_vector_gets_a_community(spark, tmp_path):
+    from spotframe.plans import design
+
+    at = [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12]
+    rows = [(i, [float(c * 1000), float(x)]) for c in (0, 1) for i, x in ((100 * c + k, v) for k, v in enumerate(at))] + [(500, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.node: r.label for r in design.neighbour_communities(spark, str(tmp_path)).collect()}
+    assert set(got) == {i for i, _ in rows} and got[500] == 500
+    sides = [{got[i] for i, _ in rows[a:b]} for a, b in ((0, 13), (13, 26))]
+    assert not sides[0] & sides[1] and all(len(s) < 13 for s in sides)
+
+
+def test_label_propagation_parts_cliques_at_a_bridge(spark):
+    cliques = [(a, b) for c in (0, 10) for a in range(c, c + 5) for b in range(c, a)]
+    nodes = spark.createDataFrame([(i,) for i in [*range(5), *range(10, 15), 20]], "node long")
+    got = {r.node: r.label for r in matrix.propagated_labels(nodes, spark.createDataFrame([*cliques, (4, 14)], "a long, b long")).collect()}
+    assert len({got[i] for i in range(5)}) == 1 and len({got[i] for i in range(10, 15)}) == 1 and got[0] != got[10] and got[20] == 20
+    # two nodes don't swap labels for ever
+    pair = matrix.propagated_labels(nodes.where("node < 2"), spark.createDataFrame([(0, 1)], "a long, b long")).collect()
+    assert len({r.label for r in pair}) == 1
