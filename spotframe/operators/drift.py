@@ -23,7 +23,7 @@ from spotframe.session import cut
 MAP_KEYS = ("suggested_direction", "next_params")
 
 _PRODUCER = ["stream", "series"]
-_LINE = "stream string, series string, file_name string, line_no int, received_at timestamp_ntz, rec double, readable boolean, fields array<struct<path:string,type:string,val:string>>"
+_LINE = "stream string, series string, file_name string, line_no int, received_at timestamp_ntz, rec double, readable boolean, shape string, payload string"
 
 
 def _number(x: int | float) -> str:
@@ -41,43 +41,88 @@ def _canonical(v: object) -> str:
     return "{" + ",".join(f"{json.dumps(k)}:{_canonical(v[k])}" for k in sorted(v)) + "}"
 
 
-def _leaves(v: dict, prefix: str, out: list) -> None:
+def _kind(x: object) -> str | None:
+    return None if x is None else "boolean" if isinstance(x, bool) else "number" if isinstance(x, (int, float)) else "string" if isinstance(x, str) else "array" if isinstance(x, list) else "map"
+
+
+def _leaves(v: dict, prefix: str = "", out: dict | None = None) -> dict:
+    """Path -> value of a parsed record; of a repeated path the last value holds."""
+    out = {} if out is None else out
     for k, x in v.items():
         if isinstance(x, dict) and k not in MAP_KEYS:
             _leaves(x, f"{prefix}{k}.", out)
         else:
-            kind = None if x is None else "boolean" if isinstance(x, bool) else "number" if isinstance(x, (int, float)) else "string" if isinstance(x, str) else "array" if isinstance(x, list) else "map"
-            out.append((prefix + k, kind, None if x is None else _canonical(x)))
+            out[prefix + k] = x
+    return out
+
 
+def _record(payload: str | None) -> dict | None:
+    try:
+        v = json.loads(payload)
+    except (TypeError, ValueError, RecursionError):
+        return None
+    return v if isinstance(v, dict) else None
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _first_copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of the copies of a line, which follow each other, the first readable one, else the first."""
+    names = [x.split()[0] for x in _LINE.split(", ")]
+    shapes: dict[tuple, str] = {}
+    held: list | None = None
     for p in batches:
-        recs, readable, fields = [], [], []
-        for payload in p["payload"]:
-            try:
-                v = json.loads(payload)
-            except (TypeError, ValueError, RecursionError):
-                v = None
-            ok, out = isinstance(v, dict), []
-            if ok:
-                _leaves(v, "", out)
-            rec = v.get("rec") if ok else None
-            recs.append(float(rec) if isinstance(rec, (int, float)) and not isinstance(rec, bool) else None)
-            readable.append(ok)
-            fields.append(out)
-        yield p.drop(columns="payload").assign(rec=pd.array(recs, dtype="Float64"), readable=readable, fields=fields)
+        out = []
+        for stream, series, name, no, at, payload in p.itertuples(index=False, name=None):
+            same = held is not None and held[2] == name and held[3] == no
+            if same and held[6]:
+                continue
+            v = _record(payload)
+            if same and v is None:
+                continue
+            if held is not None and not same:
+                out.append(held)
+            rec, shape = None, None
+            if v is not None:
+                rec = v.get("rec")
+                rec = float(rec) if isinstance(rec, (int, float)) and not isinstance(rec, bool) else None
+                key = tuple((k, _kind(x)) for k, x in _leaves(v).items())
+                if len(shapes) > 100_000:
+                    shapes.clear()
+                shape = shapes.get(key) or shapes.setdefault(key, json.dumps([[k, t] for k, t in key]))
+            held = [stream, series, name, no, at, rec, v is not None, shape, payload]
+        if out:
+            yield pd.DataFrame(out, columns=names)
+    if held is not None:
+        yield pd.DataFrame([held], columns=names)
 
 
 def parsed_lines(lines: DataFrame) -> DataFrame:
-    """Each line once, with its fields: ``fields`` holds path, type (NULL for null) and value.
+    """Each line once: ``rec``, ``readable``, ``shape`` (JSON list of its fields' paths and types) and ``payload``.
 
     A line that was delivered several times counts once: a readable copy goes first, then the
     earliest, then the smallest payload. Broken, empty and NULL lines and JSON that isn't an
-    object stay as unreadable rows. Of a repeated key in one object the last value holds.
+    object stay as unreadable rows; lines without a number count each. The copies of a line meet
+    in one task as texts, by file and thousands of lines, so a file of any size is spread.
     """
-    w = Window.partitionBy("file_name", "line_no").orderBy(F.col("readable").desc(), "received_at", F.xxhash64(F.to_json("fields")))
-    rows = lines.select(*_PRODUCER, "file_name", "line_no", "received_at", "payload").mapInPandas(_parse, _LINE)
-    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    near = [F.col("file_name"), F.floor(F.col("line_no") / 1000)]
+    rows = lines.select(*_PRODUCER, "file_name", "line_no", "received_at", "payload").repartition(*near)
+    return rows.sortWithinPartitions("file_name", "line_no", "received_at", "payload").mapInPandas(_first_copies, _LINE)
+
+
+def fields_of(rows: DataFrame, keys: list[str], wanted: str | None = None) -> DataFrame:
+    """``keys``, ``fields``: path, type and canonical value of the fields of ``payload``; with ``wanted`` (an array of paths) only those."""
+
+    def fields(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            some = p["_wanted"] if wanted else [None] * len(p)
+            out = []
+            for payload, keep in zip(p["payload"], some):
+                keep = None if keep is None else set(keep)
+                out.append([(k, _kind(x), None if x is None else _canonical(x)) for k, x in _leaves(_record(payload) or {}).items() if keep is None or k in keep])
+            yield p[keys].assign(fields=out)
+
+    types = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    narrow = rows.select(*keys, "payload", *([F.col(wanted).alias("_wanted")] if wanted else []))
+    return narrow.mapInPandas(fields, f"{types}, fields array<struct<path:string,type:string,val:string>>")
 
 
 def numbered_files(lines: DataFrame) -> DataFrame:
@@ -92,17 +137,18 @@ def numbered_files(lines: DataFrame) -> DataFrame:
 
 
 def file_catalogue(lines: DataFrame, share: float = 0.1) -> dict[str, DataFrame]:
-    """``values`` (every carried field of every record), ``files`` and ``schema``.
+    """``records`` (the lines, each once), ``files`` and ``schema``.
 
     ``schema``: a file's fields that at least ``share`` of its readable records carry (a JSON
     null counts as carried), with the type of more than half of the non-null values; where
-    there is none, the type of the field's neighbouring files in the series.
+    there is none, the type of the field's neighbouring files in the series. Lines of one shape
+    are counted before their fields are told apart.
     """
     parsed = cut(parsed_lines(lines))
-    files = numbered_files(parsed)
-    values = parsed.where("readable").select(*_PRODUCER, "file_name", "rec", F.explode("fields").alias("f")).select(*_PRODUCER, "file_name", "rec", "f.*")
-    # map-side counts per file, path and type, then per file and path
-    counts = values.groupBy(*_PRODUCER, "file_name", "path", "type").agg(F.count("*").alias("n"))
+    files = cut(numbered_files(parsed))
+    shapes = parsed.where("readable").groupBy(*_PRODUCER, "file_name", "shape").agg(F.count("*").alias("n"))
+    cells = shapes.select(*_PRODUCER, "file_name", "n", F.explode(F.from_json("shape", "array<array<string>>")).alias("f"))
+    counts = cells.groupBy(*_PRODUCER, "file_name", F.col("f")[0].alias("path"), F.col("f")[1].alias("type")).agg(F.sum("n").alias("n"))
     fields = counts.groupBy(*_PRODUCER, "file_name", "path").agg(
         F.sum("n").alias("carried"),
         F.sum(F.when(F.col("type").isNotNull(), F.col("n"))).alias("nonnull"),
@@ -113,7 +159,7 @@ def file_catalogue(lines: DataFrame, share: float = 0.1) -> dict[str, DataFrame]
     back = Window.partitionBy(*_PRODUCER, "path").orderBy("seq")
     ahead = back.rowsBetween(1, Window.unboundedFollowing)
     schema = schema.withColumn("type", F.coalesce("type", F.last("type", True).over(back), F.first("type", True).over(ahead), F.lit("null")))
-    return {"values": values, "files": files, "schema": cut(schema), "records": parsed}
+    return {"files": files, "schema": cut(schema), "records": parsed}
 
 
 def lifespans(catalogue: dict[str, DataFrame]) -> DataFrame:
@@ -145,10 +191,15 @@ def changes(catalogue: dict[str, DataFrame]) -> DataFrame:
     events = cut(starts.join(ends, [*at, "path"], "full"))
     new = events.where("ended IS NULL").select(*at, F.col("path").alias("new_path"))
     gone = events.where("started IS NULL").select(*at, F.col("path").alias("old_path"))
-    files, values = catalogue["files"].select(*_PRODUCER, "file_name", "seq"), catalogue["values"]
-    numbered = values.join(files, [*_PRODUCER, "file_name"]).where("rec IS NOT NULL")
-    old = numbered.where("val IS NOT NULL").select(*_PRODUCER, (F.col("seq") + 1).alias("seq"), "rec", F.col("path").alias("old_path"), F.col("val").alias("was")).join(gone, [*at, "old_path"])
-    now = numbered.select(*at, "rec", F.col("path").alias("new_path"), F.col("val").alias("is")).join(new, [*at, "new_path"])
+    # only records of files where one field goes and another comes are read again, for those fields
+    both = gone.groupBy(*at).agg(F.collect_set("old_path").alias("gone")).join(new.groupBy(*at).agg(F.collect_set("new_path").alias("new")), at)
+    asked = both.select(*_PRODUCER, (F.col("seq") - 1).alias("seq"), F.col("gone").alias("paths")).unionByName(both.select(*at, F.col("new").alias("paths")))
+    asked = asked.groupBy(*at).agg(F.flatten(F.collect_list("paths")).alias("paths"))
+    asked = asked.join(catalogue["files"].select(*at, "file_name"), at)
+    lines = catalogue["records"].where("rec IS NOT NULL").join(asked, [*_PRODUCER, "file_name"])
+    values = cut(fields_of(lines, [*at, "rec"], "paths").select(*at, "rec", F.explode("fields").alias("f")).select(*at, "rec", "f.path", "f.val"))
+    old = values.where("val IS NOT NULL").select(*_PRODUCER, (F.col("seq") + 1).alias("seq"), "rec", F.col("path").alias("old_path"), F.col("val").alias("was")).join(gone, [*at, "old_path"])
+    now = values.select(*at, "rec", F.col("path").alias("new_path"), F.col("val").alias("is")).join(new, [*at, "new_path"])
     pairs = old.join(now, [*at, "rec"]).groupBy(*at, "old_path", "new_path").agg(F.count_if(F.col("was") == F.col("is")).alias("equal"), F.count("*").alias("n"))
     renamed = cut(pairs.where("equal = n").select(*at, "old_path", "new_path"))
     names = catalogue["files"].select(*at, "file_name")
@@ -164,24 +215,25 @@ def alias_table(catalogue: dict[str, DataFrame], log: DataFrame, most: int = 500
     """path -> (canonical path, type) of one stream, from the renames.
 
     Names linked by renames share one canonical name, the one that opens the most series, with
-    the type it first has in most of them. The table is schema, not data; more than ``most`` names is an error.
+    the type it first has in most of them. The table is schema, not data: it has the ``most``
+    names that most files hold, and ``consistent_table`` keeps all others in ``extra``.
     """
-    paths = catalogue["schema"].groupBy("path").agg(F.count_if(F.col("seq") == 1).alias("first"), F.count("*").alias("n")).limit(most + 1).collect()
+    names = catalogue["schema"].groupBy("path").agg(F.count_if(F.col("seq") == 1).alias("first"), F.count("*").alias("n")).orderBy(F.col("n").desc(), "path").limit(most)
+    paths = names.collect()
     opening = catalogue["schema"].groupBy(*_PRODUCER, "path").agg(F.min_by("type", "seq").alias("type"))
-    kinds = opening.groupBy("path", "type").agg(F.count("*").alias("n")).limit(8 * most).collect()
-    links = log.where("change = 'renamed'").select("old_path", "new_path").distinct().limit(most + 1).collect()
-    if max(len(paths), len(links)) > most:
-        raise ValueError(f"more than {most} field names")
+    kinds = opening.join(names.select("path"), "path", "left_semi").groupBy("path", "type").agg(F.count("*").alias("n")).collect()
     weight = {r["path"]: (-r["first"], -r["n"], r["path"]) for r in paths}
+    renames = log.where("change = 'renamed'").select("old_path", "new_path").distinct()
+    links = renames.join(names.select(F.col("path").alias("old_path")), "old_path", "left_semi").join(names.select(F.col("path").alias("new_path")), "new_path", "left_semi").select("old_path", "new_path").collect()
     root = {p: p for p in weight}
 
     def find(p: str) -> str:
-        while root.setdefault(p, p) != p:
+        while root[p] != p:
             p = root[p]
         return p
 
     for a, b in links:
-        x, y = sorted((find(a), find(b)), key=lambda p: weight.get(p, (0, 0, p)))
+        x, y = sorted((find(a), find(b)), key=weight.__getitem__)
         root[y] = x
     # the type that a canonical name has where it first appears, in most series
     types: dict[str, tuple[int, str]] = {}
@@ -195,34 +247,47 @@ def consistent_table(lines: DataFrame, stream: str) -> DataFrame:
 
     Of a record in several files the version of the latest file holds. Columns are named by
     the canonical path with ``_`` for ``.``; numbers become DOUBLE (also from strings and from
-    arrays of one), booleans BOOLEAN, strings STRING, arrays and maps canonical JSON text. A
-    value that doesn't cast is NULL in its column. ``extra`` keeps, as a map of canonical JSON,
-    the fields below the catalogue's share, so no value is lost. An unknown stream gives rows
-    of ``series``, ``rec``, ``file_name`` and ``extra`` only.
+    arrays of one), booleans BOOLEAN, strings STRING, arrays and maps canonical JSON text.
+    ``extra`` keeps by path, as canonical JSON, whatever has no column: fields below the
+    catalogue's share, values that their column's type can't take (NULL there), and of two
+    spellings of a field in one record the later. Lines that give no row are in
+    ``rejected_lines``. An unknown stream gives rows of ``series``, ``rec``, ``file_name`` and
+    ``extra`` only.
     """
     catalogue = file_catalogue(lines.where(F.col("stream") == stream))
     alias = alias_table(catalogue, changes(catalogue))
     files = catalogue["files"].select(*_PRODUCER, "file_name", "seq")
     w = Window.partitionBy("series", "rec").orderBy(F.col("seq").desc(), "line_no")
     rows = catalogue["records"].where("readable AND rec IS NOT NULL").join(files, [*_PRODUCER, "file_name"]).withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+    rows = fields_of(rows, ["series", "rec", "file_name"]).withColumn("fields", F.filter("fields", lambda f: f["val"].isNotNull()))
     names = F.create_map(*[F.lit(x) for p, (c, _) in alias.items() for x in (p, c)]) if alias else F.lit(None).cast("map<string,string>")
-    known = F.filter("fields", lambda f: F.col("names")[f["path"]].isNotNull() & f["val"].isNotNull())
-    renamed = F.transform("known", lambda f: F.struct(F.col("names")[f["path"]].alias("key"), f["val"].alias("value")))
-    rows = rows.withColumn("names", names).withColumn("known", known).withColumn("known", renamed)
-    # two spellings in one record: the first in the record's order holds
-    first = F.filter("known", lambda x, i: F.array_position(F.transform("known", lambda y: y["key"]), x["key"]) == i + 1)
-    rest = F.filter("fields", lambda f: F.col("names")[f["path"]].isNull() & f["val"].isNotNull())
-    rest = F.map_from_entries(F.transform(rest, lambda f: F.struct(f["path"].alias("key"), f["val"].alias("value"))))
-    rows = rows.select("series", F.col("rec").cast("long").alias("rec"), "file_name", F.map_from_entries(first).alias("m"), rest.alias("extra"))
-    columns = []
+    rows = rows.withColumn("names", names).withColumn("keys", F.transform("fields", lambda f: F.coalesce(F.col("names")[f["path"]], F.lit(""))))
+    # of two spellings in one record the first in the record's order holds
+    holds = lambda i: (F.col("keys")[i] != "") & (F.array_position("keys", F.col("keys")[i]) == i + 1)
+    rows = rows.withColumn("known", F.filter("fields", lambda _, i: holds(i))).withColumn("rest", F.filter("fields", lambda _, i: ~holds(i)))
+    rows = rows.select("series", F.col("rec").cast("long").alias("rec"), "file_name", "rest", F.map_from_entries(F.transform("known", lambda f: F.struct(F.col("names")[f["path"]].alias("k"), f.alias("f")))).alias("m"))
+    columns, lost = [], []
     for path, kind in sorted({v for v in alias.values() if v[0] != "rec"}):
-        v = F.col("m")[path]
-        text = F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v")
+        raw = F.col("m")[path]["val"]
+        v = raw
         if kind == "number":
-            v = F.regexp_replace(v, r'^\[?"?|"?\]?$', "").try_cast("double")
+            v = F.regexp_replace(raw, r'^\[?"?|"?\]?$', "").try_cast("double")
         elif kind == "boolean":
-            v = F.regexp_replace(v, '"', "").try_cast("boolean")
+            v = F.regexp_replace(raw, '"', "").try_cast("boolean")
         elif kind == "string":
-            v = text
+            v = F.get_json_object(F.concat(F.lit('{"v":'), raw, F.lit("}")), "$.v")
         columns.append(v.alias(path.replace(".", "_")))
-    return rows.select("series", "rec", "file_name", *columns, "extra")
+        lost.append(F.when(raw.isNotNull() & v.isNull(), F.col("m")[path]))
+    kept = F.concat("rest", F.array_compact(F.array(*lost))) if lost else F.col("rest")
+    extra = F.map_from_entries(F.transform(kept, lambda f: F.struct(f["path"].alias("key"), f["val"].alias("value"))))
+    return rows.select("series", "rec", "file_name", *columns, extra.alias("extra"))
+
+
+def rejected_lines(lines: DataFrame) -> DataFrame:
+    """The lines that ``consistent_table`` can give no row: ``file_name``, ``line_no``, ``reason`` and ``payload``.
+
+    ``reason``: ``empty``, ``broken`` (no JSON object) or ``no record number``. Each line once.
+    """
+    rows = parsed_lines(lines).where("NOT readable OR rec IS NULL")
+    empty = F.coalesce(F.trim("payload") == "", F.lit(True))
+    return rows.select("file_name", "line_no", F.when(F.col("readable"), "no record number").when(empty, "empty").otherwise("broken").alias("reason"), "payload")

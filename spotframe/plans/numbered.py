@@ -150,3 +150,9 @@ def p2_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One consistent table of the ``history`` stream."""
     return drift.consistent_table(table(spark, sf_dir, "log_lines"), "history")
+
+
+@query
+def p2_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that no consistent table holds, with the reason."""
+    return drift.rejected_lines(table(spark, sf_dir, "log_lines")).select("file_name", "line_no", "reason")

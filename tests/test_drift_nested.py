@@ -56,6 +56,31 @@ def test_consistent_table_brings_names_and_types_together(spark):
     assert {(r.rec, r.family, r.score) for r in t.collect()} == {(i, f"f{i}", i / 2) for i in range(1, 12)}
 
 
+def test_no_value_is_lost(spark):
+    recs = [{"rec": i, "n": i, "b": True, "t": "x"} for i in range(1, 8)] + [{"rec": 8, "n": "abc", "b": "maybe", "t": [1, 2], "rare": {"deep": None, "er": 5}}, {"rec": 9, "n": "7.5", "b": "yes"}]
+    two = [{"rec": i, "m": i, "b": True} for i in [5, 6, 7, *range(30, 45)]] + [{"rec": 20, "m": 1, "n": 2}]
+    t = {r.rec: r for r in drift.consistent_table(lines(spark, [(1, recs), (2, two)]), "s").collect()}
+    assert (t[8].n, t[8].b, t[8].extra) == (None, None, {"n": '"abc"', "b": '"maybe"'}) and t[8].t == "[1,2]" and t[8].rare_er == 5.0
+    assert (t[9].n, t[9].b, t[9].extra) == (7.5, True, {})
+    assert (t[20].n, t[20].extra) == (1.0, {"n": "2"}) and t[5].n == 5.0
+
+
+def test_names_beyond_the_table_go_to_extra(spark):
+    df = lines(spark, [(1, [{"rec": 1, "a": 1, "b": 2, "c": 3}])])
+    catalogue = drift.file_catalogue(df)
+    assert len(drift.alias_table(catalogue, drift.changes(catalogue), most=2)) == 2
+
+
+def test_rejected_lines(spark):
+    df = lines(spark, [(1, [{"rec": 1}, "{broken", " ", None, "[1]", {"x": 1}, {"rec": "7"}]), (1, [{"rec": 1}, {"rec": 2}, "", None, "[1]", {"x": 1}, {"rec": "7"}])])
+    assert {(r.line_no, r.reason) for r in drift.rejected_lines(df).collect()} == {(3, "empty"), (4, "empty"), (5, "broken"), (6, "no record number"), (7, "no record number")}
+
+
+def test_dotted_and_nested_spelling_of_one_path(spark):
+    df = lines(spark, [(1, ['{"rec": 1, "a.b": 1, "a": {"b": 2}}', '{"rec": 2, "a.b": 1, "a.b": 3}'])])
+    assert {(r.rec, r.a_b) for r in drift.consistent_table(df, "s").collect()} == {(1, 2.0), (2, 3.0)}
+
+
 def test_empty_log(spark):
     empty = lines(spark, [])
     assert drift.changes(drift.file_catalogue(empty)).count() == 0
