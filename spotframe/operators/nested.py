@@ -102,9 +102,23 @@ def flat_tables(df: DataFrame, key: str, inherit: dict[str, str] | None = None)
     return tables
 
 
+def fields_of_state(shape: Column) -> Column:
+    """The names of the present fields of an object in this state, without those of the objects in it."""
+    parts = F.split(shape, r"(?<=[{}])|(?=[{}])")
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"))
+
+    def step(a: Column, part: Column) -> Column:
+        depth = a["depth"] + F.when(part == "{", 1).when(part == "}", -1).otherwise(0)
+        text = F.when((a["depth"] == 1) & ~part.isin("{", "}"), F.concat(a["text"], part)).otherwise(a["text"])
+        return F.struct(depth.alias("depth"), text.alias("text"))
+
+    names = F.transform(F.split(F.aggregate(parts, start, step)["text"], ","), lambda x: F.substring_index(x, ":", 1))
+    return F.coalesce(F.filter(names, lambda x: x != ""), F.array().cast("array<string>"))
+
+
 def has_field(shape: Column, field: str) -> Column:
-    """Whether an object in this state carries ``field`` (not NULL)."""
-    return F.coalesce(shape.rlike(rf"[{{,]{field}[,:}}]"), F.lit(False))
+    """Whether an object in this state itself carries ``field`` (not NULL); NULL and NULL objects don't."""
+    return F.array_contains(fields_of_state(shape), field)
 
 
 def shape_catalogue(tables: dict[str, DataFrame]) -> DataFrame:
@@ -119,21 +133,33 @@ def shape_catalogue(tables: dict[str, DataFrame]) -> DataFrame:
     return out.groupBy("tbl", "object", "shape").agg(F.count("*").alias("n_rows"))
 
 
+def variants(t: DataFrame, shape: str, most: int = 1000) -> dict[str, list[str]]:
+    """The states of a shape column that most rows have, with the fields that each carries; NULL objects have none."""
+    states = t.where(F.col(shape).isNotNull() & (F.col(shape) != "0")).groupBy(shape).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), shape).limit(most)
+    return {r[0]: r[1] for r in sorted(states.select(shape, fields_of_state(F.col(shape))).collect())}
+
+
+def routed(t: DataFrame, shape: str, known: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """The rows of each variant; rows of all other variants, if any, are under ``""`` and keep their state."""
+    out = {s: t.where(F.col(shape) == s) for s in known}
+    return out | {"": t.where(F.col(shape).isNotNull() & (F.col(shape) != "0") & ~F.col(shape).isin(list(known)))}
+
+
 def typed_tables(t: DataFrame, keys: list[str], obj: str, most: int = 1000) -> dict[str, DataFrame]:
     """One typed table per variant of the object ``obj`` in table ``t``.
 
     Each holds ``keys`` (the link to the supertype row) and just those columns of the object
-    that its variant carries. The variants are schema, not data: more than ``most`` of them is
-    an error rather than a silent cut.
+    that its variant carries. The variants are schema, not data: the ``most`` commonest have a
+    table each. The rows of rarer ones are in one table, under ``""``, with their variant and
+    all the object's columns; it is there even if no row is.
     """
     shape = f"{obj}_shape"
-    found = sorted(r[0] for r in t.select(shape).distinct().limit(most + 1).collect())
-    if len(found) > most:
-        raise ValueError(f"{obj} has more than {most} shapes")
+    known = variants(t, shape, most)
     out = {}
-    for s in found:
-        if s == "0":
-            continue
-        present = {x.split(":")[0] for x in s.strip("{}").split(",")}
-        out[s] = t.where(F.col(shape) == s).select(*keys, *[F.col(f"{obj}_{f}").alias(f) for f in sorted(present) if f"{obj}_{f}" in t.columns])
+    for s, rows in routed(t, shape, known).items():
+        names = [f for f in known.get(s, []) if f"{obj}_{f}" in t.columns]
+        if s == "":
+            names = [c.removeprefix(f"{obj}_") for c in t.columns if c.startswith(f"{obj}_") and not c.endswith("shape")]
+        variant = [F.col(shape).alias("variant")] if s == "" else []
+        out[s] = rows.select(*keys, *variant, *[F.col(f"{obj}_{f}").alias(f) for f in names])
     return out

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spotframe.operators import drift, intervals, nested
-from spotframe.session import table
+from spotframe.session import cut, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -82,10 +84,14 @@ def round_tables(spark: SparkSession, sf_dir: str, *columns: str) -> dict[str, D
 
 @query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of the trials whose params variant carries a threshold."""
-    cells = round_tables(spark, sf_dir, "trials")["trials_metrics_cells"]
-    keep = nested.has_field(F.col("trials_metrics_params_shape"), "threshold") & (F.col("shape") != "0")
-    return cells.where(keep).select("round_id", F.col("trials_pos").alias("trial_pos"), F.col("cells_pos").alias("cell_pos"))
+    """Cells, routed by the params variant of their trial: those of the variants that carry a threshold."""
+    cells = round_tables(spark, sf_dir, "trials")["trials_metrics_cells"].where("shape <> '0'")
+    cells = cut(cells.select("round_id", F.col("trials_pos").alias("trial_pos"), F.col("cells_pos").alias("cell_pos"), "trials_metrics_params_shape"))
+    known = nested.variants(cells, "trials_metrics_params_shape")
+    tables = nested.routed(cells, "trials_metrics_params_shape", known)
+    rare = tables.pop("").where(nested.has_field(F.col("trials_metrics_params_shape"), "threshold"))
+    found = [t for s, t in tables.items() if "threshold" in known[s]]
+    return reduce(DataFrame.unionByName, [*found, rare]).select("round_id", "trial_pos", "cell_pos")
 
 
 _P5 = """
@@ -122,12 +128,67 @@ SELECT round_id, CAST(trial_pos AS INT) AS trial_pos, CAST(cell_pos AS INT) AS c
 FROM c WHERE len(y.flags) > 0"""
 
 
+#: The fields of the params of rounds, in the table's order.
+PARAMS = ["threshold", "abs_floor", "blur_sigma", "marker_h", "watershed", "min_size", "max_size", "tophat_radius", "noise_k", "num_sigma", "h", "offset_k", "block_size", "levels", "k"]
+
+
+@query
+def p5_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed tables of the trials' params, one below the other: variant, link, and each of its fields."""
+    t = round_tables(spark, sf_dir, "trials")["trials"].withColumnRenamed("trials_pos", "trial_pos")
+    t = cut(t.select("round_id", "trial_pos", *[c for c in t.columns if c.startswith("metrics_params_")]))
+    parts = []
+    for variant, rows in nested.typed_tables(t, ["round_id", "trial_pos"], "metrics_params").items():
+        names = [c for c in rows.columns if c not in ("round_id", "trial_pos", "variant")]
+        cell = lambda f: F.struct(F.lit(f).alias("field"), (F.lit(None) if f == "levels" else F.col(f)).cast("double").alias("num"), F.when(F.lit(f == "levels"), F.col(f).cast("string")).alias("text"))
+        if names:
+            rows = rows.withColumn("_c", F.explode(F.array(*[cell(f) for f in names])))
+            parts.append(rows.select("round_id", "trial_pos", (F.lit(variant) if variant else F.col("variant")).alias("variant"), "_c.*").where("num IS NOT NULL OR text IS NOT NULL"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _state_sql(x: str, kind: object) -> str:
+    """The automaton's state of ``x`` in SQL; ``kind``: a dict of fields, a list for an array, else a scalar."""
+    if isinstance(kind, dict):
+        parts = [f"CASE WHEN {x}.{f} IS NOT NULL THEN '{f}{':' if isinstance(k, (dict, list)) else ''}'" + (f" || {_state_sql(f'{x}.{f}', k)}" if isinstance(k, (dict, list)) else "") + " END" for f, k in kind.items()]
+        return f"CASE WHEN {x} IS NULL THEN '0' ELSE '{{' || array_to_string(list_filter([{', '.join(parts)}], lambda v: v IS NOT NULL), ',') || '}}' END"
+    return f"CASE WHEN {x} IS NULL THEN '0' WHEN len({x}) = 0 THEN 'e' WHEN len(list_filter({x}, lambda v: v IS NULL)) > 0 THEN 'n' ELSE 'f' END"
+
+
+_P_KIND = dict.fromkeys(PARAMS)
+SQL["p5_params"] = _P5 + f""", v AS (SELECT round_id, trial_pos, x.metrics.params AS p, {_state_sql('x.metrics.params', _P_KIND)} AS variant FROM t WHERE x.metrics.params IS NOT NULL)
+""" + "\nUNION ALL ".join(
+    f"SELECT round_id, CAST(trial_pos AS INT) AS trial_pos, variant, '{f}' AS field, {'NULL' if f == 'levels' else f'CAST(p.{f} AS DOUBLE)'} AS num, {'p.levels' if f == 'levels' else 'NULL'} AS text FROM v WHERE p.{f} IS NOT NULL" for f in PARAMS
+)
+
+
 @query
 def p5_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every shape that the automaton met, per table and object, with its rows."""
     return nested.shape_catalogue(round_tables(spark, sf_dir))
 
 
+_CELL = {"cell": 0, "n_foci": 0, "flags": []}
+_TRIAL = {"trial": 0, "score": 0, "metrics": {"valid": 0, "score": 0, "params": _P_KIND, "cells": []}}
+_VERDICT = {"plausible": 0, "confidence": 0, "issues": [], "notes": 0}
+_PROPOSAL = {"family": 0, "params": _P_KIND, "rationale": 0, "structural_change": 0}
+_METRICS = {"valid": 0, "median_count": 0, "count_cv": 0, "median_contrast": 0, "image_snr": 0, "anchored": 0, "score": 0, "family": 0, "params": _P_KIND, "per_cell_counts": []}
+_ROUND = {"run": 0, "marker": 0, "round": 0, "family": 0, "score": 0, "metrics": _METRICS, "verdict": _VERDICT, "proposal": _PROPOSAL, "kept": 0, "trials": [], "logged_at": 0}
+_SHAPES = [
+    ("record", "", "r", _ROUND, "rec"),
+    ("record", "metrics", "r.metrics", _METRICS, "rec"),
+    ("record", "metrics_params", "r.metrics.params", _P_KIND, "rec"),
+    ("record", "verdict", "r.verdict", _VERDICT, "rec"),
+    ("record", "proposal", "r.proposal", _PROPOSAL, "rec"),
+    ("record", "proposal_params", "r.proposal.params", _P_KIND, "rec"),
+    ("trials", "", "x", _TRIAL, "t"),
+    ("trials", "metrics", "x.metrics", _TRIAL["metrics"], "t"),
+    ("trials", "metrics_params", "x.metrics.params", _P_KIND, "t"),
+    ("trials_metrics_cells", "", "y", _CELL, "c"),
+]
+SQL["p5_shapes"] = _P5 + ", rec AS (SELECT latest AS r FROM latest), s AS (" + "\nUNION ALL ".join(f"SELECT '{t}' AS tbl, '{o}' AS object, {_state_sql(x, k)} AS shape FROM {of}" for t, o, x, k, of in _SHAPES) + ") SELECT tbl, object, shape, count(*) AS n_rows FROM s GROUP BY 1, 2, 3"
+
+
 @query
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every change of field between a log file and the one before it in its series."""

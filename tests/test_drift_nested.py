@@ -119,7 +119,10 @@ def test_records_can_be_put_together_again(spark):
 def test_variants_are_routed_to_typed_tables(spark):
     t = nested.flat_tables(records(spark), "id")
     typed = nested.typed_tables(t["trials"], ["id", "trials_pos"], "p")
-    assert list(typed) == ["{t,w}"] and typed["{t,w}"].collect() == [Row(id=1, trials_pos=0, t=2.0, w=True)]
+    assert list(typed) == ["{t,w}", ""] and typed["{t,w}"].collect() == [Row(id=1, trials_pos=0, t=2.0, w=True)]
+    assert typed[""].columns == ["id", "trials_pos", "variant", "t", "w"] and typed[""].count() == 0
+    # a variant beyond the table's limit keeps its rows
+    assert nested.typed_tables(t["trials"], ["id", "trials_pos"], "p", most=0)[""].collect() == [Row(id=1, trials_pos=0, variant="{t,w}", t=2.0, w=True)]
     cat = nested.shape_catalogue(t)
     assert cat.where("tbl = 'record' AND object = 'm'").agg(F.sum("n_rows")).first()[0] == 3
 
@@ -133,5 +136,5 @@ def test_clashing_names_and_empty_tables(spark):
 
 
 def test_has_field_matches_whole_names(spark):
-    df = spark.createDataFrame([("{tt,w}",), ("{t:f,w}",), ("{a,t}",), ("0",), (None,)], "s string")
-    assert [r[0] for r in df.select(nested.has_field(F.col("s"), "t")).collect()] == [False, True, True, False, False]
+    df = spark.createDataFrame([("{tt,w}",), ("{t:f,w}",), ("{a,t}",), ("0",), (None,), ("{p:{t,w},cells:n}",), ("{p:{q:{t}},t:{x}}",), ("{}",)], "s string")
+    assert [r[0] for r in df.select(nested.has_field(F.col("s"), "t")).collect()] == [False, True, True, False, False, False, True, False]
