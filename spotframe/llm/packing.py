@@ -12,6 +12,7 @@ items share is spread over all tasks.
 
 from __future__ import annotations
 
+import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -20,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotframe.functions.exprs import coarse_cuts, slot_of
 from spotframe.session import cut
 
 #: A token is a longest run of letters, digits and underscores, or of other characters that
@@ -29,19 +31,26 @@ TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
 def word_tokens(text: Column) -> Column:
     """Number of tokens of a text by ``TOKEN``; NULL for a NULL text. Runs inside the JVM."""
-    return F.size(F.regexp_extract_all(text, F.lit("(?U)" + TOKEN), F.lit(0))).cast("long")
+    return F.regexp_count(text, F.lit("(?U)" + TOKEN)).cast("long")
 
 
-def bpe_tokens(docs: DataFrame, doc_id: str, text: str, ranks_path: str, pattern: str) -> DataFrame:
-    """``id``, ``n_tokens`` by a byte-pair vocabulary in tiktoken's format at ``ranks_path``."""
+def bpe_tokens(docs: DataFrame, doc_id: str, text: str, ranks_path: str, pattern: str, most_bytes: int = 64_000_000) -> DataFrame:
+    """``id``, ``n_tokens`` by a byte-pair vocabulary in tiktoken's format.
+
+    The driver reads the file at ``ranks_path`` (a vocabulary; more than ``most_bytes`` is an
+    error) and broadcasts it, so executors need no copy.
+    """
+    if os.path.getsize(ranks_path) > most_bytes:
+        raise ValueError(f"{ranks_path}: more than {most_bytes} bytes")
+    with open(ranks_path, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import base64
 
         import tiktoken
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
         encoder = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for p in batches:
             yield pd.DataFrame({"id": p["id"], "n_tokens": [0 if t is None else len(encoder.encode_ordinary(t)) for t in p["text"]]})
@@ -153,38 +162,47 @@ def _batches(members: list[tuple[int, int]], capacity: int, rooms: list[tuple[in
     return rows, rooms, fresh
 
 
-def pieces(items: DataFrame, capacity: int) -> DataFrame:
-    """``id``, ``piece`` (from 0), ``length``: an item within the capacity is one piece; empty items none."""
-    n = F.col("n_tokens")
-    rest = n - (F.ceil(n / capacity) - 1) * capacity
-    return items.where("n_tokens > 0").select(
-        "id", F.ceil(n / capacity).alias("n_pieces"), F.posexplode(F.transform(F.sequence(F.lit(1), F.ceil(n / capacity)), lambda i: F.when(i < F.ceil(n / capacity), F.lit(capacity)).otherwise(rest))).alias("piece", "length")
-    )
+def pieces(items: DataFrame, capacities: list[int]) -> DataFrame:
+    """``capacity``, ``id``, ``n_pieces``, ``piece`` (from 0), ``length``: an item within the capacity is one piece; empty items none."""
+    rows = items.where("n_tokens > 0").select("id", "n_tokens", F.explode(F.array(*[F.lit(c) for c in capacities])).alias("capacity"))
+    n = F.ceil(F.col("n_tokens") / F.col("capacity"))
+    rest = F.col("n_tokens") - (n - 1) * F.col("capacity")
+    length = F.transform(F.sequence(F.lit(1).cast("long"), n), lambda i: F.when(i < n, F.col("capacity").cast("long")).otherwise(rest))
+    return rows.select("capacity", "id", n.alias("n_pieces"), F.posexplode(length).alias("piece", "length")).withColumn("length", F.col("length").cast("int"))
 
 
-def pack(items: DataFrame, capacity: int, buckets: int = 16, salts: int = 64) -> DataFrame:
-    """``id``, ``piece``, ``n_pieces``, ``length``, ``container``: where each piece of each item goes.
+def pack_all(items: DataFrame, capacities: list[int], buckets: int = 16, salt_rows: int = 1_000_000) -> DataFrame:
+    """``capacity``, ``id``, ``piece``, ``n_pieces``, ``length``, ``container``: where each piece goes, for each capacity.
 
-    ``items``: ``id``, ``n_tokens``. Containers are numbered from 0 and hold at most
-    ``capacity`` tokens. Items of equal length are placed by their id's hash, so the result
-    doesn't depend on the partitioning. Items without tokens take no room and get no row; an
-    empty table gives no rows.
+    ``items``: ``id``, ``n_tokens``. Containers of a capacity are numbered from 0 and hold at
+    most ``capacity`` tokens. Items of equal length are placed by their id's hash, so the result
+    doesn't depend on the partitioning; they are ranked in as many salted parts as keep one near
+    ``salt_rows`` even if all items were equally long. Items without tokens take no room and get
+    no row; an empty table gives no rows.
     """
-    spark = items.sparkSession
-    parts = cut(pieces(items, capacity).withColumn("length", F.col("length").cast("int")).withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts)).cast("int")))
-    sizes = parts.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    rows = sizes.groupBy("length").agg(F.sum("n").alias("n")).toPandas()  # at most capacity rows
-    if rows.empty:
-        return parts.select("id", "piece", "n_pieces", "length", F.lit(None).cast("long").alias("container"))
-    lengths, counts = rows["length"].to_numpy("int64"), rows["n"].to_numpy("int64")
-    plan = packing_plan(lengths, counts, capacity, bucket_boundaries(lengths, counts, capacity, buckets))
-    runs = plan.groupby("length").apply(lambda g: [tuple(map(int, r)) for r in g[["rank_from", "rank_to", "per", "first"]].itertuples(index=False)], include_groups=False)
-    table = spark.createDataFrame([(int(k), v) for k, v in runs.items()], "length int, runs array<struct<rank_from:long,rank_to:long,per:long,first:long>>")
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    spark, key = items.sparkSession, ["capacity", "length", "salt"]
+    parts = cut(pieces(items, capacities))
+    salts = max(16, -(-parts.count() // salt_rows))
+    parts = parts.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts)).cast("int"))
+    sizes = parts.groupBy(*key).agg(F.count("*").alias("n"))
+    rows = sizes.groupBy("capacity", "length").agg(F.sum("n").alias("n")).toPandas()  # at most the sum of the capacities
+    runs = []
+    for capacity, h in rows.groupby("capacity"):
+        lengths, counts = h["length"].to_numpy("int64"), h["n"].to_numpy("int64")
+        plan = packing_plan(lengths, counts, int(capacity), bucket_boundaries(lengths, counts, int(capacity), buckets)).sort_values(["length", "rank_from"])
+        for length, g in plan.groupby("length"):
+            runs.append((int(capacity), int(length), *[g[c].astype("int64").tolist() for c in ("rank_from", "per", "first")]))
+    table = spark.createDataFrame(runs, "capacity int, length int, rank_from array<long>, per array<long>, first array<long>").withColumn("coarse", coarse_cuts(F.col("rank_from")))
+    before = Window.partitionBy("capacity", "length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    # both tables have at most capacity * salts rows
-    within = Window.partitionBy("length", "salt").orderBy(F.xxhash64("id"), "id", "piece")
-    ranked = parts.withColumn("rn", F.row_number().over(within) - 1).join(offsets, ["length", "salt"]).withColumn("rank", F.col("rn") + F.col("offset"))
-    run = F.element_at(F.filter("runs", lambda r: (r["rank_from"] <= F.col("rank")) & (F.col("rank") < r["rank_to"])), 1)
-    placed = ranked.join(F.broadcast(table), "length").withColumn("run", run)
-    return placed.select("id", "piece", "n_pieces", "length", (F.col("run.first") + F.floor((F.col("rank") - F.col("run.rank_from")) / F.col("run.per"))).alias("container"))
+    within = Window.partitionBy(*key).orderBy(F.xxhash64("id"), "id", "piece")
+    ranked = parts.withColumn("rn", F.row_number().over(within) - 1).join(offsets, key).withColumn("rank", F.col("rn") + F.col("offset"))
+    # the plan has at most as many rows as the histogram
+    placed = ranked.join(F.broadcast(table), ["capacity", "length"]).withColumn("i", slot_of(F.col("coarse"), F.col("rank_from"), F.col("rank"), inclusive=True) - 1)
+    run = lambda c: F.col(c)[F.col("i")]
+    return placed.select("capacity", "id", "piece", "n_pieces", "length", (run("first") + F.floor((F.col("rank") - run("rank_from")) / run("per"))).alias("container"))
+
+
+def pack(items: DataFrame, capacity: int, buckets: int = 16) -> DataFrame:
+    """``pack_all`` for one capacity, without that column."""
+    return pack_all(items, [capacity], buckets).drop("capacity")

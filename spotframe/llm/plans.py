@@ -143,20 +143,9 @@ def p8_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.join(docs, "doc_id").groupBy("source", "reason").agg(F.count("*").alias("n_docs"))
 
 
-def _capacities(spark: SparkSession, sf_dir: str, most: int = 100) -> list[int]:
-    """The containers' capacities; a few kinds by their nature, more than ``most`` is an error."""
-    rows = table(spark, sf_dir, "containers").select("capacity").where("capacity > 0").distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} capacities")
-    return sorted(r[0] for r in rows)
-
-
-def _packed(items: DataFrame, capacities: list[int]) -> DataFrame:
-    parts = [packing.pack(items, c).withColumn("capacity", F.lit(c)) for c in capacities]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _capacities(spark: SparkSession, sf_dir: str) -> list[int]:
+    """The containers' distinct capacities; kinds of containers, not data."""
+    return sorted(r[0] for r in table(spark, sf_dir, "containers").select(F.col("capacity").cast("int")).where("capacity > 0").distinct().collect())
 
 
 def _word_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,14 +156,14 @@ def _word_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its container, for each capacity."""
-    return _packed(_word_items(spark, sf_dir), _capacities(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+    return packing.pack_all(_word_items(spark, sf_dir), _capacities(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
 @query
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that the packing had to split, per capacity."""
-    split = p6_containers(spark, sf_dir).where("container IS NOT NULL AND n_pieces > 1 AND piece = 0")
-    return split.select("doc_id", F.col("capacity").cast("int").alias("capacity"))
+    """Documents that the plan put into more than one container, per capacity."""
+    spread = p6_containers(spark, sf_dir).groupBy("doc_id", "capacity").agg(F.min("container").alias("a"), F.max("container").alias("b"))
+    return spread.where("a < b").select("doc_id", "capacity")
 
 
 SQL["p6_found"] = r"""
@@ -182,11 +171,32 @@ SELECT doc_id, capacity FROM documents, containers
 WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{85}]+')) > capacity"""
 
 
+def _fill(packed: DataFrame) -> DataFrame:
+    boxes = packed.groupBy("capacity", "container").agg(F.sum("length").alias("n"))
+    return boxes.groupBy("capacity").agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_tokens")).withColumn("fill", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")), 4))
+
+
 @query
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per capacity: containers, tokens and the share of room that is used."""
-    packed = p6_containers(spark, sf_dir)
-    return packed.groupBy("capacity").agg(F.countDistinct("container").alias("n_containers"), F.sum("length").alias("n_tokens")).withColumn("fill", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")), 4))
+    return _fill(p6_containers(spark, sf_dir))
+
+
+@query
+def p6_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capacity what every packing must meet: whole documents, no container over its capacity or empty, no needless split."""
+    packed = cut(p6_containers(spark, sf_dir))
+    boxes = packed.groupBy("capacity", "container").agg(F.sum("length").alias("n"))
+    boxes = boxes.groupBy("capacity").agg(F.count_if(F.col("n") > F.col("capacity")).alias("n_over"), (F.max("container") + 1 - F.count("*")).alias("n_unused"), (F.count("*") * F.col("capacity") >= F.sum("n")).alias("has_room"))
+    docs = packed.groupBy("capacity", "doc_id").agg(F.sum("length").alias("n"), F.count("*").alias("k"), F.countDistinct("piece").alias("d"), F.max("n_pieces").alias("want"))
+    docs = docs.groupBy("capacity").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"), F.sum("k").alias("n_pieces"), F.count_if((F.col("k") != F.col("want")) | (F.col("k") != F.col("d"))).alias("n_broken"))
+    return docs.join(boxes, "capacity")
+
+
+SQL["p6_invariants"] = r"""
+WITH d AS (SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{85}]+')) AS n FROM documents)
+SELECT capacity, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(ceil(n / capacity)) AS BIGINT) AS n_pieces, 0 AS n_broken, 0 AS n_over, 0 AS n_unused, true AS has_room
+FROM d, (SELECT DISTINCT capacity FROM containers) c WHERE n > 0 GROUP BY 1"""
 
 
 #: Fixed value: the pre-tokenising pattern of the byte-level vocabulary.
@@ -197,5 +207,4 @@ BYTE_BPE_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+
 def p6_bpe_fill(spark: SparkSession, sf_dir: str, ranks_path: str = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken") -> DataFrame:
     """As p6_fill, with sizes in tokens of a public byte-level vocabulary."""
     items = cut(packing.bpe_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", ranks_path, BYTE_BPE_PATTERN))
-    packed = _packed(items, _capacities(spark, sf_dir))
-    return packed.groupBy("capacity").agg(F.countDistinct("container").alias("n_containers"), F.sum("length").alias("n_tokens")).withColumn("fill", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")), 4))
+    return _fill(packing.pack_all(items, _capacities(spark, sf_dir)))
