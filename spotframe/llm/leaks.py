@@ -4,12 +4,14 @@ Every item is covered by windows of ``window_words`` consecutive words (an item
 is one window). A document holds a window within ``e`` edits only if, in a band of ``e``
 diagonals either way, it shares at least ``n + 1 - q * (e + 1)`` of the window's q-grams (n: its
 characters). Bands worth counting are found without loss: of any ``e + 1`` q-grams of a window
-that don't overlap, at least one survives ``e`` edits, so each window is looked up by its
-``e + 1`` rarest; every hit opens the band around its diagonal. Counted bands that meet the
+that don't overlap, at least one survives ``e`` edits, so each window is looked up by the
+``e + 1`` that are rarest together; every hit opens the band around its diagonal. Counted bands that meet the
 bound are verified by banded alignment, all windows of a batch at once.
 
 The items are the query set. Their index is broadcast in blocks of bounded size; the documents
-are read where they lie and never shuffled.
+are read where they lie, once per block of items, and never shuffled. A window of under
+``q * (e + 1)`` characters allows as many edits fewer as it is short of; one of under q none is
+looked up.
 """
 
 from __future__ import annotations
@@ -27,6 +29,22 @@ from spotframe.llm.text import chunks, gram_hashes, plain_words
 _BITS = 24
 
 
+def _rarest_disjoint(f: np.ndarray, many: int, q: int) -> np.ndarray:
+    """Places of ``many`` q-grams that don't overlap with the least sum of ``f``, chosen together.
+
+    A text of ``many * q`` characters or more always has them.
+    """
+    sums = [f]
+    for _ in range(many - 1):
+        before = np.minimum.accumulate(sums[-1])
+        sums.append(np.r_[np.full(min(q, len(f)), np.inf), f[q:] + before[: len(f) - q]])
+    out, end = [], len(f)
+    for s in reversed(sums):
+        out.append(int(s[:end].argmin()))
+        end = out[-1] - q + 1
+    return np.array(out)
+
+
 class PassageIndex:
     """Windows, q-grams and the rarest-gram postings of a block of items."""
 
@@ -54,21 +72,11 @@ class PassageIndex:
         short = np.r_[0.0, np.cumsum(self._frequency(5))]
         k = q - 5 + 1
         rare = 2 * rare + (short[k : k + len(rare)] - short[: len(rare)])
-        chosen = set()
+        chosen = np.zeros(len(rare), "bool")
         for a, b, e in zip(self.w_from, self.w_to, self.w_edits):
-            f = rare[a : b - q + 1].copy()
-            for _ in range(e + 1):
-                # of the rarest, one that was chosen before, else the first
-                j = int(f.argmin())
-                if not math.isfinite(f[j]):
-                    break
-                for t in np.flatnonzero(f == f[j]):
-                    if int(a + t) in chosen:
-                        j = int(t)
-                        break
-                chosen.add(int(a + j))
-                f[max(0, j - q + 1) : j + q] = np.inf
-        at = np.array(sorted(chosen), "int64")
+            # of equals, those that were chosen before: fewer postings
+            chosen[a + _rarest_disjoint(rare[a : b - q + 1] - 1e-9 * chosen[a : b - q + 1], int(e) + 1, q)] = True
+        at = np.flatnonzero(chosen)
         order = np.argsort(h[at], kind="stable") if len(at) else at
         self.p_hash, self.p_at = h[at][order] if len(at) else h[:0], at[order] if len(at) else at
         self.bitmap = np.zeros(1 << _BITS, "bool")
@@ -120,12 +128,10 @@ class PassageIndex:
             at = np.repeat(f - step * base[:-1], size) + step * np.arange(base[-1])
             there = at + np.repeat(diag, size)
             first, last = np.repeat(starts[doc], size), np.repeat(starts[doc + 1] - q, size)
-            mine, meets, straight = self.hashes[at], np.zeros(len(at), "bool"), np.zeros(len(at), "bool")
+            mine, meets = self.hashes[at], np.zeros(len(at), "bool")
             for k in range(-E, E + 1):
                 x = there + k
-                same = (h[np.clip(x, 0, len(h) - 1)] == mine) & (x >= first) & (x < last)
-                straight = same if k == 0 else straight
-                meets |= same
+                meets |= (h[np.clip(x, 0, len(h) - 1)] == mine) & (x >= first) & (x < last)
             if step == q:
                 cs, many = np.r_[0, np.cumsum(meets)], w1 - w0
                 hit_of = np.repeat(np.arange(len(pos)), many)
@@ -137,22 +143,18 @@ class PassageIndex:
                 if not len(pos):
                     return none
         # counts of each window in its band
-        cs, cl = np.r_[0, np.cumsum(meets)], np.r_[0, np.cumsum(straight)]
+        cs = np.r_[0, np.cumsum(meets)]
         many = w1 - w0
         hit_of = np.repeat(np.arange(len(pos)), many)
         w = np.repeat(w0 - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
         x, y = self.w_from[w] - f[hit_of] + base[hit_of], self.w_to[w] - q + 1 - f[hit_of] + base[hit_of]
-        shared, exact, length = cs[y] - cs[x], cl[y] - cl[x] == y - x, y - x + q - 1
-        keep = exact | (shared >= length + 1 - q * (self.w_edits[w] + 1))
+        shared, length = cs[y] - cs[x], y - x + q - 1
+        keep = shared >= length + 1 - q * (self.w_edits[w] + 1)
         if not keep.any():
             return none
-        rows = np.unique(np.stack([doc[hit_of], w, diag[hit_of], shared, exact], 1)[keep], axis=0)
-        doc, w, diag, shared, exact = rows.T
-        edits = np.where(exact, 0, self.max_edits + 1)
-        ask = np.flatnonzero(exact == 0)
-        for s in range(0, len(ask), 20_000):
-            part = ask[s : s + 20_000]
-            edits[part] = self._align(chars, w[part], diag[part])
+        rows = np.unique(np.stack([doc[hit_of], w, diag[hit_of], shared], 1)[keep], axis=0)
+        doc, w, diag, shared = rows.T
+        edits = np.concatenate([self._align(chars, w[s : s + 20_000], diag[s : s + 20_000]) for s in range(0, len(w), 20_000)])
         ok = edits <= self.w_edits[w]
         return {"doc": doc[ok], "item": self.w_item[w[ok]], "words": self.w_words[w[ok]], "edits": edits[ok], "shared": shared[ok], "item_at": self.w_from[w[ok]] - self.starts[self.w_item[w[ok]]], "doc_at": (self.w_from[w] + diag)[ok] - starts[doc[ok]]}
 
@@ -181,16 +183,14 @@ class PassageIndex:
         return result
 
 
-def index_blocks(items: DataFrame, item_id: str, text: str, max_chars: int = 16_000_000, **options: int) -> list[PassageIndex]:
-    """Indexes over all items, each of about ``max_chars`` characters, which bounds what is broadcast."""
+def index_blocks(items: DataFrame, item_id: str, text: str, max_chars: int = 16_000_000, **options: int) -> Iterator[PassageIndex]:
+    """Indexes over all items, each of about ``max_chars`` characters, which bounds what is broadcast; the driver holds one at a time."""
     rows = items.select(F.col(item_id).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / max_chars))
-    blocks = []
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k).orderBy("id").collect() if n > 1 else rows.orderBy("id").collect()
-        blocks.append(PassageIndex([r[0] for r in part], [r[1] for r in part], **options))
-    return blocks
+        yield PassageIndex([r[0] for r in part], [r[1] for r in part], **options)
 
 
 SCHEMA = "doc_id long, item_id long, n_windows int, words int, edits int, shared_qgrams int, doc_at int, item_at int"
@@ -208,6 +208,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
     for index in index_blocks(items, item_id, text, **options):
         shared = spark.sparkContext.broadcast(index)
+        del index
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ix = shared.value

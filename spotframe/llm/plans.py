@@ -110,6 +110,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("edits = 0 AND words >= 13").select("doc_id", "item_id")
 
 
+SQL["p7_found"] = r"""
+WITH w AS (
+  SELECT kind, id, list_filter(regexp_split_to_array(lower(regexp_replace(strip_accents(text), '[\p{Cf}\p{Mn}]', '', 'g')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws
+  FROM (SELECT 'doc' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'item', item_id, text FROM eval_items) WHERE text IS NOT NULL),
+g AS (SELECT kind, id, k, ws[k] || ' ' || ws[k + 6] || ' ' || ws[k + 12] AS t FROM (SELECT kind, id, ws, unnest(generate_series(1, len(ws) - 12)) AS k FROM w WHERE len(ws) >= 13)),
+c AS (SELECT d.id AS doc_id, d.k AS a, i.id AS item_id, i.k AS b FROM g d JOIN g i ON d.t = i.t WHERE d.kind = 'doc' AND i.kind = 'item')
+SELECT DISTINCT doc_id, item_id FROM c JOIN w d ON d.kind = 'doc' AND d.id = doc_id JOIN w i ON i.kind = 'item' AND i.id = item_id WHERE d.ws[a : a + 12] = i.ws[b : b + 12]"""
+
+
 @query
 def p7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All passages within one edit in 13 words, with their places."""

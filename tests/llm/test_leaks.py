@@ -94,6 +94,45 @@ def test_bound_keeps_every_window_within_the_edits(spark):
     assert {r.doc_id for r in found(spark, docs, [item], max_edits=2)} == set(range(40))
 
 
+def within_one(window, text):
+    """Brute force: whether a stretch of the text is within one edit of the window."""
+    n = len(window)
+    for i in range(len(text)):
+        for m in (n - 1, n, n + 1):
+            t = text[i : i + m]
+            if len(t) < m:
+                continue
+            k = next((j for j, (a, b) in enumerate(zip(window, t)) if a != b), min(n, m))
+            if window[k + (m <= n) :] == t[k + (m >= n) :]:
+                return True
+    return False
+
+
+def test_short_windows_with_an_edit_are_all_found(spark):
+    rng = random.Random(8)
+    items, docs = [], []
+    for n in range(24, 36):
+        for _ in range(6):
+            w = "".join(rng.choice("abcdefgh") if rng.random() < 0.75 else " " for _ in range(n - 2)).split()
+            items.append(" ".join(w))
+            t = f"zq {' '.join(w)} qz"
+            p = rng.randrange(3, len(t) - 3)
+            docs.append(t[:p] + rng.choice(["", "x", "xy"[: 1 + (t[p] == "x")] + t[p]]) + t[p + 1 :])
+    got = {(r.doc_id, r.item_id) for r in found(spark, docs, items, window_words=30)}
+    pad = lambda t: " " + " ".join(words(t)) + " "
+    long_enough = [i for i, t in enumerate(items) if len(pad(t)) >= 24]
+    want = {(d, i) for i in long_enough for d, u in enumerate(docs) if within_one(pad(items[i]), pad(u))}
+    assert len(want) > 40 and want <= got
+    assert all(i not in long_enough or (d, i) in want for d, i in got)
+
+
+def test_rarest_disjoint_grams_are_chosen_together():
+    f = np.array([5, 5, 5, 0.5, 5, 5, 5, 1.0])
+    assert sorted(leaks._rarest_disjoint(f, 2, 4)) == [3, 7] and leaks._rarest_disjoint(f, 1, 4).tolist() == [3]
+    # the rarest alone would leave no second one
+    assert sorted(leaks._rarest_disjoint(np.array([3.0, 1, 2]), 2, 2)) == [0, 2]
+
+
 def test_empty_null_short_and_repeated(spark):
     assert found(spark, [], ["some item of several words here"]) == []
     assert found(spark, ["a text", None, ""], []) == []
