@@ -144,6 +144,19 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_statistics(spark, sf_dir).where("kind IS NOT NULL").select("doc_id", "kind")
 
 
+@query
+def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, mean word length, lines and share of lines that end a sentence, per document."""
+    return p8_statistics(spark, sf_dir).select("doc_id", "n_words", F.round("mean_word_length", 6).alias("mean_word_length"), "n_lines", F.round("terminal_share", 6).alias("terminal_share"))
+
+
+SQL["p8_counts"] = r"""
+WITH t AS (SELECT doc_id, regexp_replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\p{Cf}', '', 'g') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[\p{L}\p{Mn}]+') AS ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\s\p{Z}\x{85}\x{1c}-\x{1f}]')) AS ls FROM t),
+n AS (SELECT doc_id, len(ws) AS n_words, list_sum(list_transform(ws, lambda x: length(x))) AS chars, len(ls) AS n_lines, len(list_filter(ls, lambda l: regexp_matches(l, '[.!?…][\s\p{Z}\x{85}]*$'))) AS ends FROM w)
+SELECT doc_id, n_words, round(coalesce(chars, 0) / greatest(n_words, 1), 6) AS mean_word_length, n_lines, round(ends / greatest(n_lines, 1), 6) AS terminal_share FROM n"""
+
+
 @query
 def p8_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents of each source fail each rule."""

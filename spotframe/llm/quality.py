@@ -24,8 +24,8 @@ TERMINALS = ".!?…"
 MANGLED = "ÃÂâ€ï¿½™œ�"
 #: Vowels of the four languages.
 VOWELS = "aeiouyàáâäãåæèéêëìíîïòóôöõøœùúûüÿ"
-#: Common words that also stand in dates and names; they don't make a line a sentence.
-_BINDERS = frozenset("de des du del of von y and et und la le los las".split())
+#: Common words that also stand inside dates and names; they don't make a line a sentence.
+BINDERS = ("de", "des", "du", "del", "of", "von", "y", "and", "et", "und", "la", "le", "los", "las")
 
 _RANDOM = np.random.default_rng(7).integers(1, 2**63, 64, dtype="uint64") | np.uint64(1)
 
@@ -110,6 +110,8 @@ class Lines:
         cd = np.r_[0, np.cumsum(digit)]
         self.hex4 = np.bincount(tline[(t1 - t0 == 4) & (ch[t1] - ch[t0] == 4)], minlength=n_lines)
         self.numeric = np.bincount(tline[cd[t1] - cd[t0] > 0], minlength=n_lines)
+        cl = np.r_[0, np.cumsum(letter)]
+        self.alphabetic = np.bincount(tline[cl[t1] - cl[t0] > 0], minlength=n_lines)
         # words: longest runs of letters (with marks)
         w0 = np.flatnonzero(letter & ~np.r_[False, letter[:-1]])
         w1 = np.flatnonzero(letter & ~np.r_[letter[1:], False]) + 1
@@ -121,6 +123,8 @@ class Lines:
         is_common = found(common)
         self.common = np.bincount(wline[is_common], minlength=n_lines)
         self.joining = np.bincount(wline[is_common & ~found(binders)], minlength=n_lines)
+        pairs = np.unique(np.stack([self.doc[wline[is_common]].astype("uint64"), h[is_common]], 1), axis=0)
+        self.distinct_common = np.bincount(pairs[:, 0].astype("int64"), minlength=len(texts))
         self.capital = np.bincount(wline[cls[w0] == UPPER], minlength=n_lines)
         self.single = np.bincount(wline[w1 - w0 == 1], minlength=n_lines)
         # the first token and the last character
@@ -177,8 +181,9 @@ class Lines:
         kind = np.select([~full, heading, table & ~speechless, junk | menu, entry | names, prose, loose], ["", "heading", "table", "junk", "list", "prose", "junk"], "")
         # lines that a document repeats are filler, whatever they say
         seen, of, times = np.unique(np.stack([self.doc.astype("uint64"), self.key], 1)[full], axis=0, return_inverse=True, return_counts=True)
-        filler = np.zeros(len(n), "bool")
+        filler, self.repeated = np.zeros(len(n), "bool"), np.zeros(len(n), "bool")
         times = times[of.reshape(-1)]
+        self.repeated[full] = times >= 2
         filler[full] = (times >= 4) & np.isin(kind[full], ["", "prose"]) | (times >= 2) & (kind[full] == "")
         kind[filler] = "junk"
         # three or more bare names in a row are a list without marks
@@ -190,22 +195,25 @@ class Lines:
         return kind
 
 
-STATS = "n_chars long, n_lines long, n_words long, mean_word_length double, symbol_ratio double, digit_share double, upper_share double, alpha_share double, terminal_share double, bullet_share double, ellipsis_share double, common_share double, n_joining long, list_share double, table_share double, junk_share double"
+STATS = "n_chars long, n_lines long, n_words long, mean_word_length double, symbol_ratio double, digit_share double, upper_share double, alpha_share double, terminal_share double, bullet_share double, ellipsis_share double, common_share double, n_stop_words long, short_line_share double, repeated_char_share double, list_share double, table_share double, junk_share double"
 
-#: Rule name, statistic, lowest and highest value that pass. The thresholds on word
-#: count, word length, symbols, bullets, ellipses and common words are those published for
-#: web-text filters; the shares of list, table and junk are "more than half".
+#: Rule name, statistic, lowest and highest value that pass. From the quality rules of
+#: Rae et al. 2021 (MassiveText): words, word length, symbols to words, bullets, ellipses, tokens with
+#: a letter, two different stop words. From Penedo et al. 2024 (FineWeb): lines that end in
+#: punctuation, short lines, characters in repeated lines. List, table and junk: "more than half".
 RULES = (
     ("too_few_words", "n_words", 50, None),
     ("too_many_words", "n_words", None, 100_000),
     ("word_length_low", "mean_word_length", 3.0, None),
     ("word_length_high", "mean_word_length", None, 10.0),
     ("symbols", "symbol_ratio", None, 0.1),
-    ("few_alphabetic_tokens", "alpha_share", 0.6, None),
     ("bullets", "bullet_share", None, 0.9),
     ("ellipses", "ellipsis_share", None, 0.3),
+    ("few_alphabetic_tokens", "alpha_share", 0.8, None),
+    ("few_stop_words", "n_stop_words", 2, None),
     ("few_terminal_lines", "terminal_share", 0.12, None),
-    ("few_common_words", "n_joining", 2, None),
+    ("short_lines", "short_line_share", None, 0.67),
+    ("repeated_lines", "repeated_char_share", None, 0.1),
     ("list", "list_share", None, 0.5),
     ("table", "table_share", None, 0.5),
     ("junk", "junk_share", None, 0.5),
@@ -231,19 +239,21 @@ def _stats(texts: list[str | None], common: np.ndarray, binders: np.ndarray) ->
         "symbol_ratio": safe(total(lines.symbols), words),
         "digit_share": safe(total(lines.digits), chars),
         "upper_share": safe(total(lines.uppers), total(lines.letters)),
-        "alpha_share": np.minimum(safe(words, total(lines.tokens)), 1.0),
+        "alpha_share": safe(total(lines.alphabetic), total(lines.tokens)),
         "terminal_share": safe(total(lines.terminal & full), n_lines),
         "bullet_share": safe(total(lines.bulleted & full), n_lines),
         "ellipsis_share": safe(total((lines.dots > 0) & full), n_lines),
         "common_share": safe(total(lines.common), words),
-        "n_joining": total(lines.joining).astype("int64"),
+        "n_stop_words": lines.distinct_common.astype("int64"),
+        "short_line_share": safe(total(full & (lines.chars <= 30)), n_lines),
+        "repeated_char_share": safe(total(np.where(lines.repeated, lines.chars, 0)), chars),
     }
     for k in ("list", "table", "junk"):
         out[f"{k}_share"] = safe(total(np.where(kinds == k, lines.chars, 0)), body)
     return out
 
 
-def text_quality(docs: DataFrame, common_words: DataFrame, doc_id: str = "doc_id", text: str = "text", word: str = "word", most_words: int = 100_000) -> DataFrame:
+def text_quality(docs: DataFrame, common_words: DataFrame, doc_id: str = "doc_id", text: str = "text", word: str = "word", binders: tuple[str, ...] = BINDERS, most_words: int = 100_000) -> DataFrame:
     """One row per document: its statistics, ``reasons`` (names of the failed rules), ``kind``.
 
     ``kind`` is ``list``, ``table`` or ``junk`` where more than half of the characters outside
@@ -254,7 +264,7 @@ def text_quality(docs: DataFrame, common_words: DataFrame, doc_id: str = "doc_id
     rows = common_words.select(F.lower(word).alias("w")).where("w IS NOT NULL").distinct().limit(most_words + 1).collect()
     if len(rows) > most_words:
         raise ValueError(f"more than {most_words} common words")
-    common, binders = hash_words(sorted(r[0] for r in rows)), hash_words(sorted(_BINDERS))
+    common, binding = hash_words(sorted(r[0] for r in rows)), hash_words(list(binders))
     fields = [x.split() for x in STATS.split(", ")]
     kinds = {"long": pa.int64(), "double": pa.float64()}
 
@@ -262,7 +272,7 @@ def text_quality(docs: DataFrame, common_words: DataFrame, doc_id: str = "doc_id
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in chunks(texts, 500_000):
-                s = _stats(texts[a:b], common, binders)
+                s = _stats(texts[a:b], common, binding)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[pa.array(s[n], kinds[k]) for n, k in fields]], names=["doc_id", *[n for n, _ in fields]])
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -55,7 +55,7 @@ def test_null_empty_and_repeated(spark):
 def test_empty_tables(spark):
     assert run(spark, []) == {}
     docs = spark.createDataFrame([(1, PROSE)], "doc_id long, text string")
-    assert quality.text_quality(docs, spark.createDataFrame([], "word string")).first().n_joining == 0
+    assert quality.text_quality(docs, spark.createDataFrame([], "word string")).first().n_stop_words == 0
 
 
 def test_batches_do_not_change_statistics():
@@ -64,3 +64,11 @@ def test_batches_do_not_change_statistics():
     whole = quality._stats(texts, common, common)
     single = [quality._stats([t], common, common) for t in texts]
     assert all(np.allclose(whole[k], np.concatenate([s[k] for s in single])) for k in whole)
+
+
+def test_published_rules(spark):
+    got = run(spark, ["the the the " + "word " * 60, "a 12 34 5 of", "same line\nsame line\nother", None])
+    assert got[0].n_stop_words == 1 and "few_stop_words" in got[0].reasons and got[0].n_words == 63
+    assert got[1].alpha_share == pytest.approx(0.4) and "few_alphabetic_tokens" in got[1].reasons and got[1].n_stop_words == 2
+    assert got[2].repeated_char_share == pytest.approx(16 / 21) and {"repeated_lines", "short_lines"} <= set(got[2].reasons)
+    assert got[3].alpha_share == 0 and got[3].short_line_share == 0
