@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,14 +33,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a result that several later jobs read.
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder's path under the one that the session names in ``spark.checkpoint.dir``, which all executors share.
 
-    The copy goes to the folder that the session names in ``spark.checkpoint.dir``, which all
-    executors share, so that it outlives any of them. Only where nothing is set (tests) a
-    folder of this machine is used.
+    Only a local master may have none set (tests); it gets a folder of this machine.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "spotframe-checkpoint"))
-    return df.checkpoint(eager=True)
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "spotframe-checkpoint"))
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/{kind}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a result that several later jobs read: it is written as a table in the shared folder.
+
+    The table outlives any executor. Unlike a checkpoint's, its size is known, so joins with it
+    are planned by what it holds; in a loop, a checkpoint's estimate would multiply every round.
+    """
+    path = shared_folder(df.sparkSession, "cut")
+    df.write.option("compression", "lz4").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

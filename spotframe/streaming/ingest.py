@@ -2,31 +2,22 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spotframe.session import table
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under the one in ``spark.checkpoint.dir``, which all executors share."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "spotframe-checkpoint"))
-    return f"{sc._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
-
-
 def file_stream(spark: SparkSession, sf_dir: str, name: str, per_trigger: int = 100) -> DataFrame:
-    """A table's files as a stream, in the order in which they arrive."""
+    """A table's files as a stream, in the order in which they arrive.
+
+    The table is a folder of files or one file; the file system that holds it is asked which.
+    """
     schema = table(spark, sf_dir, name).schema
-    path = f"{sf_dir}/{name}.parquet"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
-    return reader.parquet(path) if os.path.isdir(path.removeprefix("file:")) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return reader.parquet(f"{sf_dir}/{name}.parquet") if folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def append_once(stream: DataFrame, out: str) -> None:
