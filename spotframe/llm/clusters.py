@@ -4,7 +4,7 @@ Distinct points are split level by level, all nodes of a level at once. A node i
 its box is compact: in every dimension the smallest value is within ``tolerance`` of the
 largest, so all its members are similar to each other. Large nodes are split by aggregations
 over the cluster (two centres, a few Lloyd steps of sums and counts with map-side combining);
-once no node holds more than ``local_rows`` points, each is finished inside one task.
+once no wide node holds more than ``local_rows`` points, each is finished inside one task.
 """
 
 from __future__ import annotations
@@ -93,58 +93,66 @@ def _split_local(p: pd.DataFrame, xs: list[str], tolerance: float, steps: int) -
     return np.unique(node, return_inverse=True)[1]
 
 
-def bisect_clusters(points: DataFrame, xs: list[str], tolerance: float = 0.02, local_rows: int = 20_000, steps: int = 3, levels: int = 200) -> DataFrame:
+def bisect_clusters(points: DataFrame, xs: list[str], tolerance: float = 0.02, local_rows: int | None = None, steps: int = 2) -> DataFrame:
     """``points`` with ``leaf`` (STRING): the leaf of the bisecting tree that holds each.
 
     ``points`` must hold distinct points, so that copies can't make a node that no split parts.
-    Every leaf is compact by ``tolerance``. The driver holds only the number of open nodes.
+    Every leaf is compact by ``tolerance``. Every level splits all its nodes that are wide and
+    hold more than ``local_rows`` points, and each part of a split is smaller than its node, so
+    the levels end. ``local_rows`` is a quarter of the points unless given, from 500 to 20,000, so
+    that the splits run across the cluster at any size. The driver holds at most 10,000 nodes.
     """
-    z = [_scaled(F.col(x)) for x in xs]
-    rows = cut(points.withColumns({f"_z{i}": c for i, c in enumerate(z)}).withColumn("node", F.lit("r")))
-    done = None
-    zs = [f"_z{i}" for i in range(len(xs))]
-    for _ in range(levels):
+    d = range(len(xs))
+    zs = [f"_z{i}" for i in d]
+    rows = cut(points.withColumns({z: _scaled(F.col(x)) for z, x in zip(zs, xs)}).withColumn("node", F.lit("r")))
+    local_rows = local_rows or min(20_000, max(500, rows.count() // 4))
+    first = lambda test: reduce(lambda e, i: F.when(test(i), i).otherwise(e), reversed(d), F.lit(0))
+    far = lambda c: reduce(lambda a, b: a + b, [(F.col(zs[i]) - F.col(f"{c}{i}")) ** 2 for i in d])
+    nearer = far("d") < far("c")
+    most = lambda names: F.greatest(*names) if len(names) > 1 else names[0]
+    done = []
+    while True:
         stats = rows.groupBy("node").agg(F.count("*").alias("n"), *[a for i, x in enumerate(xs) for a in (F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.avg(zs[i]).alias(f"m{i}"), F.var_pop(zs[i]).alias(f"v{i}"), F.min(zs[i]).alias(f"a{i}"), F.max(zs[i]).alias(f"b{i}"))])
-        wide = ~reduce(and_, [near(F.col(f"lo{i}"), F.col(f"hi{i}"), tolerance) for i in range(len(xs))])
-        large = cut(stats.where(wide & (F.col("n") > local_rows)))
-        n_open = large.count()
-        if not n_open:
+        wide = ~reduce(and_, [near(F.col(f"lo{i}"), F.col(f"hi{i}"), tolerance) for i in d])
+        large = stats.where(wide & (F.col("n") > local_rows))
+        # up to 10,000 open nodes make a broadcast table, more are written and shuffled
+        some = large.limit(10_001).collect()
+        if not some:
             break
-        # the table of open nodes is broadcast while it has at most 10,000 rows, else shuffled
-        small = F.broadcast if n_open <= 10_000 else (lambda t: t)
-        most = F.greatest(*[F.col(f"v{i}") for i in range(len(xs))]) if len(xs) > 1 else F.col("v0")
-        axis = reduce(lambda e, i: F.when(F.col(f"v{i}") == most, i).otherwise(e), range(len(xs) - 1, -1, -1), F.lit(0))
-        centres = large.withColumn("axis", axis).select("node", "n", *[f"m{i}" for i in range(len(xs))], *[(F.col(f"m{i}") + s * F.when(F.col("axis") == i, F.sqrt(most)).otherwise(0.0)).alias(f"{c}{i}") for i in range(len(xs)) for s, c in ((-1, "c"), (1, "d"))])
-        far = lambda c: reduce(lambda a, b: a + b, [(F.col(zs[i]) - F.col(f"{c}{i}")) ** 2 for i in range(len(xs))])
+        small = F.broadcast if len(some) <= 10_000 else (lambda t: t)
+        large = points.sparkSession.createDataFrame(some, large.schema) if len(some) <= 10_000 else cut(large)
+        spread, span = most([F.col(f"v{i}") for i in d]), most([F.col(f"b{i}") - F.col(f"a{i}") for i in d])
+        axis, waxis = first(lambda i: F.col(f"v{i}") == spread), first(lambda i: F.col(f"b{i}") - F.col(f"a{i}") == span)
+        # two centres about the mean along the widest axis; the cut through the middle of the widest side of the box
+        centres = large.select(
+            "node", "n", waxis.alias("waxis"), reduce(lambda e, i: F.when(waxis == i, (F.col(f"a{i}") + F.col(f"b{i}")) / 2).otherwise(e), d, F.lit(None).cast("double")).alias("mid"), *[f"m{i}" for i in d],
+            *[(F.col(f"m{i}") + s * F.when(axis == i, F.sqrt(spread)).otherwise(0.0)).alias(f"{c}{i}") for i in d for s, c in ((-1, "c"), (1, "d"))],
+        )
+        kept = centres.columns
         for _ in range(steps):
-            sums = rows.join(small(centres), "node").withColumn("side", (far("d") < far("c")).cast("int")).groupBy("node").agg(F.sum("side").alias("n1"), *[F.sum(F.when(F.col("side") == 1, F.col(zs[i]))).alias(f"s{i}") for i in range(len(xs))])
-            both = centres.join(sums, "node")
+            sums = rows.join(small(centres), "node").groupBy(*kept).agg(F.count_if(nearer).alias("n1"), *[F.sum(F.when(nearer, F.col(zs[i]))).alias(f"s{i}") for i in d])
             ok = (F.col("n1") > 0) & (F.col("n1") < F.col("n"))
-            centres = cut(both.select("node", "n", *[f"m{i}" for i in range(len(xs))], *[e for i in range(len(xs)) for e in (F.when(ok, (F.col(f"m{i}") * F.col("n") - F.col(f"s{i}")) / (F.col("n") - F.col("n1"))).otherwise(F.col(f"c{i}")).alias(f"c{i}"), F.when(ok, F.col(f"s{i}") / F.col("n1")).otherwise(F.col(f"d{i}")).alias(f"d{i}"))]))
-        # where all rows would fall on one side: the middle of the widest side of the box
-        check = rows.join(small(centres), "node").groupBy("node").agg(F.sum((far("d") < far("c")).cast("int")).alias("n1"))
-        span = F.greatest(*[F.col(f"b{i}") - F.col(f"a{i}") for i in range(len(xs))]) if len(xs) > 1 else F.col("b0") - F.col("a0")
-        waxis = reduce(lambda e, i: F.when(F.col(f"b{i}") - F.col(f"a{i}") == span, i).otherwise(e), range(len(xs) - 1, -1, -1), F.lit(0))
-        plan = centres.join(check, "node").join(large.select("node", waxis.alias("waxis"), *[f"a{i}" for i in range(len(xs))], *[f"b{i}" for i in range(len(xs))]), "node")
+            moved = {f"d{i}": F.when(ok, F.col(f"s{i}") / F.col("n1")).otherwise(F.col(f"d{i}")) for i in d} | {f"c{i}": F.when(ok, (F.col(f"m{i}") * F.col("n") - F.col(f"s{i}")) / (F.col("n") - F.col("n1"))).otherwise(F.col(f"c{i}")) for i in d}
+            centres = sums.select(*[moved[c].alias(c) if c in moved else c for c in kept])
+        # where all rows would fall on one side, the middle of the widest side parts them
+        plan = rows.join(small(centres), "node").groupBy(*kept).agg(F.count_if(nearer).alias("n1"))
         stuck = (F.col("n1") == 0) | (F.col("n1") == F.col("n"))
-        mid = reduce(lambda e, i: F.when(F.col("waxis") == i, F.col(zs[i]) > (F.col(f"a{i}") + F.col(f"b{i}")) / 2).otherwise(e), range(len(xs)), F.lit(False))
-        side = F.when(stuck, mid).otherwise(far("d") < far("c"))
-        parted = rows.join(small(plan), "node", "left")
-        done_now = parted.where("n IS NULL").select(*rows.columns)
-        done = done_now if done is None else done.unionByName(done_now)
-        rows = cut(parted.where("n IS NOT NULL").withColumn("node", F.concat("node", F.when(side, "1").otherwise("0"))).select(*rows.columns))
-    whole = (rows if done is None else rows.unionByName(done)).drop(*zs)
-    names = whole.columns
+        own = reduce(lambda e, i: F.when(F.col("waxis") == i, F.col(zs[i])).otherwise(e), d, F.lit(None).cast("double"))
+        side = F.when(stuck, own > F.col("mid")).otherwise(nearer)
+        parted = cut(rows.join(small(plan), "node", "left").select(*points.columns, *zs, F.when(F.col("n").isNotNull(), F.concat("node", F.when(side, "1").otherwise("0"))).alias("_next"), "node"))
+        done.append(parted.where("_next IS NULL").select(*points.columns, "node"))
+        rows = parted.where("_next IS NOT NULL").select(*points.columns, *zs, F.col("_next").alias("node"))
+    whole = reduce(DataFrame.unionByName, [*done, rows.select(*points.columns, "node")])
 
     def finish(p: pd.DataFrame) -> pd.DataFrame:
         return p.assign(node=p["node"] + "." + pd.Series(_split_local(p, xs, tolerance, steps), index=p.index).astype(str))
 
     # compact nodes of any size are leaves as they stand; only nodes of up to local_rows go to one task
-    stats = whole.groupBy("node").agg(F.count("*").alias("n"), *[a for i, x in enumerate(xs) for a in (F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"))])
-    compact = stats.select("node", reduce(and_, [near(F.col(f"lo{i}"), F.col(f"hi{i}"), tolerance) for i in range(len(xs))]).alias("compact"))
-    whole = cut(whole.join(compact, "node"))
-    parts = whole.where("NOT compact").select(*names).groupBy("node").applyInPandas(finish, whole.select(*names).schema)
-    return cut(parts.unionByName(whole.where("compact").select(*names)).withColumnRenamed("node", "leaf"))
+    stats = whole.groupBy("node").agg(*[a for i, x in enumerate(xs) for a in (F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"))])
+    compact = stats.select("node", reduce(and_, [near(F.col(f"lo{i}"), F.col(f"hi{i}"), tolerance) for i in d]).alias("compact"))
+    marked = whole.join(compact, "node")
+    parts = marked.where("NOT compact").drop("compact").groupBy("node").applyInPandas(finish, marked.drop("compact").schema)
+    return cut(parts.unionByName(marked.where("compact").drop("compact")).withColumnRenamed("node", "leaf"))
 
 
 def leaf_table(leaves: DataFrame, xs: list[str]) -> DataFrame:
