@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotframe.functions.exprs import dot, monomials
+from spotframe.operators.stats import group_percentiles
+from spotframe.session import cut
 
 
 def polynomial_fit(df: DataFrame, group: str, coords: list[str], target: str, degree: int = 3) -> DataFrame:
@@ -54,7 +56,8 @@ def fit_residuals(df: DataFrame, fit: DataFrame, group: str, coords: list[str],
     rows = df.join(fit, group)
     b = monomials(*[(F.col(c).cast("double") - F.col("means")[i]) / 100.0 for i, c in enumerate(coords)], degree=degree)
     r = rows.select(group, "n", F.size("coefficients").alias("terms"), F.abs(F.col(target).cast("double") - dot(F.col("coefficients"), b)).alias("r")).where("NOT isnan(r)")
-    return r.groupBy(group).agg(F.avg("r").alias("mean"), F.percentile("r", F.lit(0.9)).alias("p90"), (F.max("n") >= 2 * F.max("terms")).alias("ok"))
+    r = cut(r)
+    return r.groupBy(group).agg(F.avg("r").alias("mean"), (F.max("n") >= 2 * F.max("terms")).alias("ok")).join(group_percentiles(r, [group], "r", {"p90": 0.9}), group)
 
 
 def rigid_fit(pairs: DataFrame, group: list[str]) -> DataFrame:

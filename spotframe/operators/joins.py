@@ -111,19 +111,44 @@ def nearest_group(groups: DataFrame, key: str, ident: str, low: str, high: str,
     return pairs.groupBy(key, ident).agg(F.min(F.struct("gap", "nearest")).alias("m")).select(key, ident, F.col("m.nearest").alias("nearest"), F.col("m.gap").alias("gap"))
 
 
-def running_total(df: DataFrame, group: list[str], order: str, value: str, name: str, slots: int = 256) -> DataFrame:
+def same(group: list[str], prefix: str) -> Column:
+    """Whether the group columns are those named with a prefix; NULL equals NULL."""
+    return reduce(and_, [F.col(g).eqNullSafe(F.col(f"{prefix}{g}")) for g in group], F.lit(True))
+
+
+def with_slots(df: DataFrame, group: list[str], order: str, slot_rows: int = 100_000, slots: int = 256) -> DataFrame:
+    """``df``, written once, with ``_slot``: groups above ``slot_rows`` rows are cut at quantiles of ``order``; all others are one slot."""
+    df = cut(df)
+    large = df.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > slot_rows)
+    if large.isEmpty():
+        return df.withColumn("_slot", F.lit(0))
+    large = cut(large.select(*[F.col(g).alias(f"c_{g}") for g in group]))
+    hot = df.join(large, same(group, "c_")).groupBy(*[f"c_{g}" for g in group])
+    cuts = hot.agg(F.array_distinct(F.percentile_approx(order, [i / slots for i in range(1, slots)], F.lit(10_000))).alias("_cuts")).withColumn("_coarse", coarse_cuts(F.col("_cuts")))
+    return cut(df.join(cuts, same(group, "c_"), "left").withColumn("_slot", slot_of(F.col("_coarse"), F.col("_cuts"), F.col(order))).select(*df.columns, "_slot"))
+
+
+def running_total(df: DataFrame, group: list[str], order: str, value: str, name: str, slot_rows: int = 100_000, slots: int = 256) -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` over rows of the group with a smaller or equal ``order``.
 
-    ``order`` must be distinct within its group. The group is cut at quantiles into slots; the
-    totals before a slot are a window over one row per slot, so no task holds a whole group.
+    ``order`` must be distinct within its group. Large groups come in slots; the totals before a
+    slot are a window over one row per slot, so no task holds a whole group of any size.
     """
-    cuts = df.groupBy(*group).agg(F.percentile_approx(order, [i / slots for i in range(1, slots)], F.lit(10_000)).alias("_cuts"))
-    on = lambda p: reduce(and_, [F.col(g).eqNullSafe(F.col(f"{p}{g}")) for g in group])
-    cuts = cuts.select(*[F.col(g).alias(f"c_{g}") for g in group], F.array_distinct("_cuts").alias("_cuts")).withColumn("_coarse", coarse_cuts(F.col("_cuts")))
-    rows = cut(df.join(cuts, on("c_"), "left").withColumn("_slot", slot_of(F.col("_coarse"), F.col("_cuts"), F.col(order))).select(*df.columns, "_slot"))
+    rows = with_slots(df, group, order, slot_rows, slots)
     sums = rows.groupBy(*group, "_slot").agg(F.sum(value).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*[F.col(g).alias(f"s_{g}") for g in group], F.col("_slot").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     inner = Window.partitionBy(*group, "_slot").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_in", F.sum(value).over(inner))
-    return rows.join(sums, on("s_") & (F.col("_slot") == F.col("_s"))).select(*df.columns, (F.col("_base") + F.col("_in")).alias(name))
+    return rows.join(sums, same(group, "s_") & (F.col("_slot") == F.col("_s"))).select(*df.columns, (F.col("_base") + F.col("_in")).alias(name))
+
+
+def running_least(df: DataFrame, group: list[str], order: str, value: str, name: str, slot_rows: int = 100_000) -> DataFrame:
+    """``df`` with ``name``: the least ``value`` over rows of the group with a greater or equal ``order``, as ``running_total``."""
+    rows = with_slots(df, group, order, slot_rows)
+    least = rows.groupBy(*group, "_slot").agg(F.min(value).alias("_n"))
+    after = Window.partitionBy(*group).orderBy("_slot").rowsBetween(1, Window.unboundedFollowing)
+    least = least.select(*[F.col(g).alias(f"s_{g}") for g in group], F.col("_slot").alias("_s"), F.min("_n").over(after).alias("_later"))
+    inner = Window.partitionBy(*group, "_slot").orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    rows = rows.withColumn("_in", F.min(value).over(inner))
+    return rows.join(least, same(group, "s_") & (F.col("_slot") == F.col("_s"))).select(*df.columns, F.least("_in", "_later").alias(name))

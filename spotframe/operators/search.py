@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotframe.functions.exprs import bump_score, equivalent_diameter, range_score
+from spotframe.operators.stats import group_percentiles
+from spotframe.session import cut
 
 #: Family, parameter, kind, lowest, highest, choices. The bounded search space.
 PARAM_SPACE = [
@@ -18,14 +20,22 @@ PARAM_SPACE = [
     ("mean_fold", "max_size", "int", 400.0, 40000.0, None),
     ("mad_tophat", "tophat_radius", "int", 2.0, 12.0, None),
     ("mad_tophat", "noise_k", "float", 1.0, 6.0, None),
+    ("mad_tophat", "seed_h_k", "float", 0.1, 2.0, None),
     ("mad_tophat", "blur_sigma", "float", 0.0, 2.0, None),
     ("mad_tophat", "min_size", "int", 3.0, 300.0, None),
+    ("log_dog", "variant", "cat", None, None, ["log", "dog"]),
+    ("log_dog", "min_sigma", "float", 0.8, 3.0, None),
+    ("log_dog", "max_sigma", "float", 2.0, 8.0, None),
     ("log_dog", "num_sigma", "int", 3.0, 8.0, None),
     ("log_dog", "threshold", "float", 0.002, 0.2, None),
+    ("log_dog", "fg_floor_pct", "float", 40.0, 95.0, None),
     ("log_dog", "min_size", "int", 3.0, 300.0, None),
     ("h_dome", "h", "float", 0.02, 0.6, None),
+    ("h_dome", "min_distance", "int", 1.0, 8.0, None),
+    ("h_dome", "fg_floor_pct", "float", 40.0, 95.0, None),
     ("h_dome", "watershed", "bool", None, None, None),
     ("h_dome", "min_size", "int", 3.0, 300.0, None),
+    ("otsu_adaptive", "method", "cat", None, None, ["otsu", "local"]),
     ("otsu_adaptive", "block_size", "int", 15.0, 151.0, None),
     ("otsu_adaptive", "offset_k", "float", -1.0, 3.0, None),
     ("otsu_adaptive", "watershed", "bool", None, None, None),
@@ -70,27 +80,30 @@ def clip_with_defaults(specs: DataFrame, params: DataFrame, keys: list[str]) ->
     return full.select(*keys, "family", "param", value.alias("num"), text.alias("text"), F.col("val").isNull().alias("defaulted"))
 
 
-def proxy_score(cells: DataFrame, group: list[str]) -> DataFrame:
-    """Panel metrics from one row per cell: ``count``, ``fill``, ``n_vols``, ``tiny``, ``huge``.
+def proxy_score(cells: DataFrame, sizes: DataFrame, group: list[str]) -> DataFrame:
+    """Panel metrics of each group of cells.
 
-    A group without counts has a count CV of 9.9, one without spots only tiny ones.
+    ``cells``: ``count``, ``fill`` and ``volume`` (of the nucleus) per cell; ``sizes``: ``size``
+    (voxels) and ``contrast`` per spot. A group without counts has a count CV of 9.9, one
+    without spots only tiny ones. A spot is huge against the group's median nucleus, whose
+    ``volume`` is in the unit of ``size``.
     """
-    return cells.groupBy(*group).agg(
-        F.percentile("count", F.lit(0.5)).alias("median_count"),
-        F.coalesce(F.when(F.avg("count") > 0, F.stddev_pop("count") / F.avg("count")), F.lit(9.9)).alias("count_cv"),
-        F.percentile("fill", F.lit(0.5)).alias("median_fill"),
-        F.coalesce(F.try_divide(F.sum("tiny"), F.sum("n_vols")), F.lit(1.0)).alias("frac_tiny"),
-        F.coalesce(F.try_divide(F.sum("huge"), F.sum("n_vols")), F.lit(0.0)).alias("frac_huge"),
-    )
+    cells, sizes = cut(cells), cut(sizes)
+    out = cells.groupBy(*group).agg(F.coalesce(F.when(F.avg("count") > 0, F.stddev_pop("count") / F.avg("count")), F.lit(9.9)).alias("count_cv"))
+    for rows, column, name in ((cells, "count", "median_count"), (cells, "fill", "median_fill"), (cells, "volume", "median_nucleus"), (sizes, "size", "median_vol"), (sizes, "contrast", "median_contrast")):
+        out = out.join(group_percentiles(rows, group, column, {name: 0.5}), group, "left")
+    out = cut(out)
+    far = sizes.join(out.select(*group, "median_nucleus"), group).groupBy(*group).agg(F.avg((F.col("size") < 3).cast("int")).alias("frac_tiny"), F.avg((F.col("size") > 0.05 * F.col("median_nucleus")).cast("int")).alias("frac_huge"))
+    return out.join(far, group, "left").fillna({"frac_tiny": 1.0, "frac_huge": 0.0})
 
 
-def panel_score(m: DataFrame, expect: dict[str, tuple[float, float]] | None) -> DataFrame:
-    """``m`` with ``valid`` and ``score`` from its metric columns."""
+def panel_score(m: DataFrame, expect: dict[str, tuple[float, float]] | None, voxel: float = 1.0) -> DataFrame:
+    """``m`` with ``valid`` and ``score`` from its metric columns, by fixed weights; ``voxel`` is the volume of one."""
     c = lambda n: F.coalesce(F.col(n), F.lit(0.0))
     contrast, repro = F.tanh(c("median_contrast") / 5.0), 1 / (1 + F.col("count_cv"))
     clean = (1 - F.col("frac_tiny")) * (1 - F.col("frac_huge"))
     if expect:
-        shape = 0.6 * range_score(equivalent_diameter(c("median_vol")), *expect["eq_diam"]) + 0.4 * clean
+        shape = 0.6 * range_score(equivalent_diameter(c("median_vol") * voxel), *expect["eq_diam"]) + 0.4 * clean
         score = 0.85 * (0.45 * range_score(c("median_count"), *expect["count"]) + 0.30 * shape + 0.25 * range_score(c("median_fill"), *expect["coverage"])) + 0.15 * (0.5 * contrast + 0.5 * repro)
     else:
         fill = bump_score(c("median_fill"), 0.002, 0.25)

@@ -9,35 +9,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spotframe.operators.joins import running_total
+from spotframe.operators.joins import running_least, running_total, same
 from spotframe.session import cut
 
 
+def _cubed(t: Column) -> Column:
+    """What t equal values take from the variance of ranks."""
+    return t.cast("double") * t * t - t
+
+
 def rank_statistics(long: DataFrame, control: str, features: list[str]) -> DataFrame:
     """Cliff's delta and Mann-Whitney z of each group against ``control``, per feature.
 
     ``long``: the ``features`` columns, ``grp``, ``value`` (NULL and NaN left out). Values are
     first counted per distinct value, group by group, so ties need no peers and a group of a
-    third of all rows is only as long as its distinct values; the ranks come from running
-    totals in slots. z has the tie and continuity corrections and is NULL where all values tie;
+    third of all rows is only as long as its distinct values; the ranks come from one running
+    total of the control per feature, in slots. z has the tie and continuity corrections and is NULL where all values tie;
     a group or a control with fewer than 3 values gives NULL figures.
     """
     rows = long.where("value IS NOT NULL AND NOT isnan(value) AND grp IS NOT NULL")
     counts = cut(rows.groupBy(*features, "grp", "value").agg(F.count("*").alias("n")))
-    ctrl = counts.where(F.col("grp") == control).select(*features, "value", F.col("n").alias("nc"))
-    groups = counts.where(F.col("grp") != control).select(*features, "grp").distinct()
     mine = counts.where(F.col("grp") != control)
-    # every distinct value of the group or of the control, once per group
-    both = mine.select(*features, "grp", "value", "n", F.lit(0).cast("long").alias("nc")).unionByName(groups.join(ctrl, features).select(*features, "grp", "value", F.lit(0).cast("long").alias("n"), "nc"))
-    both = cut(both.groupBy(*features, "grp", "value").agg(F.sum("n").alias("n"), F.sum("nc").alias("nc")))
-    both = running_total(both, [*features, "grp"], "value", "nc", "below")
-    t = F.col("n") + F.col("nc")
+    # one running total of the control over the distinct values of all groups, looked up by each
+    ctrl = counts.groupBy(*features, "value").agg(F.coalesce(F.sum(F.when(F.col("grp") == control, F.col("n"))), F.lit(0)).alias("nc"))
+    below = running_total(ctrl, features, "value", "nc", "below").withColumnsRenamed({c: f"r_{c}" for c in [*features, "value"]})
+    whole = ctrl.groupBy(*features).agg(F.sum("nc").alias("nb"), F.sum(_cubed(F.col("nc"))).alias("own_ties")).withColumnsRenamed({c: f"w_{c}" for c in features})
+    both = mine.join(below, same([*features, "value"], "r_"))
     out = both.groupBy(*features, "grp").agg(
         F.sum("n").alias("na"),
-        F.sum("nc").alias("nb"),
         F.sum(F.col("n") * (F.col("below") - F.col("nc") + 0.5 * F.col("nc"))).cast("double").alias("u"),
-        F.sum(t.cast("double") * t * t - t).alias("ties"),
+        F.sum(_cubed(F.col("n") + F.col("nc")) - _cubed(F.col("nc"))).alias("more_ties"),
     )
+    out = out.join(whole, same(features, "w_")).withColumn("ties", F.col("own_ties") + F.col("more_ties"))
     na, nb = F.col("na").cast("double"), F.col("nb").cast("double")
     n = na + nb
     var = na * nb / 12.0 * ((n + 1) - F.coalesce(F.try_divide("ties", n * (n - 1)), F.lit(0.0)))
@@ -56,19 +59,15 @@ def two_sided_p(z: pd.Series) -> pd.Series:
 def bh_adjust(df: DataFrame, group: list[str], p: str, name: str = "padj") -> DataFrame:
     """Benjamini-Hochberg adjusted p per group; NULL and NaN stay NULL and don't count.
 
-    p-values are counted per distinct value, so ties share one row; the reverse running minimum
-    is over distinct p-values of the group.
+    p-values are counted per distinct value, so ties share one row; ranks and the reverse
+    running minimum come in slots, so a group of any size is spread.
     """
-    ok = F.col(p).isNotNull() & ~F.isnan(p)
-    counts = df.where(ok).groupBy(*group, p).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*group)
-    ranked = counts.withColumn("_rank", F.sum("_n").over(w.orderBy(p).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_m", F.sum("_n").over(w))
-    adj = F.least(F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(w.orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))
-    table = ranked.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col(p).alias("_p"), adj.alias(name))
-    cond = F.col(p) == F.col("_p")
-    for i, g in enumerate(group):
-        cond = cond & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    return df.join(table, cond, "left").select(*df.columns, name)
+    counts = cut(df.where(F.col(p).isNotNull() & ~F.isnan(p)).groupBy(*group, F.col(p).alias("_p")).agg(F.count("*").alias("_n")))
+    sizes = counts.groupBy(*group).agg(F.sum("_n").alias("_m")).withColumnsRenamed({g: f"m_{g}" for g in group})
+    ranked = running_total(counts, group, "_p", "_n", "_rank").join(sizes, same(group, "m_")).withColumn("_q", F.col("_p") * F.col("_m") / F.col("_rank"))
+    table = running_least(ranked.select(*group, "_p", "_q"), group, "_p", "_q", "_least")
+    table = table.select(*[F.col(g).alias(f"g_{g}") for g in group], "_p", F.least("_least", F.lit(1.0)).alias(name))
+    return df.join(table, same(group, "g_") & (F.col(p) == F.col("_p")), "left").select(*df.columns, name)
 
 
 def to_long(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
@@ -116,35 +115,57 @@ def composition(df: DataFrame, group: str, token: str) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(group)))
 
 
-def group_percentiles(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+def group_percentiles(df: DataFrame, group: list[str], value: str, shares: dict[str, float], most: int = 200_000) -> DataFrame:
     """``group`` and one column per name of ``shares``: exact percentiles with linear interpolation.
 
-    For groups of any size: rows are counted per distinct value with map-side combining, running
-    counts come in slots, and only the two values around each rank are kept, so no task holds a
-    group's values. NULL and NaN don't count; NULL group keys form groups.
+    Rows are counted per distinct value with map-side combining. Where no group has more than
+    ``most`` distinct values, they are one aggregate per group. Larger groups get running counts
+    in slots, and only the two values around each rank are kept, so that no task holds a group's
+    values. NULL and NaN don't count; NULL group keys form groups.
     """
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*group, F.col(value).cast("double").alias("_v"))
     counts = cut(rows.groupBy(*group, "_v").agg(F.count("*").alias("_n")))
+    if counts.groupBy(*group).agg(F.count("*").alias("_k")).where(F.col("_k") > most).isEmpty():
+        q = counts.groupBy(*group).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in shares.values()]), F.col("_n")).alias("_q"))
+        return q.select(*group, *[F.col("_q")[i].alias(n) for i, n in enumerate(shares)])
     run = running_total(counts, group, "_v", "_n", "_upto")
     sizes = counts.groupBy(*group).agg((F.sum("_n") - 1).alias("_last"))
     want = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), (F.col("_last") * F.lit(float(p))).alias("place")) for n, p in shares.items()])).alias("_w")
     want = sizes.select(*[F.col(g).alias(f"w_{g}") for g in group], want).select(*[f"w_{g}" for g in group], "_w.*")
-    at = (F.floor("place") < F.col("_upto")) & (F.ceil("place") >= F.col("_upto") - F.col("_n"))
-    for g in group:
-        at = at & F.col(g).eqNullSafe(F.col(f"w_{g}"))
+    at = (F.floor("place") < F.col("_upto")) & (F.ceil("place") >= F.col("_upto") - F.col("_n")) & same(group, "w_")
     both = run.join(F.broadcast(want) if not group else want, at).groupBy(*group, "name", "place").agg(F.min("_v").alias("a"), F.max("_v").alias("b"))
     x = F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - F.floor("place"))
     return both.groupBy(*group).agg(*[F.max(F.when(F.col("name") == n, x)).alias(n) for n in shares])
 
 
+#: Fixed value: a normal distribution's deviation over its median absolute deviation.
+MAD_SCALE = 1.4826
+
+
 def robust_noise(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """``median``, ``mad`` (x 1.4826, of values at or below the median, at least 1) and ``snr`` = (p99 - median) / mad.
+    """``median``, ``p99``, ``mad`` (x 1.4826, of all values about the median; 1 where it is 0) and ``snr`` = (p99 - median) / mad.
 
     Two passes of percentiles per group.
     """
-    rows = cut(df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*group, F.col(value).cast("double").alias("_x")))
-    first = cut(group_percentiles(rows, group, "_x", {"median": 0.5, "p99": 0.99}))
-    low = rows.join(first, group).where(F.col("_x") <= F.col("median")).select(*group, F.abs(F.col("_x") - F.col("median")).alias("_dev"))
-    dev = group_percentiles(low, group, "_dev", {"_d": 0.5})
-    mad = F.greatest(F.col("_d") * 1.4826, F.lit(1.0))
-    return first.join(dev, group).select(*group, "median", mad.alias("mad"), ((F.col("p99") - F.col("median")) / mad).alias("snr"))
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*group, F.col(value).cast("double").alias("_x"))
+    first = group_percentiles(rows, group, "_x", {"median": 0.5, "p99": 0.99})
+    first = cut(first.withColumnsRenamed({g: f"f_{g}" for g in group}))
+    dev = group_percentiles(rows.join(first, same(group, "f_")).select(*group, F.abs(F.col("_x") - F.col("median")).alias("_dev")), group, "_dev", {"_d": 0.5})
+    mad = F.when(F.col("_d") > 0, F.col("_d") * MAD_SCALE).otherwise(1.0)
+    return dev.join(first, same(group, "f_")).select(*group, "median", "p99", mad.alias("mad"), ((F.col("p99") - F.col("median")) / mad).alias("snr"))
+
+
+def background_noise(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """``noise`` of the background: MAD (x 1.4826) of the values at or below the median about their own median.
+
+    Where that is 0, the MAD of all values, at least 1. Percentiles in three passes per group.
+    """
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*group, F.col(value).cast("double").alias("_x"))
+    med = cut(group_percentiles(rows, group, "_x", {"_m": 0.5}).withColumnsRenamed({g: f"f_{g}" for g in group}))
+    rows = rows.join(med, same(group, "f_")).select(*group, "_x", "_m")
+    low = cut(group_percentiles(rows.where("_x <= _m"), group, "_x", {"_l": 0.5}).withColumnsRenamed({g: f"l_{g}" for g in group}))
+    both = rows.join(low, same(group, "l_")).select(*group, F.abs(F.col("_x") - F.col("_m")).alias("_all"), F.when(F.col("_x") <= F.col("_m"), F.abs(F.col("_x") - F.col("_l"))).alias("_dev"))
+    full = group_percentiles(both, group, "_all", {"_a": 0.5}).withColumnsRenamed({g: f"a_{g}" for g in group})
+    half = group_percentiles(both, group, "_dev", {"_d": 0.5})
+    noise = F.when(F.col("_d") > 0, F.col("_d") * MAD_SCALE).otherwise(F.greatest(F.col("_a") * MAD_SCALE, F.lit(1.0)))
+    return half.join(full, same(group, "a_")).select(*group, noise.alias("noise"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotframe.operators.matrix import connected_labels
-from spotframe.operators.stats import group_percentiles
+from spotframe.operators.stats import background_noise, group_percentiles
 from spotframe.session import cut
 
 PLACE = ["z", "y", "x"]
@@ -152,11 +152,8 @@ def above(v: DataFrame, thresholds: DataFrame, key: list[str], floor: float = 0.
 
 
 def noise_threshold(v: DataFrame, key: list[str], k: float) -> DataFrame:
-    """k times the noise: deviations of values at or below the median, at least 1."""
-    med = group_percentiles(v, key, "v", {"m": 0.5})
-    low = v.join(med, key).where("v <= m").select(*key, F.abs(F.col("v") - F.col("m")).alias("dev"))
-    dev = group_percentiles(low, key, "dev", {"d": 0.5})
-    return dev.select(*key, (k * F.greatest(F.col("d") * 1.4826, F.lit(1.0))).alias("threshold"))
+    """k times the background's noise."""
+    return background_noise(v, key, "v").select(*key, (k * F.col("noise")).alias("threshold"))
 
 
 def detect(v: DataFrame, key: list[str], family: str, **p: float) -> DataFrame:

@@ -148,12 +148,21 @@ def coloc_fraction_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coloc(spark, sf_dir).select("fov", "nucleus", "n_partners", R("frac", 6).alias("frac"), R("nn_um", 5).alias("nn_um"), R("enrich", 4).alias("enrich"))
 
 
+def coloc_figures(c: DataFrame, group: list[str]) -> DataFrame:
+    """Mean, median and count of the fractions and the median enrichment, for groups of any size."""
+    c = cut(c.select(*group, "frac", "enrich"))
+    out = c.groupBy(*group).agg(R(F.avg("frac"), 6).alias("frac_mean"), F.count("frac").alias("frac_count"))
+    for column, name, places in (("frac", "frac_median", 6), ("enrich", "enrich_median", 4)):
+        out = out.join(stats.group_percentiles(c, group, column, {name: 0.5}).withColumn(name, R(name, places)), group, "left")
+    return out
+
+
 @query(_COLOC + """SELECT condition, round(avg(frac), 6) AS frac_mean, round(median(frac), 6) AS frac_median, count(frac) AS frac_count, round(median(enrich), 4) AS enrich_median
 FROM coloc JOIN conditions ON fov BETWEEN fov_start AND fov_end GROUP BY 1""")
 def coloc_summary_by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, median and count of the co-localization columns per condition."""
     c = joins.range_lookup(coloc(spark, sf_dir), "fov", table(spark, sf_dir, "conditions"), "fov_start", "fov_end", ["condition"]).where("condition IS NOT NULL")
-    return c.groupBy("condition").agg(R(F.avg("frac"), 6).alias("frac_mean"), R(F.percentile("frac", F.lit(0.5)), 6).alias("frac_median"), F.count("frac").alias("frac_count"), R(F.percentile("enrich", F.lit(0.5)), 4).alias("enrich_median"))
+    return coloc_figures(c, ["condition"])
 
 
 #: Fixed value: the pairs of the co-localization summaries.
@@ -214,7 +223,7 @@ FROM coloc JOIN conditions ON fov BETWEEN fov_start AND fov_end GROUP BY 1, 2, 3
 def coloc_summary_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, median and count of the co-localization columns per condition and marker pair."""
     c = joins.range_lookup(coloc_of_pairs(spark, sf_dir), "fov", table(spark, sf_dir, "conditions"), "fov_start", "fov_end", ["condition"]).where("condition IS NOT NULL")
-    return c.groupBy("condition", "a", "b").agg(R(F.avg("frac"), 6).alias("frac_mean"), R(F.percentile("frac", F.lit(0.5)), 6).alias("frac_median"), F.count("frac").alias("frac_count"), R(F.percentile("enrich", F.lit(0.5)), 4).alias("enrich_median"))
+    return coloc_figures(c, ["condition", "a", "b"])
 
 
 def condition_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,23 +330,23 @@ def zscore_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NOISE = f"""WITH {SPOTS}, m AS (SELECT marker, median(intensity) AS med, quantile_cont(intensity, 0.99) AS p99 FROM spots GROUP BY 1),
-d AS (SELECT marker, greatest(median(abs(intensity - med)) * 1.4826, 1) AS mad FROM spots JOIN m USING (marker) WHERE intensity <= med GROUP BY 1)
+d AS (SELECT marker, coalesce(nullif(median(abs(intensity - med)) * 1.4826, 0), 1) AS mad FROM spots JOIN m USING (marker) GROUP BY 1)
 SELECT marker, round(med, 4) AS median, round(mad, 4) AS mad, round((p99 - med) / mad, 5) AS snr FROM m JOIN d USING (marker)"""
 
 
 @query(_NOISE)
 def robust_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median, noise from the lower half, and robust signal-to-noise ratio per marker."""
+    """Median, median absolute deviation and robust signal-to-noise ratio per marker."""
     return stats.robust_noise(spots(spark, sf_dir), ["marker"], "intensity").select("marker", R("median", 4).alias("median"), R("mad", 4).alias("mad"), R("snr", 5).alias("snr"))
 
 
 @query(f"""WITH {SPOTS}, b AS (SELECT fov, marker, quantile_cont(intensity, 0.05) AS bg FROM spots WHERE intensity IS NOT NULL GROUP BY 1, 2)
-SELECT focus_id, round(greatest(intensity - bg, 0) + 1e-7, 4) AS signal FROM spots JOIN b USING (fov, marker) WHERE intensity IS NOT NULL""")
+SELECT focus_id, round(greatest(intensity - bg, 0), 3) AS signal FROM spots JOIN b USING (fov, marker) WHERE intensity IS NOT NULL""")
 def percentile_background(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signal above the 5th percentile of its field of view and marker, clipped at 0."""
     s = cut(spots(spark, sf_dir).where("intensity IS NOT NULL").select("focus_id", "fov", "marker", "intensity"))
     bg = stats.group_percentiles(s, ["fov", "marker"], "intensity", {"bg": 0.05})
-    return s.join(bg, ["fov", "marker"]).select("focus_id", R(F.greatest(F.col("intensity") - F.col("bg"), F.lit(0.0)) + 1e-7, 4).alias("signal"))
+    return s.join(bg, ["fov", "marker"]).select("focus_id", R(F.greatest(F.col("intensity") - F.col("bg"), F.lit(0.0)), 3).alias("signal"))
 
 
 @query(f"""WITH {SPOTS}, q AS (SELECT marker, quantile_cont(volume, [0.05, 0.25, 0.5, 0.75, 0.95]) AS q FROM spots GROUP BY 1)

@@ -98,30 +98,31 @@ def config_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.join(old, ["round_id", "param"], "left").select("round_id", "param", line.alias("line"))
 
 
+VOXEL = 0.108 * 0.108 * 0.3
 _EXPECT = {"count": (2.0, 40.0), "eq_diam": (0.3, 1.5), "coverage": (0.001, 0.1)}
 
 
 def panel_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per condition and marker the panel metrics; cells are nuclei, contrasts are against the marker's noise."""
-    s = spots(spark, sf_dir).where("condition IS NOT NULL AND nucleus <> 0 AND volume IS NOT NULL AND intensity IS NOT NULL")
-    noise = stats.robust_noise(spots(spark, sf_dir), ["marker"], "intensity")
+    s = cut(spots(spark, sf_dir).select("condition", "marker", "fov", "nucleus", "volume", "intensity"))
+    noise = stats.robust_noise(s.select("marker", "intensity"), ["marker"], "intensity")
     n = nuclei(spark, sf_dir).where("nucleus_volume_um3 > 0").select("fov", "nucleus", "nucleus_volume_um3")
-    rows = cut(s.join(n, ["fov", "nucleus"]).join(F.broadcast(noise), "marker").select("condition", "marker", "fov", "nucleus", "nucleus_volume_um3", "volume", ((F.col("intensity") - F.col("median")) / F.col("mad")).alias("contrast"), "snr"))
-    cells = rows.groupBy("condition", "marker", "fov", "nucleus", "nucleus_volume_um3").agg(F.count("*").alias("count"), (F.sum("volume") / F.col("nucleus_volume_um3")).alias("fill"), F.count("*").alias("n_vols"), F.count_if(F.col("volume") < 0.01).alias("tiny"), F.count_if(F.col("volume") > 0.05 * F.col("nucleus_volume_um3")).alias("huge"))
+    rows = s.where("condition IS NOT NULL AND nucleus <> 0 AND volume IS NOT NULL AND intensity IS NOT NULL").join(n, ["fov", "nucleus"]).join(cut(noise), "marker")
+    rows = cut(rows.select("condition", "marker", "fov", "nucleus", (F.col("nucleus_volume_um3") / VOXEL).alias("nv"), (F.col("volume") / VOXEL).alias("size"), ((F.col("intensity") - F.col("median")) / F.col("mad")).alias("contrast"), "snr"))
     by = ["condition", "marker"]
-    spot = stats.group_percentiles(rows, by, "volume", {"median_vol": 0.5}).join(stats.group_percentiles(rows, by, "contrast", {"median_contrast": 0.5}), by)
-    return search.proxy_score(cells, by).join(spot, by).join(rows.groupBy(*by).agg(F.max("snr").alias("snr")), by)
+    cells = rows.groupBy(*by, "fov", "nucleus").agg(F.count("*").alias("count"), (F.sum("size") / F.max("nv")).alias("fill"), F.max("nv").alias("volume"))
+    return search.proxy_score(cells, rows.select(*by, "size", "contrast"), by).join(rows.groupBy(*by).agg(F.max("snr").alias("snr")), by)
 
 
 _M = f"""WITH {SPOTS}, {NUCLEI}, m0 AS (SELECT marker, median(intensity) AS med, quantile_cont(intensity, 0.99) AS p99 FROM spots GROUP BY 1),
-d0 AS (SELECT marker, greatest(median(abs(intensity - med)) * 1.4826, 1) AS mad FROM spots JOIN m0 USING (marker) WHERE intensity <= med GROUP BY 1),
-r AS (SELECT condition, marker, fov, nucleus, nucleus_volume_um3 AS nv, volume, (intensity - med) / mad AS contrast, (p99 - med) / mad AS snr
+d0 AS (SELECT marker, coalesce(nullif(median(abs(intensity - med)) * 1.4826, 0), 1) AS mad FROM spots JOIN m0 USING (marker) GROUP BY 1),
+r AS (SELECT condition, marker, fov, nucleus, nucleus_volume_um3 / {VOXEL} AS nv, volume / {VOXEL} AS size, (intensity - med) / mad AS contrast, (p99 - med) / mad AS snr
       FROM spots JOIN nuclei USING (fov, nucleus) JOIN m0 USING (marker) JOIN d0 USING (marker)
       WHERE condition IS NOT NULL AND nucleus <> 0 AND volume IS NOT NULL AND intensity IS NOT NULL AND nucleus_volume_um3 > 0),
-c AS (SELECT condition, marker, fov, nucleus, count(*) AS n, sum(volume) / any_value(nv) AS fill, count(*) FILTER (WHERE volume < 0.01) AS tiny, count(*) FILTER (WHERE volume > 0.05 * nv) AS huge FROM r GROUP BY 1, 2, 3, 4),
-a AS (SELECT condition, marker, median(n) AS mc, stddev_pop(n) / avg(n) AS cv, median(fill) AS mf, sum(tiny) / sum(n) AS ft, sum(huge) / sum(n) AS fh FROM c GROUP BY 1, 2),
-b AS (SELECT condition, marker, median(volume) AS mv, median(contrast) AS mcon, max(snr) AS snr FROM r GROUP BY 1, 2),
-e AS (SELECT *, tanh(mcon / 5) AS ct, 1 / (1 + cv) AS rt, (1 - ft) * (1 - fh) AS clean, pow(mv * 6 / pi(), 1.0 / 3) AS ed, mc >= 1 AND mf < 0.6 AND mc < 5000 AS valid FROM a JOIN b USING (condition, marker))
+c AS (SELECT condition, marker, fov, nucleus, count(*) AS n, sum(size) / any_value(nv) AS fill, any_value(nv) AS nv FROM r GROUP BY 1, 2, 3, 4),
+a AS (SELECT condition, marker, median(n) AS mc, stddev_pop(n) / avg(n) AS cv, median(fill) AS mf, median(nv) AS mn FROM c GROUP BY 1, 2),
+b AS (SELECT condition, marker, median(size) AS mv, median(contrast) AS mcon, max(snr) AS snr, avg(CASE WHEN size < 3 THEN 1 ELSE 0 END) AS ft, avg(CASE WHEN size > 0.05 * mn THEN 1 ELSE 0 END) AS fh FROM r JOIN a USING (condition, marker) GROUP BY 1, 2),
+e AS (SELECT *, tanh(mcon / 5) AS ct, 1 / (1 + cv) AS rt, (1 - ft) * (1 - fh) AS clean, pow(mv * {VOXEL} * 6 / pi(), 1.0 / 3) AS ed, mc >= 1 AND mf < 0.6 AND mc < 5000 AS valid FROM a JOIN b USING (condition, marker))
 """
 _rs = lambda x, lo, hi: f"(CASE WHEN {x} <= 0 THEN 0 WHEN {x} < {lo} THEN pow({x} / {lo}, 1.5) WHEN {x} > {hi} THEN {hi} / {x} ELSE 1 END)"
 
@@ -129,14 +130,14 @@ _rs = lambda x, lo, hi: f"(CASE WHEN {x} <= 0 THEN 0 WHEN {x} < {lo} THEN pow({x
 @query(_M + f"SELECT condition, marker, valid, round((0.85 * (0.45 * {_rs('mc', 2.0, 40.0)} + 0.30 * (0.6 * {_rs('ed', 0.3, 1.5)} + 0.4 * clean) + 0.25 * {_rs('mf', 0.001, 0.1)}) + 0.15 * (0.5 * ct + 0.5 * rt)) * CASE WHEN valid THEN 1 ELSE 0.05 END, 6) AS score FROM e")
 def panel_proxy_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The anchored panel score of each condition and marker."""
-    return search.panel_score(panel_metrics(spark, sf_dir), _EXPECT).select("condition", "marker", "valid", R("score", 6).alias("score"))
+    return search.panel_score(panel_metrics(spark, sf_dir), _EXPECT, VOXEL).select("condition", "marker", "valid", R("score", 6).alias("score"))
 
 
 @query(_M + """, f AS (SELECT *, CASE WHEN mf <= 0 THEN 0 WHEN mf < 0.002 THEN greatest(0, 1 - log10(0.002 / mf)) WHEN mf > 0.25 THEN greatest(0, 1 - log10(mf / 0.25)) ELSE 1 END AS bp FROM e)
 SELECT condition, marker, valid, round(CASE WHEN snr < 8 THEN 0.45 * ct + 0.30 * rt + 0.10 * bp + 0.15 * clean ELSE 0.30 * ct + 0.20 * rt + 0.25 * bp + 0.25 * clean END * CASE WHEN valid THEN 1 ELSE 0.05 END, 6) AS score FROM f""")
 def agnostic_proxy_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The agnostic panel score, with weights by signal-to-noise ratio."""
-    return search.panel_score(panel_metrics(spark, sf_dir), None).select("condition", "marker", "valid", R("score", 6).alias("score"))
+    return search.panel_score(panel_metrics(spark, sf_dir), None, VOXEL).select("condition", "marker", "valid", R("score", 6).alias("score"))
 
 
 @query(_T + """, c AS (SELECT round_id, trial_pos, unnest(x.metrics.cells) AS y FROM t WHERE len(x.metrics.cells) > 0)

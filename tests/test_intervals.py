@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -106,7 +107,10 @@ def test_nearest_group(spark):
     assert got == {"p": ("e1", 50.0)}
 
 
-def test_running_total(spark):
+@pytest.mark.parametrize("rows", [10, 1000])
+def test_running_total(spark, rows):
     df = spark.createDataFrame([("a", float(i), 1) for i in range(50)] + [("b", 1.0, 4)], "g string, o double, n int")
-    got = {(r.g, r.o): r.t for r in joins.running_total(df, ["g"], "o", "n", "t", slots=8).collect()}
+    got = {(r.g, r.o): r.t for r in joins.running_total(df, ["g"], "o", "n", "t", slot_rows=rows, slots=8).collect()}
     assert got == {**{("a", float(i)): i + 1 for i in range(50)}, ("b", 1.0): 4}
+    least = {(r.g, r.o): r.t for r in joins.running_least(df.withColumn("v", F.abs(F.col("o") - 20.0)), ["g"], "o", "v", "t", slot_rows=rows).collect()}
+    assert least == {**{("a", float(i)): float(max(i - 20, 0)) for i in range(50)}, ("b", 1.0): 19.0}
