@@ -28,43 +28,50 @@ def bead_flag(intensity: Column, diameter: Column, least_intensity: dict[str, fl
     return F.coalesce(ok, F.lit(False))
 
 
-def nucleus_marker_features(spots: DataFrame, nuclei: DataFrame, markers: list[str]) -> DataFrame:
-    """One row per nucleus and marker; nuclei without spots of a marker get zero counts.
+def nucleus_marker_features(spots: DataFrame, nuclei: DataFrame, totals: DataFrame, markers: list[str], voxel: float) -> DataFrame:
+    """One row per nucleus and marker; nuclei without spots of a marker get zeros.
 
-    ``spots``: fov, nucleus, marker, volume, intensity, integrated, is_bead. ``nuclei``: fov,
-    nucleus, nucleus_volume_um3. Beads are counted apart and enter no other figure. Median and
-    CV are NULL where they don't exist (one spot has no spread); fractions are 0 without spots.
+    ``spots``: fov, nucleus, marker, volume, intensity, integrated, is_bead, local_dapi.
+    ``nuclei``: fov, nucleus, nucleus_volume_um3, volume_vox. ``totals``: fov, nucleus, marker,
+    ``total``, the image's sum over the nucleus. ``voxel``: volume of a voxel. Beads are counted
+    apart, enter no other figure, and leave the total. One spot has no spread, so its
+    ``vol_cv`` is NULL, as ``local_dapi`` is without spots, and ``partition_coefficient``
+    where nothing is left beside the spots.
     """
     ok = ~F.col("is_bead")
     kept = lambda c: F.when(ok, F.col(c))
     agg = spots.where("nucleus <> 0").groupBy("fov", "nucleus", "marker").agg(
-        F.count_if(ok).alias("n_foci"),
-        F.count_if(F.col("is_bead")).alias("n_beads"),
-        F.avg(kept("volume")).alias("vol_mean"),
-        F.percentile(kept("volume"), F.lit(0.5)).alias("vol_median"),
-        F.stddev_samp(kept("volume")).alias("vol_std"),
-        F.sum(kept("volume")).alias("vol_sum"),
+        F.count_if(ok).alias("n"),
+        F.count_if(F.col("is_bead")).alias("beads"),
+        F.avg(kept("volume")).alias("mean"),
+        F.percentile(kept("volume"), F.lit(0.5)).alias("median"),
+        F.stddev_samp(kept("volume")).alias("std"),
         F.sum(kept("integrated")).alias("foci_int"),
         F.sum(F.when(F.col("is_bead"), F.col("integrated"))).alias("bead_int"),
-        F.avg(kept("intensity")).alias("mean_intensity"),
+        F.avg(kept("intensity")).alias("mean_int"),
+        F.avg(kept("local_dapi")).alias("local_dapi"),
     )
-    grid = nuclei.select("fov", "nucleus", "nucleus_volume_um3", F.explode(F.array(*[F.lit(m) for m in markers])).alias("marker"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    total = zero("foci_int") + zero("bead_int")
-    return grid.join(agg, ["fov", "nucleus", "marker"], "left").select(
+    grid = nuclei.select("fov", "nucleus", "nucleus_volume_um3", "volume_vox", F.explode(F.array(*[F.lit(m) for m in markers])).alias("marker"))
+    rows = grid.join(agg, ["fov", "nucleus", "marker"], "left").join(totals, ["fov", "nucleus", "marker"], "left")
+    rows = rows.fillna(0, ["n", "beads", "mean", "median", "foci_int", "bead_int", "mean_int", "total", "volume_vox"])
+    rows = rows.withColumn("total", F.greatest(F.col("total") - F.col("bead_int"), F.col("foci_int"))).withColumn("foci_vox", F.col("mean") * F.col("n") / F.lit(voxel))
+    inside = F.when(F.col("foci_vox") > 0, F.col("foci_int") / F.greatest(F.col("foci_vox"), F.lit(1.0))).otherwise(0.0)
+    beside = (F.col("total") - F.col("foci_int")) / F.greatest(F.col("volume_vox") - F.col("foci_vox"), F.lit(1.0))
+    return rows.select(
         "fov",
         "nucleus",
         "marker",
         "nucleus_volume_um3",
-        zero("n_foci").alias("n_foci"),
-        zero("n_beads").alias("n_beads"),
-        safe_ratio(zero("n_foci"), F.col("nucleus_volume_um3")).alias("density_per_um3"),
-        F.col("vol_mean"),
-        F.col("vol_median"),
-        safe_ratio(F.col("vol_std"), F.col("vol_mean")).alias("vol_cv"),
-        F.coalesce(safe_ratio(zero("foci_int"), F.greatest(total - zero("bead_int"), zero("foci_int"))), F.lit(0.0)).alias("condensed_fraction"),
-        safe_ratio(safe_ratio(zero("foci_int"), zero("vol_sum")), safe_ratio(total, F.col("nucleus_volume_um3"))).alias("partition_coefficient"),
-        F.col("mean_intensity"),
+        F.col("n").alias("n_foci"),
+        F.col("beads").alias("n_beads"),
+        F.coalesce(safe_ratio(F.col("n"), F.col("nucleus_volume_um3")), F.lit(0.0)).alias("density_per_um3"),
+        F.col("mean").alias("vol_mean"),
+        F.col("median").alias("vol_median"),
+        F.when(F.col("mean") == 0, 0.0).otherwise(F.col("std") / F.col("mean")).alias("vol_cv"),
+        F.coalesce(safe_ratio(F.col("foci_int"), F.col("total")), F.lit(0.0)).alias("condensed_fraction"),
+        safe_ratio(inside, beside).alias("partition_coefficient"),
+        F.col("mean_int").alias("mean_intensity"),
+        "local_dapi",
     )
 
 

@@ -7,6 +7,7 @@ are found by following pointers to neighbours, halving the way each round.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,8 +47,6 @@ def blur(v: DataFrame, key: list[str], taps: list[float], step: int = 1) -> Data
 
 def gaussian_taps(sigma: float) -> list[float]:
     """Normalised Gaussian weights out to three sigma."""
-    import math
-
     r = max(1, math.ceil(3 * sigma))
     w = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-r, r + 1)]
     return [x / sum(w) for x in w]
@@ -189,3 +188,47 @@ def detect(v: DataFrame, key: list[str], family: str, **p: float) -> DataFrame:
         m = w1.where("v > 0").join(w2.where("v > 0").withColumnRenamed("v", "u"), [*key, *PLACE]).withColumn("v", F.col("v") * F.col("u")).drop("u")
         return above(m, noise_threshold(m, key, p.get("k", 2.0)), key)
     raise ValueError(f"unknown family {family}")
+
+
+def label_totals(image: DataFrame, mask: DataFrame, key: list[str], label: str, by: str) -> DataFrame:
+    """``key``, ``label``, ``by``, ``total``: sums of an image's values over the voxels of each label.
+
+    ``mask``: key, place, label; a voxel has one label. An equi-join on places.
+    """
+    return image.join(mask, [*key, *PLACE]).groupBy(*key, label, by).agg(F.sum("v").alias("total"))
+
+
+def local_means(points: DataFrame, image: DataFrame, key: list[str], by: str) -> DataFrame:
+    """``key``, place, ``by``, ``local``: means of each channel ``by`` over the 27 voxels about the given places.
+
+    Places without a voxel count as 0; a place without any near voxel of a channel has no row.
+    """
+    near = [F.struct(*[F.lit(d).alias(f"d{c}") for c, d in zip(PLACE, o)]) for o in around()]
+    rows = points.select(*key, *PLACE).distinct().withColumn("_o", F.explode(F.array(*near)))
+    rows = rows.select(*key, *[F.col(c).alias(f"at_{c}") for c in PLACE], *[(F.col(c) + F.col(f"_o.d{c}")).alias(c) for c in PLACE])
+    sums = rows.join(image, [*key, *PLACE]).groupBy(*key, *[f"at_{c}" for c in PLACE], by).agg((F.sum("v") / 27).alias("local"))
+    return sums.withColumnsRenamed({f"at_{c}": c for c in PLACE})
+
+
+#: What a border pixel adds to a perimeter, by 10 x its diagonal and 2 x its straight border neighbours + 1.
+PERIMETER = {5: 1.0, 7: 1.0, 15: 1.0, 17: 1.0, 25: 1.0, 27: 1.0, 21: 2**0.5, 33: 2**0.5, 13: (1 + 2**0.5) / 2, 23: (1 + 2**0.5) / 2}
+
+
+def label_shapes(mask: DataFrame, key: list[str], label: str) -> DataFrame:
+    """Per label: voxels, centroid, and the area, perimeter and circularity (4 pi A / P^2; 0 without one) of its footprint."""
+    names = [*key, label]
+    flat = mask.select(*names, "y", "x").distinct()
+
+    def neighbours(rows: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
+        near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in offsets]))
+        moved = rows.withColumn("_o", near).select(*names, (F.col("y") + F.col("_o.a")).alias("y"), (F.col("x") + F.col("_o.b")).alias("x"), (F.abs("_o.a") + F.abs("_o.b")).alias("far"))
+        return rows.join(moved.groupBy(*names, "y", "x").agg(F.count_if(F.col("far") == 1).alias("straight"), F.count_if(F.col("far") == 2).alias("diagonal")), [*names, "y", "x"], "left").fillna(0, ["straight", "diagonal"])
+
+    cross, corners = [(0, 1), (1, 0), (0, -1), (-1, 0)], [(1, 1), (1, -1), (-1, 1), (-1, -1)]
+    border = neighbours(flat, cross).where("straight < 4").select(*names, "y", "x")
+    kind = 1 + 2 * F.col("straight") + 10 * F.col("diagonal")
+    length = reduce(lambda e, k: F.when(kind == k, PERIMETER[k]).otherwise(e), PERIMETER, F.lit(0.0))
+    around_ = neighbours(border, cross + corners).groupBy(*names).agg(F.sum(length).alias("perimeter"))
+    whole = mask.groupBy(*names).agg(F.count("*").alias("n_voxels"), *[F.avg(c).alias(f"c{c}") for c in PLACE])
+    out = whole.join(flat.groupBy(*names).agg(F.count("*").alias("area")), names).join(around_, names)
+    return out.withColumn("circularity", F.when(F.col("perimeter") > 0, F.lit(4 * math.pi) * F.col("area") / (F.col("perimeter") * F.col("perimeter"))).otherwise(0.0))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spotframe.functions import exprs
-from spotframe.operators import features, joins, stats
+from spotframe.operators import features, joins, stats, voxels
 from spotframe.plans.base import MARKERS, NUCLEI, SPOTS, Registry, nuclei, spots
 from spotframe.session import cut, table
 
@@ -63,34 +63,104 @@ def nucleus_qc_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nuclei(spark, sf_dir).where((F.col("kept") == 1) & ~reject).select("fov", "nucleus", "nucleus_volume_um3", "circularity")
 
 
-def nucleus_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.nucleus_marker_features(spots(spark, sf_dir), nuclei(spark, sf_dir).where("kept = 1"), MARKERS)
+#: Edges of a voxel of the image that is made from spots.
+SIZE = (1.0, 2.0, 2.0)
+
+
+def spot_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spots with their voxel as ``z``, ``y``, ``x``; those without a place drop out."""
+    s = spots(spark, sf_dir)
+    return s.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in "zyx")).withColumns({c: F.floor(F.col(c) / k).cast("int") for c, k in zip("zyx", SIZE)})
+
+
+def image(places: DataFrame) -> DataFrame:
+    """A voxel image per field of view and marker: integrated intensities with half as much per step around them."""
+    v = places.where("integrated IS NOT NULL").select("fov", "marker", *voxels.PLACE, F.col("integrated").alias("v"))
+    near = voxels.around()
+    rows = voxels._shifted(v, ["fov", "marker"], near, [0.5 ** sum(map(abs, o)) for o in near])
+    return rows.groupBy("fov", "marker", *voxels.PLACE).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
-_FEATURES = f"""WITH {SPOTS}, {NUCLEI},
-agg AS (SELECT fov, nucleus, marker, count(*) FILTER (WHERE NOT is_bead) AS n_foci, count(*) FILTER (WHERE is_bead) AS n_beads,
+def nucleus_mask(places: DataFrame) -> DataFrame:
+    """The voxels of each nucleus: those of its spots and around; of several nuclei the smallest has it."""
+    v = places.where("nucleus <> 0").groupBy("fov", *voxels.PLACE, "nucleus").agg(F.lit(1).alias("v"))
+    return voxels._shifted(v, ["fov", "nucleus"], voxels.around()).groupBy("fov", *voxels.PLACE).agg(F.min("nucleus").alias("nucleus"))
+
+
+def nucleus_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = cut(spot_places(spark, sf_dir))
+    picture = cut(image(places))
+    totals = voxels.label_totals(picture, nucleus_mask(places), ["fov"], "nucleus", "marker")
+    dapi = voxels.local_means(places.where("nucleus <> 0 AND NOT is_bead"), picture.where("marker = 'DAPI'"), ["fov"], "marker").drop("marker").withColumnRenamed("local", "local_dapi")
+    s = places.join(dapi, ["fov", *voxels.PLACE], "left").fillna(0.0, ["local_dapi"])
+    return features.nucleus_marker_features(s, nuclei(spark, sf_dir).where("kept = 1"), totals, MARKERS, VOXEL)
+
+
+_IMAGE = f"""WITH {SPOTS}, {NUCLEI},
+places AS (SELECT * EXCLUDE (z, y, x), CAST(floor(z / 1.0) AS INT) AS z, CAST(floor(y / 2.0) AS INT) AS y, CAST(floor(x / 2.0) AS INT) AS x FROM spots WHERE z IS NOT NULL AND y IS NOT NULL AND x IS NOT NULL
+  AND lower(CAST(z + y + x AS VARCHAR)) <> 'nan'),
+near AS (SELECT a.d AS dz, b.d AS dy, c.d AS dx FROM (VALUES (-1), (0), (1)) a(d), (VALUES (-1), (0), (1)) b(d), (VALUES (-1), (0), (1)) c(d)),
+image AS (SELECT fov, marker, z + dz AS z, y + dy AS y, x + dx AS x, sum(integrated * pow(0.5, abs(dz) + abs(dy) + abs(dx))) AS v FROM places, near WHERE integrated IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
+mask AS (SELECT fov, z + dz AS z, y + dy AS y, x + dx AS x, min(nucleus) AS nucleus FROM places, near WHERE nucleus <> 0 GROUP BY 1, 2, 3, 4),
+totals AS (SELECT fov, nucleus, marker, sum(v) AS total FROM image JOIN mask USING (fov, z, y, x) GROUP BY 1, 2, 3),
+asked AS (SELECT DISTINCT fov, z, y, x FROM places WHERE nucleus <> 0),
+local AS (SELECT q.fov, q.z, q.y, q.x, i.marker, sum(i.v) / 27 AS local FROM asked q CROSS JOIN near JOIN image i ON i.fov = q.fov AND i.z = q.z + dz AND i.y = q.y + dy AND i.x = q.x + dx GROUP BY 1, 2, 3, 4, 5)
+"""
+_FEATURES = _IMAGE + f""",
+agg AS (SELECT p.fov, nucleus, p.marker, count(*) FILTER (WHERE NOT is_bead) AS n_foci, count(*) FILTER (WHERE is_bead) AS n_beads,
         avg(volume) FILTER (WHERE NOT is_bead) AS vol_mean, median(volume) FILTER (WHERE NOT is_bead) AS vol_median, stddev_samp(volume) FILTER (WHERE NOT is_bead) AS vol_std,
-        sum(volume) FILTER (WHERE NOT is_bead) AS vol_sum, sum(integrated) FILTER (WHERE NOT is_bead) AS foci_int, sum(integrated) FILTER (WHERE is_bead) AS bead_int,
-        avg(intensity) FILTER (WHERE NOT is_bead) AS mean_intensity FROM spots WHERE nucleus <> 0 GROUP BY 1, 2, 3),
-grid AS (SELECT fov, nucleus, nucleus_volume_um3, marker FROM nuclei, (VALUES ('Brd4'), ('DAPI'), ('Pol2'), ('Sc35')) t(marker) WHERE kept = 1),
-j AS (SELECT grid.*, coalesce(n_foci, 0) AS n_foci, coalesce(n_beads, 0) AS n_beads, vol_mean, vol_median, vol_std, coalesce(vol_sum, 0) AS vs, coalesce(foci_int, 0) AS fi,
-      coalesce(bead_int, 0) AS bi, mean_intensity FROM grid LEFT JOIN agg USING (fov, nucleus, marker)),
-f AS (SELECT fov, nucleus, marker, n_foci, n_beads, CASE WHEN nucleus_volume_um3 > 0 THEN n_foci / nucleus_volume_um3 END AS density_per_um3, vol_mean, vol_median,
-      CASE WHEN vol_mean > 0 THEN vol_std / vol_mean END AS vol_cv, coalesce(CASE WHEN greatest(fi + bi - bi, fi) > 0 THEN fi / greatest(fi + bi - bi, fi) END, 0) AS condensed_fraction,
-      CASE WHEN CASE WHEN nucleus_volume_um3 > 0 THEN (fi + bi) / nucleus_volume_um3 END > 0 THEN CASE WHEN vs > 0 THEN fi / vs END / ((fi + bi) / nucleus_volume_um3) END AS partition_coefficient,
-      mean_intensity FROM j)
+        sum(integrated) FILTER (WHERE NOT is_bead) AS foci_int, sum(integrated) FILTER (WHERE is_bead) AS bead_int,
+        avg(intensity) FILTER (WHERE NOT is_bead) AS mean_intensity, avg(coalesce(local, 0)) FILTER (WHERE NOT is_bead) AS local_dapi
+        FROM places p LEFT JOIN local l ON l.fov = p.fov AND l.z = p.z AND l.y = p.y AND l.x = p.x AND l.marker = 'DAPI' WHERE nucleus <> 0 GROUP BY 1, 2, 3),
+grid AS (SELECT fov, nucleus, nucleus_volume_um3, volume_vox, marker FROM nuclei, (VALUES ('Brd4'), ('DAPI'), ('Pol2'), ('Sc35')) t(marker) WHERE kept = 1),
+j AS (SELECT grid.*, coalesce(n_foci, 0) AS n_foci, coalesce(n_beads, 0) AS n_beads, coalesce(vol_mean, 0) AS vol_mean, coalesce(vol_median, 0) AS vol_median, vol_std, coalesce(foci_int, 0) AS fi,
+      greatest(coalesce(total, 0) - coalesce(bead_int, 0), coalesce(foci_int, 0)) AS ti, coalesce(vol_mean, 0) * coalesce(n_foci, 0) / {VOXEL} AS fv, coalesce(volume_vox, 0) AS nv,
+      coalesce(mean_intensity, 0) AS mean_intensity, local_dapi FROM grid LEFT JOIN agg USING (fov, nucleus, marker) LEFT JOIN totals USING (fov, nucleus, marker)),
+f AS (SELECT fov, nucleus, marker, n_foci, n_beads, CASE WHEN nucleus_volume_um3 > 0 THEN n_foci / nucleus_volume_um3 ELSE 0 END AS density_per_um3, vol_mean, vol_median,
+      CASE WHEN vol_mean = 0 THEN 0 ELSE vol_std / vol_mean END AS vol_cv, CASE WHEN ti > 0 THEN fi / ti ELSE 0 END AS condensed_fraction,
+      CASE WHEN (ti - fi) / greatest(nv - fv, 1) > 0 THEN CASE WHEN fv > 0 THEN fi / greatest(fv, 1) ELSE 0 END / ((ti - fi) / greatest(nv - fv, 1)) END AS partition_coefficient,
+      mean_intensity, local_dapi FROM j)
 """
 
 
 @query(_FEATURES + """SELECT fov, nucleus, marker, n_foci, n_beads, round(density_per_um3, 8) AS density_per_um3, round(vol_mean, 6) AS vol_mean, round(vol_median, 6) AS vol_median, round(vol_cv, 6) AS vol_cv,
-round(condensed_fraction, 6) AS condensed_fraction, round(partition_coefficient, 5) AS partition_coefficient, round(mean_intensity, 4) AS mean_intensity FROM f""")
+round(condensed_fraction, 6) AS condensed_fraction, round(partition_coefficient, 4) AS partition_coefficient, round(mean_intensity, 4) AS mean_intensity, round(local_dapi, 1) AS local_dapi FROM f""")
 def nucleus_marker_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per nucleus and marker: counts, density, volumes, condensed fraction, partition coefficient."""
+    """Per nucleus and marker: counts, density, volumes, condensed fraction, partition coefficient, local DAPI."""
     f = nucleus_features(spark, sf_dir)
-    places = {"density_per_um3": 8, "vol_mean": 6, "vol_median": 6, "vol_cv": 6, "condensed_fraction": 6, "partition_coefficient": 5, "mean_intensity": 4}
+    places = {"density_per_um3": 8, "vol_mean": 6, "vol_median": 6, "vol_cv": 6, "condensed_fraction": 6, "partition_coefficient": 4, "mean_intensity": 4, "local_dapi": 1}
     return f.select("fov", "nucleus", "marker", "n_foci", "n_beads", *[R(c, k).alias(c) for c, k in places.items()])
 
 
+@query(_IMAGE + """, m AS (SELECT fov, nucleus, count(*) AS n FROM mask GROUP BY 1, 2)
+SELECT focus_id, l.marker AS channel, round(l.local, 3) AS local, round(l.local / (total / n), 6) AS enrichment FROM places p JOIN local l ON l.fov = p.fov AND l.z = p.z AND l.y = p.y AND l.x = p.x
+LEFT JOIN totals t ON t.fov = p.fov AND t.nucleus = p.nucleus AND t.marker = l.marker LEFT JOIN m ON m.fov = p.fov AND m.nucleus = p.nucleus WHERE p.nucleus <> 0""")
+def spot_local_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every channel's local mean at each spot, and that over the channel's mean in the spot's nucleus."""
+    places = cut(spot_places(spark, sf_dir).where("nucleus IS NOT NULL"))
+    picture, mask = cut(image(places)), cut(nucleus_mask(places))
+    local = voxels.local_means(places.where("nucleus <> 0"), picture, ["fov"], "marker").withColumnRenamed("marker", "channel")
+    mean = voxels.label_totals(picture, mask, ["fov"], "nucleus", "marker").join(mask.groupBy("fov", "nucleus").agg(F.count("*").alias("n")), ["fov", "nucleus"])
+    mean = mean.select("fov", "nucleus", F.col("marker").alias("channel"), (F.col("total") / F.col("n")).alias("mean"))
+    rows = places.where("nucleus <> 0").select("focus_id", "fov", "nucleus", *voxels.PLACE).join(local, ["fov", *voxels.PLACE]).join(mean, ["fov", "nucleus", "channel"], "left")
+    return rows.select("focus_id", "channel", R("local", 3).alias("local"), R(exprs.safe_ratio(F.col("local"), F.col("mean")), 6).alias("enrichment"))
+
+
+_EDGE = "CASE 1 + 2 * s + 10 * d WHEN 5 THEN 1 WHEN 7 THEN 1 WHEN 15 THEN 1 WHEN 17 THEN 1 WHEN 25 THEN 1 WHEN 27 THEN 1 WHEN 21 THEN sqrt(2) WHEN 33 THEN sqrt(2) WHEN 13 THEN (1 + sqrt(2)) / 2 WHEN 23 THEN (1 + sqrt(2)) / 2 ELSE 0 END"
+
+
+@query(_IMAGE + f""", flat AS (SELECT DISTINCT fov, nucleus, y, x FROM mask), way AS (SELECT dy, dx, abs(dy) + abs(dx) AS far FROM near WHERE dz = 0 AND (dy <> 0 OR dx <> 0)),
+border AS (SELECT f.* FROM flat f CROSS JOIN way LEFT JOIN flat g ON g.fov = f.fov AND g.nucleus = f.nucleus AND g.y = f.y + dy AND g.x = f.x + dx WHERE far = 1 GROUP BY ALL HAVING count(g.fov) < 4),
+kind AS (SELECT b.fov, b.nucleus, b.y, b.x, count(c.fov) FILTER (WHERE far = 1) AS s, count(c.fov) FILTER (WHERE far = 2) AS d FROM border b CROSS JOIN way LEFT JOIN border c ON c.fov = b.fov AND c.nucleus = b.nucleus AND c.y = b.y + dy AND c.x = b.x + dx GROUP BY 1, 2, 3, 4),
+p AS (SELECT fov, nucleus, sum({_EDGE}) AS p FROM kind GROUP BY 1, 2), a AS (SELECT fov, nucleus, count(*) AS a FROM flat GROUP BY 1, 2)
+SELECT fov, nucleus, n_voxels, area, round(p, 6) AS perimeter, round(CASE WHEN p > 0 THEN 4 * pi() * a.area / (p * p) ELSE 0 END, 6) AS circularity, round(cz, 5) AS cz
+FROM (SELECT fov, nucleus, count(*) AS n_voxels, avg(z) AS cz FROM mask GROUP BY 1, 2) m JOIN p USING (fov, nucleus) JOIN (SELECT fov, nucleus, a AS area FROM a) a USING (fov, nucleus)""")
+def nucleus_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels, footprint area, perimeter and circularity of each nucleus of the mask."""
+    shapes = voxels.label_shapes(cut(nucleus_mask(spot_places(spark, sf_dir))), ["fov"], "nucleus")
+    return shapes.select("fov", "nucleus", "n_voxels", "area", R("perimeter", 6).alias("perimeter"), R("circularity", 6).alias("circularity"), R("cz", 5).alias("cz"))
+
+
 @query(_FEATURES + "SELECT fov, nucleus, " + ", ".join(f"max(n_foci) FILTER (WHERE marker = '{m}') AS \"{m}_n_foci\", round(max(vol_mean) FILTER (WHERE marker = '{m}'), 6) AS \"{m}_vol_mean\"" for m in MARKERS) + " FROM f GROUP BY 1, 2")
 def wide_nucleus_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The long features pivoted to one row per nucleus; the pivot values are given, so it is one pass."""
