@@ -85,18 +85,27 @@ def plate(readout: Column, wells: int = 96) -> Column:
     return F.ceil(readout / F.lit(wells))
 
 
-def hub_colour(i: Column, saturation: float = 0.65, lightness: float = 0.5) -> Column:
-    """``r,g,b`` of hub i: hues by the golden angle."""
+#: Saturation and lightness of hub colours.
+SATURATION, LIGHTNESS = 0.62, 0.48
+
+
+def hub_colour(i: Column) -> Column:
+    """``r,g,b`` of hub i (from 0): hues by the golden angle, halves rounded up."""
     hue = F.pmod(i * F.lit(137.508), F.lit(360.0))
-    a = saturation * min(lightness, 1 - lightness)
+    a = SATURATION * min(LIGHTNESS, 1 - LIGHTNESS)
 
     def channel(n: int) -> Column:
         k = F.pmod(F.lit(float(n)) + hue / 30.0, F.lit(12.0))
-        return F.rint((F.lit(lightness) - F.lit(a) * F.greatest(F.lit(-1.0), F.least(k - 3, 9 - k, F.lit(1.0)))) * 255).cast("int")
+        return F.floor((F.lit(LIGHTNESS) - F.lit(a) * F.greatest(F.lit(-1.0), F.least(k - 3, 9 - k, F.lit(1.0)))) * 255 + 0.5).cast("int")
 
     return F.concat_ws(",", channel(0), channel(8), channel(4))
 
 
+def readout_handle(seq: Column) -> Column:
+    """The reverse complement of a readout's first 20 letters."""
+    return reverse_complement(F.substring(seq, 1, 20))
+
+
 def monomials(x: Column, y: Column, z: Column, degree: int = 3) -> Column:
     """All monomials of three coordinates up to a degree (20 for degree 3), by total degree."""
     out = []

@@ -152,3 +152,33 @@ def running_least(df: DataFrame, group: list[str], order: str, value: str, name:
     inner = Window.partitionBy(*group, "_slot").orderBy(order).rowsBetween(0, Window.unboundedFollowing)
     rows = rows.withColumn("_in", F.min(value).over(inner))
     return rows.join(least, same(group, "s_") & (F.col("_slot") == F.col("_s"))).select(*df.columns, F.least("_in", "_later").alias(name))
+
+
+def nearest_match(left: DataFrame, right: DataFrame, key: list[str], ident: str, radius: float, flat: list[str], deep: str | None = None, most_deep: float = 3.0) -> DataFrame:
+    """``key``, ``ident``, ``partner``, ``distance``: of each left row the nearest right row of its key within ``radius``, both included.
+
+    Distance is in the ``flat`` coordinates; with ``deep`` the candidates' difference there is at
+    most ``most_deep``. Ties go to the smaller ident; rows without a match have no row. Both
+    sides meet in cells as wide as the radius.
+    """
+    cell = lambda c: F.floor(F.col(c) / F.lit(float(radius)))
+    coords = [*flat, *([deep] if deep else [])]
+    good = reduce(and_, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in coords])
+    a = left.where(good).select(*key, ident, *coords)
+    for i, c in enumerate(flat):
+        a = a.withColumn(f"_g{i}", F.explode(F.sequence(cell(c) - 1, cell(c) + 1)))
+    b = right.where(good).select(*[F.col(k).alias(f"r_{k}") for k in key], F.col(ident).alias("partner"), *[F.col(c).alias(f"r_{c}") for c in coords], *[cell(c).alias(f"_h{i}") for i, c in enumerate(flat)])
+    on = reduce(and_, [F.col(k) == F.col(f"r_{k}") for k in key] + [F.col(f"_g{i}") == F.col(f"_h{i}") for i in range(len(flat))])
+    d = F.sqrt(reduce(lambda x, y: x + y, [(F.col(c) - F.col(f"r_{c}")) * (F.col(c) - F.col(f"r_{c}")) for c in flat]))
+    near = F.col("distance") <= radius
+    if deep:
+        near = near & (F.abs(F.col(deep) - F.col(f"r_{deep}")) <= most_deep)
+    pairs = a.join(b, on).withColumn("distance", d).where(near)
+    return pairs.groupBy(*key, ident).agg(F.min(F.struct("distance", "partner")).alias("m")).select(*key, ident, "m.partner", "m.distance")
+
+
+def lookup(df: DataFrame, table: DataFrame, name: str, value: str, what: str) -> DataFrame:
+    """``df`` with ``value`` of the first row of ``table`` (by value) with its ``name``; a name that isn't there is an error when read."""
+    first = table.groupBy(F.col(name).alias("_name")).agg(F.min(value).alias("_value"))
+    missing = F.raise_error(F.concat(F.lit(f"no {what} for "), F.coalesce(F.col(name).cast("string"), F.lit("NULL"))))
+    return df.join(first, F.col(name) == F.col("_name"), "left").withColumn(value, F.coalesce("_value", missing.cast(table.schema[value].dataType))).drop("_name", "_value")

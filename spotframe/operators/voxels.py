@@ -13,8 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotframe.operators.joins import same
 from spotframe.operators.matrix import connected_labels
-from spotframe.operators.stats import background_noise, group_percentiles
+from spotframe.operators.stats import MAD_SCALE, background_noise, group_percentiles
 from spotframe.session import cut
 
 PLACE = ["z", "y", "x"]
@@ -232,3 +233,55 @@ def label_shapes(mask: DataFrame, key: list[str], label: str) -> DataFrame:
     whole = mask.groupBy(*names).agg(F.count("*").alias("n_voxels"), *[F.avg(c).alias(f"c{c}") for c in PLACE])
     out = whole.join(flat.groupBy(*names).agg(F.count("*").alias("area")), names).join(around_, names)
     return out.withColumn("circularity", F.when(F.col("perimeter") > 0, F.lit(4 * math.pi) * F.col("area") / (F.col("perimeter") * F.col("perimeter"))).otherwise(0.0))
+
+
+def brightest(points: DataFrame, key: list[str], value: str, most: int, saturated: float) -> DataFrame:
+    """The ``most`` brightest rows of each key that aren't saturated, with their ``rank``; the limit is the feature.
+
+    Saturated rows (at or above ``saturated``), NULL and NaN go first, then the limit counts.
+    Ties go by all columns. Ranks are cut before the shuffle, so a large key sends few rows.
+    """
+    rows = points.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.col(value) < saturated))
+    w = Window.partitionBy(*key).orderBy(F.col(value).desc(), *[c for c in points.columns if c != value and c not in key])
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def unit_scaled(v: DataFrame, key: list[str], share: float = 0.999) -> DataFrame:
+    """Values over a high percentile of their key (1 where that isn't positive), cut to 0..1."""
+    top = cut(group_percentiles(v, key, "v", {"_top": share}).withColumnsRenamed({k: f"t_{k}" for k in key}))
+    scaled = F.col("v") / F.when(F.col("_top") > 0, F.col("_top")).otherwise(1.0)
+    return v.join(top, same(key, "t_")).select(*v.columns[:-1], F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)).alias("v"))
+
+
+def floor_mask(v: DataFrame, mask: DataFrame, key: list[str], label: str, by: str, share: float) -> DataFrame:
+    """The voxels in a label of the mask that are above a percentile of that label's values, per ``by``."""
+    inside = cut(v.join(mask, [*key, *PLACE]))
+    group = [*key, label, by]
+    low = group_percentiles(inside, group, "v", {"_floor": share}).withColumnsRenamed({k: f"f_{k}" for k in group})
+    return inside.join(cut(low), same(group, "f_")).where(F.col("v") > F.col("_floor")).select(*group, *PLACE, "v")
+
+
+def upscaled(mask: DataFrame, key: list[str], label: str, factor: int, height: int, width: int) -> DataFrame:
+    """A mask in ``factor`` times finer steps of y and x (z stays), each voxel repeated; what falls outside height and width is cut off."""
+    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(factor) for b in range(factor)]))
+    fine = lambda c, d: (F.col(c) * factor + F.col(d)).alias(c)
+    rows = mask.withColumn("_s", steps).select(*key, label, "z", fine("y", "_s.a"), fine("x", "_s.b"))
+    return rows.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
+
+
+def cell_metrics(v: DataFrame, mask: DataFrame, foreground: DataFrame, key: list[str], label: str, by: str) -> DataFrame:
+    """Per cell and channel: voxels, ``fill`` (share in the foreground), and median and deviation of the background.
+
+    ``bg_mad`` is the median absolute deviation x 1.4826 of the voxels that aren't foreground, 1
+    where it is 0; a cell that is all foreground has a median of 0 and a deviation of 1.
+    """
+    group = [*key, label, by]
+    inside = v.join(mask, [*key, *PLACE]).join(foreground.select(*key, by, *PLACE, F.lit(True).alias("_fg")), [*key, by, *PLACE], "left")
+    inside = cut(inside.select(*group, "v", F.coalesce("_fg", F.lit(False)).alias("_fg")))
+    back = inside.where("NOT _fg")
+    med = cut(group_percentiles(back, group, "v", {"bg_median": 0.5}).withColumnsRenamed({k: f"m_{k}" for k in group}))
+    dev = back.join(med, same(group, "m_")).select(*group, F.abs(F.col("v") - F.col("bg_median")).alias("_d"))
+    dev = group_percentiles(dev, group, "_d", {"_mad": 0.5}).join(med, same(group, "m_")).select(*group, "bg_median", "_mad")
+    out = inside.groupBy(*group).agg(F.count("*").alias("n_voxels"), F.avg(F.col("_fg").cast("int")).alias("fill"))
+    mad = F.when(F.col("_mad") > 0, F.col("_mad") * MAD_SCALE).otherwise(1.0)
+    return out.join(dev, group, "left").select(*group, "n_voxels", "fill", F.coalesce("bg_median", F.lit(0.0)).alias("bg_median"), mad.alias("bg_mad"))

@@ -15,36 +15,39 @@ QUERIES, SQL = query.queries, query.sql
 R = F.round
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest revision of each feature with ordered bounds, one spelling of chr, and no NULL bound."""
-    narrow = table(spark, sf_dir, "coordinates_v2").select("panel_id", "name", "type", "chr", "strand", "rna_start", "rna_end", "dna_start", "dna_end", "tss_used", "note", "updated_at")
+def features(spark: SparkSession, sf_dir: str, *bounds: str) -> DataFrame:
+    """Latest revision of each feature with ordered bounds and one spelling of chr; NULL in ``bounds`` (of dna, rna) leaves a feature out."""
+    narrow = table(spark, sf_dir, "coordinates_v2").select("panel_id", "name", "type", "chr", "strand", "rna_probe", "rna_start", "rna_end", "dna_start", "dna_end", "tss_used", "note", "updated_at")
     rows = intervals.latest_rows(narrow, ["panel_id", "name"], "updated_at")
-    two = lambda a, b: (F.least(a, b), F.greatest(a, b))
-    (rs, re), (ds, de) = two("rna_start", "rna_end"), two("dna_start", "dna_end")
-    ok = F.col("rna_start").isNotNull() & F.col("rna_end").isNotNull() & F.col("dna_start").isNotNull() & F.col("dna_end").isNotNull()
-    return rows.where(ok).select("panel_id", "name", "type", intervals.canonical_chromosome(F.col("chr")).alias("chr"), "strand", rs.alias("rna_s"), re.alias("rna_e"), ds.alias("dna_s"), de.alias("dna_e"), F.col("tss_used").cast("long").alias("tss"), "note")
-
-
-_F = """WITH f AS (
-  SELECT panel_id, name, type, 'chr' || upper(regexp_replace(trim(chr), '^chr', '', 'i')) AS chr, strand, least(rna_start, rna_end) AS rna_s, greatest(rna_start, rna_end) AS rna_e,
-         least(dna_start, dna_end) AS dna_s, greatest(dna_start, dna_end) AS dna_e, CAST(tss_used AS BIGINT) AS tss, note
-  FROM (SELECT *, row_number() OVER (PARTITION BY panel_id, name ORDER BY updated_at DESC NULLS LAST) AS rn FROM coordinates_v2)
-  WHERE rn = 1 AND rna_start IS NOT NULL AND rna_end IS NOT NULL AND dna_start IS NOT NULL AND dna_end IS NOT NULL)
+    for b in bounds:
+        rows = rows.where(F.col(f"{b}_start").isNotNull() & F.col(f"{b}_end").isNotNull())
+    low, high = (lambda b, f=f: F.when(F.col(f"{b}_start").isNotNull() & F.col(f"{b}_end").isNotNull(), f(f"{b}_start", f"{b}_end")) for f in (F.least, F.greatest))
+    return rows.select("panel_id", "name", "type", intervals.canonical_chromosome(F.col("chr")).alias("chr"), "strand", low("rna").alias("rna_s"), high("rna").alias("rna_e"), low("dna").alias("dna_s"), high("dna").alias("dna_e"), F.col("tss_used").cast("long").alias("tss"), "note", "rna_probe")
+
+
+_F = """WITH f0 AS (
+  SELECT panel_id, name, type, 'chr' || upper(regexp_replace(trim(chr), '^chr', '', 'i')) AS chr, strand,
+         CASE WHEN rna_start IS NOT NULL AND rna_end IS NOT NULL THEN least(rna_start, rna_end) END AS rna_s, CASE WHEN rna_start IS NOT NULL AND rna_end IS NOT NULL THEN greatest(rna_start, rna_end) END AS rna_e,
+         CASE WHEN dna_start IS NOT NULL AND dna_end IS NOT NULL THEN least(dna_start, dna_end) END AS dna_s, CASE WHEN dna_start IS NOT NULL AND dna_end IS NOT NULL THEN greatest(dna_start, dna_end) END AS dna_e,
+         CAST(tss_used AS BIGINT) AS tss, note, rna_probe
+  FROM (SELECT *, row_number() OVER (PARTITION BY panel_id, name ORDER BY updated_at DESC NULLS LAST) AS rn FROM coordinates_v2) WHERE rn = 1),
+f AS (SELECT * FROM f0 WHERE {})
 """
+_F_DNA, _F_ALL, _F = _F.format("dna_s IS NOT NULL"), _F.format("true"), _F.format("rna_s IS NOT NULL")
 
 
-@query(_F + """SELECT a.panel_id, a.chr, a.name AS a, b.name AS b, greatest(a.dna_s, b.dna_s) AS overlap_start, least(a.dna_e, b.dna_e) AS overlap_end, least(a.dna_e, b.dna_e) - greatest(a.dna_s, b.dna_s) AS overlap_len
+@query(_F_DNA + """SELECT a.panel_id, a.chr, a.name AS a, b.name AS b, greatest(a.dna_s, b.dna_s) AS overlap_start, least(a.dna_e, b.dna_e) AS overlap_end, least(a.dna_e, b.dna_e) - greatest(a.dna_s, b.dna_s) AS overlap_len
 FROM f a JOIN f b ON a.panel_id = b.panel_id AND a.chr = b.chr AND a.name < b.name AND greatest(a.dna_s, b.dna_s) < least(a.dna_e, b.dna_e) WHERE a.dna_s < a.dna_e AND b.dna_s < b.dna_e""")
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of features of a panel whose DNA windows overlap."""
-    return joins.overlap_pairs(features(spark, sf_dir), ["panel_id", "chr"], "name", "dna_s", "dna_e", 20_000)
+    """Pairs of features of a panel whose DNA windows overlap, the longest first."""
+    return joins.overlap_pairs(features(spark, sf_dir, "dna"), ["panel_id", "chr"], "name", "dna_s", "dna_e", 20_000).orderBy(F.col("overlap_len").desc(), "panel_id", "a", "b")
 
 
-@query(_F + """SELECT a.panel_id, a.name AS enhancer, b.name AS promoter, least(a.dna_e, b.dna_e) - greatest(a.dna_s, b.dna_s) AS overlap_len
+@query(_F_DNA + """SELECT a.panel_id, a.name AS enhancer, b.name AS promoter, least(a.dna_e, b.dna_e) - greatest(a.dna_s, b.dna_s) AS overlap_len
 FROM f a JOIN f b ON a.panel_id = b.panel_id AND a.chr = b.chr AND a.type = 'E' AND b.type = 'P' AND greatest(a.dna_s, b.dna_s) < least(a.dna_e, b.dna_e) WHERE a.dna_s < a.dna_e AND b.dna_s < b.dna_e""")
 def dual_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps of an enhancer with a promoter, the carriers of a second readout."""
-    f = cut(features(spark, sf_dir))
+    f = cut(features(spark, sf_dir, "dna"))
     kinds = f.select("panel_id", "name", "type")
     p = joins.overlap_pairs(f, ["panel_id", "chr"], "name", "dna_s", "dna_e", 20_000)
     p = p.join(kinds.withColumnsRenamed({"name": "a", "type": "ta"}), ["panel_id", "a"]).join(kinds.withColumnsRenamed({"name": "b", "type": "tb"}), ["panel_id", "b"]).where("ta <> tb")
@@ -57,7 +60,7 @@ CASE WHEN type = 'E' AND rna_e - rna_s < 10000 THEN CAST(floor((rna_s + rna_e) /
 concat_ws('; ', note, CASE WHEN type = 'E' AND rna_e - rna_s < 10000 THEN 'window expanded ' || (rna_e - rna_s) || 'bp->10kb' END) AS note FROM f""")
 def window_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Enhancer windows of at least 10 kb, promoter windows about their TSS, with notes."""
-    f = features(spark, sf_dir).select("panel_id", "name", "type", "strand", F.col("rna_s").alias("s"), F.col("rna_e").alias("e"), "tss", "note")
+    f = features(spark, sf_dir, "rna").select("panel_id", "name", "type", "strand", F.col("rna_s").alias("s"), F.col("rna_e").alias("e"), "tss", "note")
     return panel.feature_windows(f).select("panel_id", "name", "dna_s", "dna_e", "note")
 
 
@@ -71,51 +74,117 @@ hub AS (SELECT panel_id, chr, token, coalesce(near, token) AS hub FROM g LEFT JO
 @query(_HUB + "SELECT * FROM hub")
 def nearest_group_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Promoter-only groups attached to the nearest group with an enhancer."""
-    return panel.hubs(features(spark, sf_dir), "panel_id")
+    return panel.hubs(features(spark, sf_dir, "rna"), "panel_id")
 
 
-@query(_HUB + "SELECT panel_id, chr, hub, string_agg(token, '|' ORDER BY token) AS members, count(*) AS n FROM hub GROUP BY 1, 2, 3")
+@query(_HUB + "SELECT panel_id, chr, hub, string_agg(name, '|' ORDER BY name) AS members, count(*) AS n FROM (SELECT f.panel_id, f.chr, f.name, hub FROM f JOIN hub ON f.panel_id = hub.panel_id AND f.chr = hub.chr AND regexp_replace(f.name, '^(E|P)\\d*_', '') = hub.token) GROUP BY 1, 2, 3")
 def hub_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tokens of each hub; a hub is a few neighbours within the gap."""
-    h = panel.hubs(features(spark, sf_dir), "panel_id")
-    return h.groupBy("panel_id", "chr", "hub").agg(F.array_join(F.array_sort(F.collect_list("token")), "|").alias("members"), F.count("*").alias("n"))
+    """The features of each hub; a hub is a few neighbours within the gap."""
+    f = cut(features(spark, sf_dir, "rna"))
+    return hub_features(f).groupBy("panel_id", "chr", "hub").agg(F.array_join(F.array_sort(F.collect_list("name")), "|").alias("members"), F.count("*").alias("n"))
+
+
+def hub_features(f: DataFrame) -> DataFrame:
+    return f.withColumn("token", panel.group_token(F.col("name"))).join(panel.hubs(f, "panel_id"), ["panel_id", "chr", "token"])
 
 
 @query()
 def imaging_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imaging rounds of each panel, neighbouring rounds on different chromosomes."""
-    return panel.imaging_order(features(spark, sf_dir), "panel_id")
+    return panel.imaging_order(features(spark, sf_dir, "rna"), "panel_id")
+
+
+@query(_F + """, c AS (SELECT panel_id, type = 'E' AS e, chr, count(*) AS k FROM f WHERE chr IS NOT NULL GROUP BY ALL), g AS (SELECT panel_id, e, sum(k) AS n, max(k) AS m FROM c GROUP BY ALL)
+SELECT panel_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n) AS BIGINT) AS n_rounds, CAST(sum(n) AS BIGINT) AS last_round, CAST(coalesce(sum(n) FILTER (WHERE e), 0) AS BIGINT) AS last_enhancer, CAST(sum(greatest(0, 2 * m - n - 1)) AS BIGINT) AS n_repeats FROM g GROUP BY 1""")
+def imaging_order_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an imaging order must meet: every round once, enhancers first, no more neighbours on one chromosome than must be."""
+    f = cut(features(spark, sf_dir, "rna").where("chr IS NOT NULL"))
+    order = panel.imaging_order(f, "panel_id").join(f.select("panel_id", "name", F.coalesce(F.col("type") == "E", F.lit(False)).alias("e")), ["panel_id", "name"])
+    w = Window.partitionBy("panel_id", "e").orderBy("round")
+    again = order.withColumn("again", F.lag("chr").over(w) == F.col("chr")).groupBy("panel_id")
+    return again.agg(F.count("*").alias("n_features"), F.countDistinct("round").alias("n_rounds"), F.max("round").alias("last_round"), F.coalesce(F.max(F.when(F.col("e"), F.col("round"))), F.lit(0)).alias("last_enhancer"), F.count_if("again").alias("n_repeats"))
+
+
+def readouts(f: DataFrame) -> DataFrame:
+    no_rna = f.where(F.lower(F.trim("rna_probe")) == "no").select("panel_id", "name")
+    return panel.readout_scheme(cut(panel.imaging_order(f, "panel_id")), "panel_id", no_rna=no_rna)
 
 
 @query()
 def readout_scheme(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readouts and plates of the RNA and DNA rounds."""
-    return panel.readout_scheme(cut(panel.imaging_order(features(spark, sf_dir), "panel_id")), "panel_id")
+    """Rounds, readouts and plates; features without an RNA probe have no RNA round."""
+    return readouts(cut(features(spark, sf_dir, "rna")))
+
+
+@query(_F + """, n AS (SELECT panel_id, count(*) FILTER (WHERE coalesce(lower(trim(rna_probe)), '') <> 'no') AS r, count(*) AS d FROM f WHERE chr IS NOT NULL GROUP BY 1)
+SELECT panel_id, 'RNA' AS block, r AS n, r AS n_readouts, 1 AS first, r AS last, CAST(ceil(r / 96) AS BIGINT) AS plates, r AS last_round FROM n WHERE r > 0
+UNION ALL SELECT panel_id, 'DNA', d, d, CAST(ceil(r / 96) * 96 + 1 AS BIGINT), CAST(ceil(r / 96) * 96 + d AS BIGINT), CAST(ceil((ceil(r / 96) * 96 + d) / 96) AS BIGINT), r + d FROM n""")
+def readout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readouts of each panel's blocks: how many, from where to where, and the last plate and round."""
+    r = readouts(cut(features(spark, sf_dir, "rna"))).groupBy("panel_id", "block")
+    return r.agg(F.count("*").alias("n"), F.countDistinct("readout").alias("n_readouts"), F.min("readout").alias("first"), F.max("readout").alias("last"), F.max("plate").alias("plates"), F.max("imaging_round").alias("last_round"))
+
+
+def dual(f: DataFrame) -> DataFrame:
+    pairs = joins.overlap_pairs(f.where("dna_s IS NOT NULL AND rna_s IS NOT NULL AND chr IS NOT NULL"), ["panel_id", "chr"], "name", "dna_s", "dna_e", 20_000)
+    return panel.dual_barcodes(pairs, f.select("panel_id", "name", "type"), cut(readouts(f.where("rna_s IS NOT NULL"))), "panel_id")
+
+
+@query()
+def dual_barcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones whose carrier has a second readout, with readouts and plates."""
+    return dual(cut(features(spark, sf_dir)))
+
+
+@query()
+def zone_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probes every 2,000 bases of each DNA window with the second readout of the first zone of their feature; dropped ones are left out."""
+    f = cut(features(spark, sf_dir))
+    start = F.explode(F.sequence(F.col("dna_s"), F.col("dna_e"), F.lit(2_000)))
+    points = f.where("dna_s IS NOT NULL").select("panel_id", F.col("name").alias("feature"), "strand", start.alias("start"))
+    points = cut(points.withColumn("at", F.floor(panel.probe_centre(F.col("start"), F.col("start") + 40, F.lit(0), 40, F.col("strand") == "-"))))
+    z = panel.zones(cut(dual(f)), "panel_id")
+    out = joins.first_zone(points, ["panel_id", "feature", "start"], "at", z, ["panel_id", "feature"], "start", "end", ["start", "end"], "r2", 20_000.0)
+    return out.select("panel_id", F.format_string("%s_%d", "feature", "start").alias("probe"), "at", "r2")
+
+
+@query(_F + """, t AS (SELECT panel_id, name, type, chr, CASE WHEN name LIKE '%Myc' THEN rna_s + 4000000 ELSE rna_s END AS s, CASE WHEN name LIKE '%Myc' THEN rna_e + 4000000 ELSE rna_e END AS e,
+  concat_ws('; ', note, CASE WHEN name LIKE '%Myc' THEN 'COORD FIX: +4000000' END) AS note, strand, tss FROM f WHERE name NOT IN ('E1_Sox2', 'P_Sox2')),
+a AS (SELECT panel_id, name, type, chr, s, e, strand, tss, nullif(note, '') AS note FROM t UNION ALL SELECT DISTINCT panel_id, 'E_New', 'E', 'chr6', 125407000, 125437000, '+', CAST(NULL AS BIGINT), 'added' FROM f),
+c AS (SELECT panel_id, name, s + 100 AS new_tss FROM (SELECT panel_id, name, rna_s AS s, type FROM f) WHERE type = 'P' AND s % 2 = 0)
+SELECT a.panel_id, a.name, a.s, a.e, coalesce(c.new_tss, a.tss) AS tss, a.note FROM a LEFT JOIN c USING (panel_id, name)""")
+def panel_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features shifted, dropped and added by name, with TSS from a table of corrections."""
+    f = cut(features(spark, sf_dir, "rna")).select("panel_id", "name", "type", "chr", F.col("rna_s").alias("s"), F.col("rna_e").alias("e"), "strand", "tss", "note")
+    more = f.select("panel_id").distinct().select("panel_id", F.lit("E_New").alias("name"), F.lit("E").alias("type"), F.lit("chr6").alias("chr"), F.lit(125_407_000).cast("long").alias("s"), F.lit(125_437_000).cast("long").alias("e"), F.lit("+").alias("strand"), F.lit(None).cast("long").alias("tss"), F.lit("added").alias("note"))
+    tss = f.where("type = 'P' AND s % 2 = 0").select("panel_id", "name", (F.col("s") + 100).alias("new_tss"), F.lit(None).cast("string").alias("new_strand"), F.lit(None).cast("string").alias("new_note"))
+    return panel.corrected(f, {"Myc$": 4_000_000}, ["E1_Sox2", "P_Sox2"], more, tss, ["panel_id", "name"]).select("panel_id", "name", "s", "e", "tss", "note")
 
 
-_CH = lambda n: f"CAST(round_even(255 * (0.5 - 0.325 * greatest(-1, least((({n} + h / 30) % 12) - 3, 9 - (({n} + h / 30) % 12), 1))), 0) AS INT)"
+_CH = lambda n: f"CAST(floor(255 * (0.48 - 0.62 * 0.48 * greatest(-1, least((({n} + h / 30) % 12) - 3, 9 - (({n} + h / 30) % 12), 1))) + 0.5) AS INT)"
 
 
-@query(_F + f""", c AS (SELECT *, (CAST(substr(chr, 4) AS VARCHAR)), (CASE WHEN chr = 'chrX' THEN 20 ELSE CAST(substr(chr, 4) AS INT) END * 137.508) % 360 AS h FROM f WHERE regexp_matches(chr, '^chr([0-9]+|X)$')),
+@query(_HUB + f""", i AS (SELECT panel_id, hub, row_number() OVER (PARTITION BY panel_id ORDER BY hub) - 1 AS i FROM (SELECT DISTINCT panel_id, hub FROM hub)),
+c AS (SELECT f.*, (i * 137.508) % 360 AS h FROM f JOIN hub ON f.panel_id = hub.panel_id AND f.chr = hub.chr AND regexp_replace(f.name, '^(E|P)\\d*_', '') = hub.token JOIN i ON i.panel_id = hub.panel_id AND i.hub = hub.hub),
 u AS (SELECT *, {_CH(0)} || ',' || {_CH(8)} || ',' || {_CH(4)} AS rgb FROM c)
-SELECT panel_id, chr, dna_s - 1 AS start, dna_e AS "end", 'DNA_' || name AS name, 0 AS score, strand, rgb FROM u
-UNION ALL SELECT panel_id, chr, rna_s - 1, rna_e, 'RNA_' || name, 0, strand, rgb FROM u""")
+SELECT panel_id, chr, dna_s - 1 AS start, dna_e AS "end", 'DNA_' || name AS name, 0 AS score, strand, dna_s - 1 AS thick_start, dna_e AS thick_end, rgb FROM u WHERE dna_s IS NOT NULL
+UNION ALL SELECT panel_id, chr, rna_s - 1, rna_e, 'RNA_' || name, 0, strand, rna_s - 1, rna_e, rgb FROM u""")
 def bed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BED rows of both windows, coloured by chromosome with the golden-angle palette."""
-    f = features(spark, sf_dir).where(F.col("chr").rlike("^chr([0-9]+|X)$"))
-    i = F.when(F.col("chr") == "chrX", 20).otherwise(F.substring("chr", 4, 9).try_cast("int")).cast("double")
-    return panel.bed_rows(f, "panel_id", exprs.hub_colour(i))
+    """BED9 rows of both windows, coloured by hub with the golden-angle palette; hubs of a panel are numbered by name."""
+    f = cut(hub_features(cut(features(spark, sf_dir, "rna"))))
+    i = (F.row_number().over(Window.partitionBy("panel_id").orderBy("hub")) - 1).cast("double")
+    return panel.bed_rows(f.join(f.select("panel_id", "hub").distinct().withColumn("i", i), ["panel_id", "hub"]), "panel_id", exprs.hub_colour(F.col("i")))
 
 
-@query(_F + """, z AS (SELECT panel_id, chr, name AS zone, dna_s, dna_e, CASE WHEN type = 'P' THEN -1 ELSE CAST(length(name) AS BIGINT) END AS r2 FROM f),
-p AS (SELECT panel_id, chr, name, (rna_s + rna_e) // 2 AS mid FROM f),
+@query(_F_ALL + """, z AS (SELECT panel_id, chr, name AS zone, dna_s, dna_e, CASE WHEN type = 'P' THEN -1 ELSE CAST(length(name) AS BIGINT) END AS r2 FROM f WHERE dna_s IS NOT NULL),
+p AS (SELECT panel_id, chr, name, (rna_s + rna_e) // 2 AS mid FROM f WHERE rna_s IS NOT NULL),
 m AS (SELECT p.panel_id, p.name, arg_min(r2, (dna_s, zone)) AS r2 FROM p JOIN z ON p.panel_id = z.panel_id AND p.chr = z.chr AND mid BETWEEN dna_s AND dna_e GROUP BY 1, 2)
 SELECT p.panel_id, p.name, CAST(m.r2 AS DOUBLE) AS r2 FROM p LEFT JOIN m USING (panel_id, name) WHERE r2 IS NULL OR r2 <> -1""")
 def first_zone_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each feature's centre in the first zone that holds it; promoter zones drop it."""
     f = cut(features(spark, sf_dir))
-    zones = f.select("panel_id", "chr", F.col("name").alias("zone"), "dna_s", "dna_e", F.when(F.col("type") == "P", F.lit(-1)).otherwise(F.length("name")).cast("long").alias("r2"))
-    points = f.select("panel_id", "chr", "name", F.floor((F.col("rna_s") + F.col("rna_e")) / 2).alias("at"))
+    zones = f.where("dna_s IS NOT NULL").select("panel_id", "chr", F.col("name").alias("zone"), "dna_s", "dna_e", F.when(F.col("type") == "P", F.lit(-1)).otherwise(F.length("name")).cast("long").alias("r2"))
+    points = f.where("rna_s IS NOT NULL").select("panel_id", "chr", "name", F.floor((F.col("rna_s") + F.col("rna_e")) / 2).alias("at"))
     out = joins.first_zone(points, ["panel_id", "name"], "at", zones, ["panel_id", "chr"], "dna_s", "dna_e", ["dna_s", "zone"], "r2", 20_000.0)
     return out.select("panel_id", "name", F.col("r2").cast("double").alias("r2"))
 
