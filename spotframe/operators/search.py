@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotframe.functions.exprs import bump_score, equivalent_diameter, range_score
+from spotframe.operators.joins import same
 from spotframe.operators.stats import group_percentiles
 from spotframe.session import cut
 
@@ -126,3 +127,14 @@ def convergence(best: DataFrame, arm: list[str], min_rounds: int = 2, eps: float
     w = Window.partitionBy(*arm).orderBy("round")
     rows = best.withColumn("first_recent", F.lag("best", min_rounds - 1).over(w)).withColumn("n", F.row_number().over(w))
     return rows.withColumn("converging", (F.col("n") < min_rounds) | (F.col("best") >= F.col("first_recent") + eps) | (F.col("best") >= strong))
+
+
+def count_band(rounds: DataFrame, group: list[str], count: str, score: str, tie: str) -> DataFrame:
+    """``rounds`` with ``anchor``, the count of the best round of the group that has one, and ``in_band``: within half to twice of it, both included."""
+    best = rounds.where(F.col(score).isNotNull() & F.col(count).isNotNull()).groupBy(*[F.col(g).alias(f"b_{g}") for g in group]).agg(F.max_by(count, F.struct(F.col(score), -F.col(tie))).alias("anchor"))
+    return rounds.join(best, same(group, "b_"), "left").drop(*[f"b_{g}" for g in group]).withColumn("in_band", F.col(count).between(0.5 * F.col("anchor"), 2 * F.col("anchor")))
+
+
+def merged_params(old: Column, new: Column) -> Column:
+    """Two maps as one; of a key in both the right one's value holds."""
+    return F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k)), new)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotframe.operators import joins, voxels
+from spotframe.operators import geometry, joins, voxels
 from spotframe.plans.base import SPOTS, Registry, spots
 from spotframe.plans.measurements import _IMAGE, image, nucleus_mask, spot_places
 from spotframe.session import cut
@@ -42,6 +42,21 @@ def bead_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.nearest_match(s.where("marker = 'Brd4'"), other, ["fov"], "focus_id", 5.0, ["y", "x"], "z").select("focus_id", "partner", R("distance", 5).alias("distance"))
 
 
+@query(f"""WITH {SPOTS}, b AS (SELECT focus_id, fov, z, y, x FROM spots WHERE marker = 'Pol2' AND lower(CAST(z + y + x AS VARCHAR)) <> 'nan'),
+p AS (SELECT a.fov, a.x, a.y, b.x AS u, b.y AS v, row_number() OVER (PARTITION BY a.focus_id ORDER BY sqrt((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)), b.focus_id) AS rn
+      FROM spots a JOIN b ON a.fov = b.fov AND a.marker = 'Brd4' AND lower(CAST(a.z + a.y + a.x AS VARCHAR)) <> 'nan' AND sqrt((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) <= 10),
+m AS (SELECT fov, avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(v) AS mv FROM p WHERE rn = 1 GROUP BY 1),
+g AS (SELECT fov, mx, my, mu, mv, atan2(sum((x - mx) * (v - mv) - (y - my) * (u - mu)), sum((x - mx) * (u - mu) + (y - my) * (v - mv))) AS a FROM p JOIN m USING (fov) WHERE rn = 1 GROUP BY ALL)
+SELECT fov, round(a, 6) AS angle, round(mu - cos(a) * mx + sin(a) * my, 4) AS dx, round(mv - sin(a) * mx - cos(a) * my, 4) AS dy FROM g""")
+def rigid_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rotation and shift of each field of view between two channels, from nearest matches within 10."""
+    s = cut(spots(spark, sf_dir).select("focus_id", "fov", "marker", "z", "y", "x"))
+    m = joins.nearest_match(s.where("marker = 'Brd4'"), s.where("marker = 'Pol2'"), ["fov"], "focus_id", 10.0, ["y", "x"])
+    other = s.select(F.col("focus_id").alias("partner"), F.col("x").alias("u"), F.col("y").alias("v"))
+    pairs = cut(m.join(s.select("focus_id", "x", "y"), "focus_id").join(other, "partner"))
+    return geometry.rigid_fit(pairs, ["fov"]).select("fov", R("angle", 6).alias("angle"), R("dx", 4).alias("dx"), R("dy", 4).alias("dy"))
+
+
 @query(f"""WITH {SPOTS}, r AS (SELECT focus_id, fov, marker, row_number() OVER (PARTITION BY fov, marker ORDER BY intensity DESC, focus_id) AS rank FROM spots WHERE intensity < 5000)
 SELECT focus_id, fov, marker, rank FROM r WHERE rank <= 20""")
 def bead_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

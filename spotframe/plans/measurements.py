@@ -331,6 +331,14 @@ def mann_whitney_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("marker", "feature", "grp", R("u", 1).alias("u"), R("z", 5).alias("z"))
 
 
+@query(_LONG + """, med AS (SELECT marker, feature, grp, median(value) AS m FROM v GROUP BY 1, 2, 3)
+SELECT st.marker, st.feature, st.grp, round(cliffs_delta, 6) AS cliffs_delta, round(a.m, 6) AS median_cond, round(c.m, 6) AS median_ctrl FROM st JOIN med a USING (marker, feature, grp) JOIN med c ON c.marker = st.marker AND c.feature = st.feature AND c.grp = 'control'""")
+def differential_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The differential table without its p-values."""
+    t = differential_table(spark, sf_dir)
+    return t.select("marker", "feature", "grp", *[R(c, 6).alias(c) for c in ("cliffs_delta", "median_cond", "median_ctrl")])
+
+
 @query()
 def differential_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Effect size, p, adjusted p and both medians per condition and feature."""

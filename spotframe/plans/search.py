@@ -80,7 +80,25 @@ def range_and_bump_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", R(exprs.range_score(F.col("value"), 5, 20), 8).alias("range_score"), R(exprs.bump_score(F.col("value"), 5, 20), 8).alias("bump_score"))
 
 
-@query()
+_PARAMS = ["threshold", "abs_floor", "blur_sigma", "marker_h", "watershed", "min_size", "max_size", "tophat_radius", "noise_k", "num_sigma", "h", "offset_k", "block_size", "levels", "k"]
+
+
+def _clip_sql(family: str, param: str, kind: str, lo: float | None, hi: float | None, choices: list[str] | None) -> str:
+    val = f"p.{param}" if param in _PARAMS else "NULL"
+    num, text = "CAST(NULL AS DOUBLE)", "NULL"
+    if kind in ("float", "int"):
+        x = f"CAST({val} AS DOUBLE)"
+        default = round((lo + hi) / 2) if kind == "int" else round((lo + hi) / 2, 3)
+        num = f"coalesce(least(greatest({f'trunc({x})' if kind == 'int' else x}, {lo}), {hi}), {default})"
+        num = f"CASE WHEN {x} IS NULL THEN {float(default)} ELSE {num} END"
+    elif kind == "cat":
+        text = f"CASE WHEN {val} IN ({', '.join(repr(c) for c in choices)}) THEN {val} ELSE '{choices[0]}' END"
+    else:
+        text = f"coalesce(CAST({val} AS VARCHAR), 'true')"
+    return f"SELECT round_id, trial_pos, family, '{param}' AS param, {num} AS num, {text} AS text, {val} IS NULL AS defaulted FROM q WHERE family = '{family}'"
+
+
+@query(_T + ", q AS (SELECT round_id, trial_pos, family, x.metrics.params AS p FROM t WHERE x.metrics.params IS NOT NULL)\n" + "\nUNION ALL ".join(_clip_sql(*r) for r in search.PARAM_SPACE))
 def param_clip_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every trial's parameters clipped to the family's space, with defaults for missing ones."""
     t = trials(spark, sf_dir).where("x.metrics.params IS NOT NULL").select("round_id", "trial_pos", "family", F.col("x.metrics.params").alias("params"))
@@ -88,7 +106,10 @@ def param_clip_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.clip_with_defaults(t.select(*keys, "family"), search.long_params(t, "params", keys), keys)
 
 
-@query()
+_DIFF = "\nUNION ALL ".join(f"SELECT round_id, '{p}' AS param, '{p}: ' || coalesce(CAST(old.{p} AS VARCHAR), 'None') || ' -> ' || CAST(new.{p} AS VARCHAR) AS line FROM d WHERE new.{p} IS NOT NULL" for p in _PARAMS)
+
+
+@query(_R + ", d AS (SELECT round_id, metrics.params AS old, proposal.params AS new FROM latest WHERE proposal.params IS NOT NULL)\n" + _DIFF)
 def config_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``key: old -> new`` of every proposed parameter against the round's own."""
     r = rounds(spark, sf_dir).where("proposal.params IS NOT NULL").select("round_id", F.col("metrics.params").alias("old"), F.col("proposal.params").alias("new"))
@@ -99,6 +120,14 @@ def config_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VOXEL = 0.108 * 0.108 * 0.3
+@query(_R + """, r AS (SELECT round_id, marker, score, metrics.median_count AS n FROM latest), b AS (SELECT marker, arg_max(n, (score, -round_id)) AS anchor FROM r WHERE score IS NOT NULL GROUP BY 1)
+SELECT round_id, n >= 0.5 * anchor AND n <= 2 * anchor AS in_band FROM r LEFT JOIN b ON r.marker IS NOT DISTINCT FROM b.marker""")
+def count_band_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each round's median count is within half to twice that of its marker's best round."""
+    r = rounds(spark, sf_dir).select("round_id", "marker", "score", F.col("metrics.median_count").alias("n"))
+    return search.count_band(cut(r), ["marker"], "n", "score", "round_id").select("round_id", "in_band")
+
+
 _EXPECT = {"count": (2.0, 40.0), "eq_diam": (0.3, 1.5), "coverage": (0.001, 0.1)}
 
 
