@@ -55,3 +55,12 @@ def upsert(cards: DataFrame, changes: DataFrame, key: str) -> DataFrame:
         key, *[(F.array_distinct(F.concat(F.coalesce(f"o.{c}", F.array().cast("array<string>")), F.coalesce(f"n.{c}", F.array().cast("array<string>")))) if c in ("tags", "sources") else F.coalesce(f"n.{c}", f"o.{c}")).alias(c) for c in cards.columns if c != key]
     )
     return cards.join(changes.select(key), key, "left_anti").unionByName(merged)
+
+
+def expectations(markers: DataFrame, cards: DataFrame, value: str) -> DataFrame:
+    """``markers`` with ``value`` of the card whose slug is ``<marker>-biology``, in lower case; NULL without one.
+
+    ``cards``: ``slug`` (once each) and ``value``.
+    """
+    known = cards.select(F.lower("slug").alias("_slug"), F.col(value))
+    return markers.join(known, F.concat(F.lower("marker"), F.lit("-biology")) == F.col("_slug"), "left").drop("_slug")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import chain, count
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,20 +58,29 @@ def overlap_pairs(df: DataFrame, key: list[str], ident: str, start: str, end: st
     return out.select(*[F.col(f"a.{k}").alias(k) for k in key], F.col("a._i").alias("a"), F.col("b._i").alias("b"), s.alias("overlap_start"), e.alias("overlap_end"), (e - s).alias("overlap_len"))
 
 
-def nearest(left: DataFrame, right: DataFrame, key: list[str], coords: list[str], radii: tuple[float, ...] = (1.0, 4.0, 16.0, 64.0, 1024.0)) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, key: list[str], coords: list[str], radii: tuple[float, ...] = (1.0, 4.0, 16.0, 64.0, 1024.0), few: int = 64) -> DataFrame:
     """``left`` with ``nn_dist``: the distance to the nearest row of ``right`` with an equal key.
 
-    Rounds of grid joins with growing cells: a row is settled as soon as its nearest candidate
+    Keys of at most ``few`` partners are joined as they are; so a row meets ``few`` at most. For
+    the others, rounds of grid joins with growing cells: a row is settled as soon as its nearest candidate
     is within the round's radius, so dense groups never pair all with all, and only rows
-    without a near neighbour go to the wider cells. Rows with none within the last radius are held
-    against all partners of their key. With a NULL or NaN coordinate or an empty partner side,
+    without a near neighbour go to the wider cells, which grow until all are settled. With a NULL or NaN coordinate or an empty partner side,
     ``nn_dist`` is NULL.
     """
     good = lambda p: reduce(and_, [F.col(f"{p}{c}").isNotNull() & ~F.isnan(f"{p}{c}") for c in coords])
     partner = right.select(*[F.col(k).alias(f"r_{k}") for k in key], *[F.col(c).cast("double").alias(f"r_{c}") for c in coords]).where(good("r_")).distinct()
-    rest = left.withColumn("_id", F.struct(*[F.col(k) for k in key], *[F.col(c).cast("double").alias(c) for c in coords])).select("_id").distinct().where(good("_id."))
-    found = None
-    for r in radii:
+    ids = left.withColumn("_id", F.struct(*[F.col(k) for k in key], *[F.col(c).cast("double").alias(c) for c in coords])).select("_id").distinct().where(good("_id."))
+    on_key = reduce(and_, [F.col(f"_id.{k}") == F.col(f"r_{k}") for k in key])
+    apart = reduce(lambda x, y: x + y, [(F.col(f"_id.{c}") - F.col(f"r_{c}")) * (F.col(f"_id.{c}") - F.col(f"r_{c}")) for c in coords])
+    names = [f"r_{k}" for k in key]
+    partner, ids = cut(partner), cut(ids)
+    large = cut(partner.groupBy(*names).agg(F.count("*").alias("_n")).where(F.col("_n") > few).drop("_n"))
+    any_large = not large.isEmpty()
+    small = partner.join(large, names, "left_anti") if any_large else partner
+    found = ids.join(small, on_key).groupBy("_id").agg(F.sqrt(F.min(apart)).alias("nn_dist"))
+    rest = ids.join(large, on_key, "left_semi") if any_large else None
+    partner = partner.join(large, names, "left_semi")
+    for r in chain(radii, (radii[-1] * 4.0**i for i in count(1))) if any_large else ():
         # a partner stands in the two cells, each way, that what is within r of it can lie in
         width, reach = 2.01 * r, 1.001 * r
         open_keys = rest.select(*[F.col(f"_id.{k}").alias(f"r_{k}") for k in key]).distinct()
@@ -79,18 +89,13 @@ def nearest(left: DataFrame, right: DataFrame, key: list[str], coords: list[str]
             b = b.withColumn(f"h{i}", F.explode(F.sequence(F.floor((F.col(f"r_{c}") - reach) / width), F.floor((F.col(f"r_{c}") + reach) / width))))
         a = rest.select("_id", *[F.floor(F.col(f"_id.{c}") / width).alias(f"g{i}") for i, c in enumerate(coords)])
         on = reduce(and_, [F.col(f"_id.{k}") == F.col(f"r_{k}") for k in key] + [F.col(f"g{i}") == F.col(f"h{i}") for i in range(len(coords))])
-        d2 = reduce(lambda x, y: x + y, [(F.col(f"_id.{c}") - F.col(f"r_{c}")) * (F.col(f"_id.{c}") - F.col(f"r_{c}")) for c in coords])
-        near = a.join(b, on).groupBy("_id").agg(F.sqrt(F.min(d2)).alias("nn_dist")).where(F.col("nn_dist") <= r)
+        near = a.join(b, on).groupBy("_id").agg(F.sqrt(F.min(apart)).alias("nn_dist")).where(F.col("nn_dist") <= r)
         step = cut(rest.join(near, "_id", "left"))
         done = step.where("nn_dist IS NOT NULL")
-        found = done if found is None else found.unionByName(done)
+        found = found.unionByName(done)
         rest = step.where("nn_dist IS NULL").select("_id")
         if rest.isEmpty():
             break
-    else:
-        on = reduce(and_, [F.col(f"_id.{k}") == F.col(f"r_{k}") for k in key])
-        far = reduce(lambda x, y: x + y, [F.pow(F.col(f"_id.{c}") - F.col(f"r_{c}"), F.lit(2.0)) for c in coords])
-        found = found.unionByName(rest.join(partner, on).groupBy("_id").agg(F.sqrt(F.min(far)).alias("nn_dist")))
     out = left.withColumn("_id", F.struct(*[F.col(k) for k in key], *[F.col(c).cast("double").alias(c) for c in coords]))
     return out.join(found, "_id", "left").drop("_id")
 

@@ -81,11 +81,12 @@ def imaging_order(f: DataFrame, panel: str, pinned: list[str] | None = None) ->
     unlike the one before where possible; of equals the one with most at first, then by name.
     Which chromosome comes when depends only on their counts, a few per panel; that sequence is
     made from one row per panel and type and streamed out, and features take their places by
-    their position in the chromosome. Features without a chromosome have no round.
+    their position in the chromosome. Without a ``type`` all are promoters. Features without a chromosome have no round.
     """
     names = F.array(*[F.lit(n) for n in pinned or []]).cast("array<string>")
-    tail = F.when(F.col("type") == "P", F.nullif(F.array_position(names, F.col("name")), F.lit(0).cast("long")))
-    rows = f.where("chr IS NOT NULL").withColumn("_tail", tail).withColumn("_part", F.when(F.col("_tail").isNotNull(), 2).when(F.col("type") == "E", 0).otherwise(1))
+    sort = F.col("type") if "type" in f.columns else F.lit("P")
+    tail = F.when(F.coalesce(sort != "E", F.lit(True)), F.nullif(F.array_position(names, F.col("name")), F.lit(0).cast("long")))
+    rows = f.where("chr IS NOT NULL").withColumn("_tail", tail).withColumn("_part", F.when(F.col("_tail").isNotNull(), 2).when(sort == "E", 0).otherwise(1))
     free = rows.where("_part < 2")
     counts = free.groupBy(panel, "_part", "chr").agg(F.count("*").alias("n")).groupBy(panel, "_part").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "chr"))).alias("counts"))
     kind = f.schema[panel].dataType.simpleString()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spotframe.functions.exprs import bump_score, equivalent_diameter, range_score
 from spotframe.operators.joins import same
-from spotframe.operators.stats import group_percentiles
+from spotframe.operators.stats import group_percentiles, to_long
 from spotframe.session import cut
 
 #: Family, parameter, kind, lowest, highest, choices. The bounded search space.
@@ -91,8 +91,10 @@ def proxy_score(cells: DataFrame, sizes: DataFrame, group: list[str]) -> DataFra
     """
     cells, sizes = cut(cells), cut(sizes)
     out = cells.groupBy(*group).agg(F.coalesce(F.when(F.avg("count") > 0, F.stddev_pop("count") / F.avg("count")), F.lit(9.9)).alias("count_cv"))
-    for rows, column, name in ((cells, "count", "median_count"), (cells, "fill", "median_fill"), (cells, "volume", "median_nucleus"), (sizes, "size", "median_vol"), (sizes, "contrast", "median_contrast")):
-        out = out.join(group_percentiles(rows, group, column, {name: 0.5}), group, "left")
+    names = {"count": "median_count", "fill": "median_fill", "volume": "median_nucleus", "size": "median_vol", "contrast": "median_contrast"}
+    long = to_long(cells, group, ["count", "fill", "volume"]).unionByName(to_long(sizes, group, ["size", "contrast"]))
+    medians = group_percentiles(long, [*group, "feature"], "value", {"m": 0.5}).groupBy(*group)
+    out = out.join(medians.agg(*[F.max(F.when(F.col("feature") == f, F.col("m"))).alias(n) for f, n in names.items()]), group, "left")
     out = cut(out)
     far = sizes.join(out.select(*group, "median_nucleus"), group).groupBy(*group).agg(F.avg((F.col("size") < 3).cast("int")).alias("frac_tiny"), F.avg((F.col("size") > 0.05 * F.col("median_nucleus")).cast("int")).alias("frac_huge"))
     return out.join(far, group, "left").fillna({"frac_tiny": 1.0, "frac_huge": 0.0})

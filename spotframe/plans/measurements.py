@@ -74,17 +74,17 @@ def spot_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image(places: DataFrame) -> DataFrame:
-    """A voxel image per field of view and marker: integrated intensities with half as much per step around them."""
+    """A voxel image per field of view and marker: integrated intensities with half as much one step around them."""
     v = places.where("integrated IS NOT NULL").select("fov", "marker", *voxels.PLACE, F.col("integrated").alias("v"))
-    near = voxels.around()
+    near = voxels.around(False)
     rows = voxels._shifted(v, ["fov", "marker"], near, [0.5 ** sum(map(abs, o)) for o in near])
     return rows.groupBy("fov", "marker", *voxels.PLACE).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
 def nucleus_mask(places: DataFrame) -> DataFrame:
-    """The voxels of each nucleus: those of its spots and around; of several nuclei the smallest has it."""
+    """The voxels of each nucleus: those of its spots and one step around; of several nuclei the smallest has it."""
     v = places.where("nucleus <> 0").groupBy("fov", *voxels.PLACE, "nucleus").agg(F.lit(1).alias("v"))
-    return voxels._shifted(v, ["fov", "nucleus"], voxels.around()).groupBy("fov", *voxels.PLACE).agg(F.min("nucleus").alias("nucleus"))
+    return voxels._shifted(v, ["fov", "nucleus"], voxels.around(False)).groupBy("fov", *voxels.PLACE).agg(F.min("nucleus").alias("nucleus"))
 
 
 def nucleus_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,8 +100,8 @@ _IMAGE = f"""WITH {SPOTS}, {NUCLEI},
 places AS (SELECT * EXCLUDE (z, y, x), CAST(floor(z / 1.0) AS INT) AS z, CAST(floor(y / 2.0) AS INT) AS y, CAST(floor(x / 2.0) AS INT) AS x FROM spots WHERE z IS NOT NULL AND y IS NOT NULL AND x IS NOT NULL
   AND lower(CAST(z + y + x AS VARCHAR)) <> 'nan'),
 near AS (SELECT a.d AS dz, b.d AS dy, c.d AS dx FROM (VALUES (-1), (0), (1)) a(d), (VALUES (-1), (0), (1)) b(d), (VALUES (-1), (0), (1)) c(d)),
-image AS (SELECT fov, marker, z + dz AS z, y + dy AS y, x + dx AS x, sum(integrated * pow(0.5, abs(dz) + abs(dy) + abs(dx))) AS v FROM places, near WHERE integrated IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
-mask AS (SELECT fov, z + dz AS z, y + dy AS y, x + dx AS x, min(nucleus) AS nucleus FROM places, near WHERE nucleus <> 0 GROUP BY 1, 2, 3, 4),
+image AS (SELECT fov, marker, z + dz AS z, y + dy AS y, x + dx AS x, sum(integrated * pow(0.5, abs(dz) + abs(dy) + abs(dx))) AS v FROM places, near WHERE integrated IS NOT NULL AND abs(dz) + abs(dy) + abs(dx) <= 1 GROUP BY 1, 2, 3, 4, 5),
+mask AS (SELECT fov, z + dz AS z, y + dy AS y, x + dx AS x, min(nucleus) AS nucleus FROM places, near WHERE nucleus <> 0 AND abs(dz) + abs(dy) + abs(dx) <= 1 GROUP BY 1, 2, 3, 4),
 totals AS (SELECT fov, nucleus, marker, sum(v) AS total FROM image JOIN mask USING (fov, z, y, x) GROUP BY 1, 2, 3),
 asked AS (SELECT DISTINCT fov, z, y, x FROM places WHERE nucleus <> 0),
 local AS (SELECT q.fov, q.z, q.y, q.x, i.marker, sum(i.v) / 27 AS local FROM asked q CROSS JOIN near JOIN image i ON i.fov = q.fov AND i.z = q.z + dz AND i.y = q.y + dy AND i.x = q.x + dx GROUP BY 1, 2, 3, 4, 5)

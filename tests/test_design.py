@@ -214,3 +214,107 @@ def test_label_propagation_parts_cliques_at_a_bridge(spark):
     # two nodes don't swap labels for ever
     pair = matrix.propagated_labels(nodes.where("node < 2"), spark.createDataFrame([(0, 1)], "a long, b long")).collect()
     assert len({r.label for r in pair}) == 1
+
+
+def test_order_is_enhancers_promoters_then_the_pinned(spark):
+    rows = [("p", f"{t}{i}", t, c, i) for i, (t, c) in enumerate([("P", "c1"), ("E", "c1"), ("E", "c1"), ("P", "c2"), ("E", "c2"), ("P", "c3"), ("P", "c3"), ("E", None)])]
+    f = spark.createDataFrame(rows, "panel string, name string, type string, chr string, rna_s long")
+    order = panel.imaging_order(f, "panel", pinned=["P5", "P0", "E1"])
+    assert [r.name for r in order.orderBy("round").collect()] == ["E1", "E4", "E2", "P3", "P6", "P5", "P0"]
+    no_rna = f.where("name = 'E4'").select("panel", "name")
+    staged = spark.createDataFrame([("p", "E1_sub", 193, 289)], "panel string, sub string, rna int, dna int")
+    got = {(r.block, r.feature): (r.imaging_round, r.readout, r.plate) for r in panel.readout_scheme(order, "panel", no_rna=no_rna, staged=staged).collect()}
+    assert len(got) == 6 + 7 + 2 and ("RNA", "RNA_E4") not in got
+    assert got["RNA", "RNA_E2"] == (2, 2, 1) and got["DNA", "DNA_E1"] == (7, 97, 2) and got["DNA", "DNA_P0"] == (13, 103, 2)
+    assert got["RNA-sub", "RNA_E1_sub"] == (None, 193, 3) and got["DNA-sub", "DNA_E1_sub"] == (None, 289, 4)
+
+
+def test_dual_barcodes_zones_and_missing_readouts(spark):
+    over = spark.createDataFrame([("p", "c", "E", "P", 5, 9), ("p", "c", "E", "F", 1, 2)], "panel string, chr string, a string, b string, overlap_start long, overlap_end long")
+    types = spark.createDataFrame([("p", n, n.replace("F", "E")) for n in "EPF"], "panel string, name string, type string")
+    readouts = spark.createDataFrame([("p", "DNA", f"DNA_{n}", 97 + i) for i, n in enumerate("EPF")] + [("p", "RNA", "RNA_E", 1)], "panel string, block string, feature string, readout long")
+    dual = panel.dual_barcodes(over, types, readouts, "panel")
+    assert [(r.carrier, r.partner, r.primary, r.plate_primary, r.secondary) for r in dual.collect()] == [("E", "P", 97, 2, 98)]
+    assert {(r.feature, r.start, r.end, r.r2) for r in panel.zones(dual, "panel").collect()} == {("E", 5, 9, 98), ("P", 5, 9, -1)}
+    with pytest.raises(Exception, match="no DNA readout for p.P"):
+        panel.dual_barcodes(over, types, readouts.where("feature <> 'DNA_P'"), "panel").collect()
+
+
+def test_corrections(spark):
+    schema = "name string, type string, s long, e long, strand string, tss long, note string"
+    f = spark.createDataFrame([("E_Ski", "E", 10, 20, "+", None, None), ("P_A", "P", 1, 2, "-", 5, "n"), ("E_Drop", "E", 1, 2, "+", None, None), (None, "E", 1, 2, "+", None, None)], schema)
+    more = spark.createDataFrame([("E_New", "E", 7, 8, "+", None, "added")], schema)
+    fix = spark.createDataFrame([("P_A", 9, None, None), ("P_A", 11, "+", "x"), ("Q", 1, "+", "y")], "name string, new_tss long, new_strand string, new_note string")
+    got = {r.name: tuple(r)[2:] for r in panel.corrected(f, {"_Ski$": 100}, ["E_Drop"], more, fix, ["name"]).collect()}
+    assert got == {"E_Ski": (110, 120, "+", None, "COORD FIX: +100"), "P_A": (1, 2, "-", 9, "n"), None: (1, 2, "+", None, None), "E_New": (7, 8, "+", None, "added")}
+
+
+def test_hub_colours_and_bed(spark):
+    from spotframe.functions.exprs import hub_colour, readout_handle
+
+    assert [r[0] for r in spark.range(2).select(hub_colour(F.col("id").cast("double"))).collect()] == ["198,47,47", "47,198,91"]
+    f = spark.createDataFrame([(1, "c", "A", "+", 10, 20, None, None)], "p int, chr string, name string, strand string, dna_s long, dna_e long, rna_s long, rna_e long")
+    assert [tuple(r) for r in panel.bed_rows(f, "p", F.lit("1,2,3")).collect()] == [(1, "c", 9, 20, "DNA_A", 0, "+", 9, 20, "1,2,3")]
+    assert spark.range(1).select(readout_handle(F.lit("AACC" * 6))).first()[0] == "GGTT" * 5
+
+
+def voxel_df(spark, rows, columns="k int, z int, y int, x int, v double"):
+    return spark.createDataFrame(rows, columns)
+
+
+def test_local_means_totals_and_floor(spark):
+    image = voxel_df(spark, [(1, 0, 0, 0, "d", 27.0), (1, 1, 1, 1, "d", 54.0), (1, 0, 2, 0, "d", 5.0), (1, 0, 0, 0, "e", 1.0)], "k int, z int, y int, x int, m string, v double")
+    points = spark.createDataFrame([(1, 0, 0, 0), (1, 0, 0, 0), (1, 9, 9, 9)], "k int, z int, y int, x int")
+    assert {(r.z, r.m): r.local for r in voxels.local_means(points, image, ["k"], "m").collect()} == {(0, "d"): 3.0, (0, "e"): 1 / 27}
+    mask = spark.createDataFrame([(1, 0, 0, 0, 7), (1, 0, 2, 0, 7), (1, 1, 1, 1, 8)], "k int, z int, y int, x int, label int")
+    assert {(r.label, r.m): r.total for r in voxels.label_totals(image, mask, ["k"], "label", "m").collect()} == {(7, "d"): 32.0, (7, "e"): 1.0, (8, "d"): 54.0}
+    kept = voxels.floor_mask(image, mask, ["k"], "label", "m", 0.5).collect()
+    assert [(r.label, r.m, r.v) for r in kept] == [(7, "d", 27.0)]
+    cells = {(r.label, r.m): (r.n_voxels, r.fill, r.bg_median, r.bg_mad) for r in voxels.cell_metrics(image, mask, image.where("v = 54"), ["k"], "label", "m").collect()}
+    assert cells == {(7, "d"): (2, 0.0, 16.0, 11 * 1.4826), (7, "e"): (1, 0.0, 1.0, 1.0), (8, "d"): (1, 1.0, 0.0, 1.0)}
+
+
+def test_shapes_scaling_and_upscaling(spark):
+    square = spark.createDataFrame([(1, 5, z, y, x) for z in (0, 1) for y in range(4) for x in range(4)] + [(1, 6, 0, 9, 9)], "k int, label int, z int, y int, x int")
+    got = {r.label: r for r in voxels.label_shapes(square, ["k"], "label").collect()}
+    assert (got[5].n_voxels, got[5].area, got[5].cz, got[5].cy) == (32, 16, 0.5, 1.5)
+    assert got[5].perimeter == 12 and got[5].circularity == pytest.approx(4 * math.pi * 16 / 144) and got[6].circularity == 0
+    v = voxel_df(spark, [(1, 0, 0, i, float(i)) for i in range(101)] + [(2, 0, 0, 0, 0.0)])
+    top = {(r.k, r.x): r.v for r in voxels.unit_scaled(v, ["k"], 0.5).collect()}
+    assert top[1, 25] == 0.5 and top[1, 80] == 1.0 and top[2, 0] == 0.0
+    fine = voxels.upscaled(square.where("label = 6"), ["k"], "label", 2, 19, 100).collect()
+    assert {(r.y, r.x) for r in fine} == {(18, 18), (18, 19)}
+
+
+def test_brightest_leaves_out_saturated_first(spark):
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate([9, 8, 8, 3, 100])] + [(1, 9, None)], "k int, i int, v double")
+    assert [(r.i, r["rank"]) for r in voxels.brightest(df, ["k"], "v", 2, 100.0).orderBy("rank").collect()] == [(0, 1), (1, 2)]
+
+
+def test_more_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a": 1, "b": {"c": "x"}}\n{"a": 2}\n{broken\n')
+    rows = files.read_json(spark, str(tmp_path / "a.json"), "a int, b struct<c:string>").collect()
+    assert [(r.a, r.b.c if r.b else None, r._broken) for r in rows] == [(1, "x", None), (2, None, None), (None, None, "{broken")]
+    cards = spark.createDataFrame([("s", "N", "finding", ["a", "b"], None, ["q"], "a\nd", "# H\ntext")], "slug string, name string, type string, tags array<string>, links array<string>, sources array<string>, description string, body string")
+    (tmp_path / "cards").mkdir()
+    (tmp_path / "cards" / "s.md").write_text(files.card_markdown(cards).first().value)
+    back = files.read_cards(spark, str(tmp_path / "cards")).first()
+    assert (back.slug, back.name, back.type, back.tags, back.links, back.sources, back.description, back.body) == ("s", "N", "finding", ["a", "b"], [], ["q"], "a d", "# H\ntext")
+    assert files.card_index(cards).first().value == "- [[s]] a\nd"
+    files.write_matrix(spark.createDataFrame([(1, 1.0, None), (2, 3.0, float("nan"))], "i int, a double, b double"), str(tmp_path / "m"), ["i"], ["a", "b"], {"made": "now"})
+    assert {(r.feature, r.mean, r.deviation) for r in spark.read.parquet(str(tmp_path / "m" / "var")).collect()} == {("a", 2.0, 1.0), ("b", 0.0, 0.0)}
+    labels = spark.createDataFrame([(1, 0, 1, 2, 70_000), (1, 3, 0, 0, 2), (1, 3, 9, 0, 5)], "k int, z int, y int, x int, label long")
+    planes = files.label_planes(labels, ["k"], 4, 5)
+    assert {tuple(r) for r in files.label_voxels(planes, ["k"]).collect()} == {(1, 0, 1, 2, 70_000), (1, 3, 0, 0, 2)}
+    depth = spark.createDataFrame([(1, c, z) for c, n in (("a", 3), ("b", 2)) for z in range(n)], "k int, c string, z int")
+    assert files.common_depth(depth, ["k"], "c").count() == 4
+    p = spark.createDataFrame([(0, 0), (1, 0)], "channel int, z int")
+    ch = spark.createDataFrame([("A", "interleaved", 1), ("B", "file", 0)], "marker string, kind string, index int")
+    assert sorted(r.marker for r in files.channel_planes({"interleaved": p, "file": p}, ch).collect()) == ["A", "B"]
+    got = cards_expectations(spark)
+    assert got == {"Sc35": "20-60", "Brd4": None}
+
+
+def cards_expectations(spark):
+    m, c = spark.createDataFrame([("Sc35",), ("Brd4",)], "marker string"), spark.createDataFrame([("sc35-biology", "20-60")], "slug string, count string")
+    return {r.marker: r["count"] for r in cards.expectations(m, c, "count").collect()}

@@ -82,18 +82,42 @@ def test_range_lookup_bounds_gaps_and_first_match(spark):
     assert {x.v: x.name for x in joins.range_lookup(df, "v", r, "lo", "hi", ["name"]).collect()} == {0: "a", 3: "a", 4: "b", 5: "b", 6: None, 8: "c", None: None}
 
 
-def test_nearest_matches_brute_force(spark):
+@pytest.mark.parametrize("few", [4, 64])
+def test_nearest_matches_brute_force(spark, few):
     rng = random.Random(7)
     p = lambda: (rng.randrange(2), *[rng.uniform(0, 40) for _ in range(3)])
     left, right = [p() for _ in range(60)] + [(0, None, 1.0, 1.0), (5, 1.0, 1.0, 1.0)], [p() for _ in range(25)]
     s = "k int, z double, y double, x double"
-    got = joins.nearest(spark.createDataFrame(left, s), spark.createDataFrame(right, s), ["k"], ["z", "y", "x"]).collect()
+    got = joins.nearest(spark.createDataFrame(left, s), spark.createDataFrame(right, s), ["k"], ["z", "y", "x"], few=few).collect()
     assert len(got) == len(left)
     for r in got:
         ds = [sum((u - v) ** 2 for u, v in zip((r.z, r.y, r.x), q[1:])) ** 0.5 for q in right if q[0] == r.k] if r.z is not None else []
         assert (r.nn_dist is None) == (not ds) and (not ds or abs(r.nn_dist - min(ds)) < 1e-9)
 
 
+def test_a_partner_far_away_is_found(spark):
+    right = [(0, float(i), 0.0, 0.0) for i in range(10)]
+    df = lambda rows: spark.createDataFrame(rows, "k int, z double, y double, x double")
+    got = joins.nearest(df([(0, -20_000.0, 0.0, 0.0), (0, 5.25, 0.0, 0.0)]), df(right), ["k"], ["z", "y", "x"], few=3).collect()
+    assert sorted(r.nn_dist for r in got) == [0.25, 20_000.0]
+
+
+def test_nearest_match_gives_the_partner(spark):
+    df = lambda rows: spark.createDataFrame(rows, "f int, i string, z double, y double, x double")
+    left = [(1, "a", 0.0, 0.0, 0.0), (1, "b", 0.0, 50.0, 0.0), (1, "c", 0.0, None, 0.0), (2, "d", 0.0, 0.0, 0.0)]
+    right = [(1, "q", 0.0, 3.0, 4.0), (1, "p", 3.0, 4.0, 3.0), (1, "deep", 3.5, 0.0, 0.0), (1, "far", 0.0, 56.0, 0.0), (1, "bad", float("nan"), 0.0, 0.0)]
+    got = joins.nearest_match(df(left), df(right), ["f"], "i", 5.0, ["y", "x"], "z").collect()
+    assert [tuple(r) for r in got] == [(1, "a", "p", 5.0)]
+
+
+def test_lookup_fails_for_a_missing_name(spark):
+    names = spark.createDataFrame([("a", 2), ("a", 1)], "n string, v int")
+    df = lambda n: spark.createDataFrame([(n,)], "n string")
+    assert joins.lookup(df("a"), names, "n", "v", "value").first().v == 1
+    with pytest.raises(Exception, match="no value for b"):
+        joins.lookup(df("b"), names, "n", "v", "value").collect()
+
+
 def test_first_zone(spark):
     zones = spark.createDataFrame([(1, 0, 10, 0, 5), (1, 5, 20, 1, -1), (1, 30, 40, 2, 7)], "k int, lo int, hi int, o int, r long")
     pts = spark.createDataFrame([(1, 1, 10), (2, 1, 11), (3, 1, 25), (4, 1, 30), (5, 2, 5)], "i int, k int, p int")

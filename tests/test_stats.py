@@ -93,13 +93,21 @@ def test_bead_flag_bounds(spark):
 
 
 def test_nucleus_features_of_none_one_and_bead_spots(spark):
-    n = spark.createDataFrame([(1, 1, 100.0), (1, 2, 100.0), (1, 3, 100.0)], "fov int, nucleus long, nucleus_volume_um3 double")
-    s = spark.createDataFrame([(1, 2, "A", 2.0, 5.0, 10.0, False), (1, 3, "A", 2.0, 5.0, 10.0, True), (1, 3, "A", None, None, None, False), (1, 0, "A", 1.0, 1.0, 1.0, False)], "fov int, nucleus long, marker string, volume double, intensity double, integrated double, is_bead boolean")
-    got = {r.nucleus: r for r in features.nucleus_marker_features(s, n, ["A"]).collect()}
-    assert (got[1].n_foci, got[1].condensed_fraction, got[1].vol_mean) == (0, 0.0, None)
-    assert (got[2].n_foci, got[2].vol_cv, got[2].density_per_um3, got[2].condensed_fraction) == (1, None, 0.01, 1.0)
-    assert (got[3].n_foci, got[3].n_beads, got[3].condensed_fraction) == (1, 1, 0.0)
-    assert features.nucleus_marker_features(s.limit(0), n, ["A"]).count() == 3
+    spots = spark.createDataFrame(
+        [(1, 1, "m", 2.0, 10.0, 40.0, False, 5.0), (1, 1, "m", 4.0, 10.0, 60.0, False, 7.0), (1, 1, "m", 9.0, 99.0, 500.0, True, 9.0), (1, 2, "m", 3.0, 1.0, 30.0, False, 1.0), (1, 0, "m", 1.0, 1.0, 1.0, False, 1.0)],
+        "fov int, nucleus int, marker string, volume double, intensity double, integrated double, is_bead boolean, local_dapi double",
+    )
+    nuclei = spark.createDataFrame([(1, 1, 100.0, 50), (1, 2, 0.0, 10), (1, 3, None, None)], "fov int, nucleus int, nucleus_volume_um3 double, volume_vox int")
+    totals = spark.createDataFrame([(1, 1, "m", 900.0), (1, 2, "m", 20.0)], "fov int, nucleus int, marker string, total double")
+    got = {r.nucleus: r for r in features.nucleus_marker_features(spots, nuclei, totals, ["m"], 0.5).collect()}
+    one, two, none = got[1], got[2], got[3]
+    # total 900 - 500 of the bead; 12 voxels of spots, 38 beside them
+    assert (one.n_foci, one.n_beads, one.density_per_um3, one.vol_mean, one.vol_median) == (2, 1, 0.02, 3.0, 3.0)
+    assert one.vol_cv == pytest.approx(2**0.5 / 3) and one.condensed_fraction == pytest.approx(100 / 400) and one.local_dapi == 6
+    assert one.partition_coefficient == pytest.approx((100 / 12) / (300 / 38))
+    # less image than spots: the spots are the total; one spot has no spread; no volume, no density
+    assert (two.condensed_fraction, two.partition_coefficient, two.vol_cv, two.density_per_um3) == (1.0, None, None, 0.0)
+    assert (none.n_foci, none.vol_mean, none.vol_median, none.vol_cv, none.condensed_fraction, none.mean_intensity, none.local_dapi) == (0, 0.0, 0.0, 0.0, 0.0, 0.0, None)
 
 
 def test_coloc_radius_is_strict(spark):
@@ -149,3 +157,38 @@ def test_group_percentiles(spark):
         x = [v for h, v in rows if h == g and v is not None and v == v]
         assert q == pytest.approx(tuple(np.percentile(x, [0, 33.3, 100])))
     assert stats.group_percentiles(df.limit(0), ["g"], "v", {"p": 0.5}).count() == 0
+
+
+def test_noise_of_all_values_and_of_the_background(spark):
+    rows = [("a", float(x)) for x in [1, 2, 3, 4, 100, 200, 300]] + [("b", 5.0)] * 3 + [("c", None), ("a", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    noise = {r.g: r for r in stats.robust_noise(df, ["g"], "v").collect()}
+    # deviations about the median 4: 3 2 1 0 96 196 296
+    assert noise["a"].median == 4 and noise["a"].mad == pytest.approx(3 * 1.4826) and noise["b"].mad == 1 and set(noise) == {"a", "b"}
+    low = {r.g: r.noise for r in stats.background_noise(df, ["g"], "v").collect()}
+    # 1 2 3 4 about 2.5: 1.5 0.5 0.5 1.5
+    assert low["a"] == pytest.approx(1.4826) and low["b"] == 1
+
+
+def test_large_groups_take_slots_with_the_same_result(spark):
+    df = spark.createDataFrame([("a" if i % 3 else None, float(i * i % 101)) for i in range(400)], "g string, v double")
+    few, many = ({r.g: (r.p, r.q) for r in stats.group_percentiles(df, ["g"], "v", {"p": 0.37, "q": 0.9}, most=m).collect()} for m in (5, 1000))
+    assert set(few) == set(many) == {"a", None} and all(few[g] == pytest.approx(many[g]) for g in few)
+
+
+def test_a_spot_is_huge_against_the_median_nucleus(spark):
+    cells = spark.createDataFrame([("m", 1, 0.1, 100.0), ("m", 3, 0.3, 200.0), ("m", 5, 0.2, 1000.0)], "g string, count int, fill double, volume double")
+    sizes = spark.createDataFrame([("m", 2.0, 1.0), ("m", 3.0, 2.0), ("m", 10.0, 3.0), ("m", 10.5, 4.0)], "g string, size double, contrast double")
+    r = search.proxy_score(cells, sizes, ["g"]).first()
+    assert (r.median_count, r.median_fill, r.median_nucleus, r.median_vol, r.median_contrast) == (3, 0.2, 200, 6.5, 2.5)
+    assert (r.frac_tiny, r.frac_huge) == (0.25, 0.25)
+
+
+def test_count_band(spark):
+    df = spark.createDataFrame([("m", 10.0, 0.9, 1), ("m", 5.0, 0.1, 2), ("m", 20.5, None, 3), ("m", None, 0.95, 4), ("n", None, None, 5)], "g string, c double, s double, i int")
+    assert {r.i: r.in_band for r in search.count_band(df, ["g"], "c", "s", "i").collect()} == {1: True, 2: True, 3: False, 4: None, 5: None}
+
+
+def test_merged_params(spark):
+    df = spark.sql("SELECT map('a', 1, 'b', 2) AS x, map('b', 3) AS y")
+    assert df.select(search.merged_params(F.col("x"), F.col("y"))).first()[0] == {"a": 1, "b": 3}
