@@ -34,6 +34,14 @@ def kmeans_tokens(df: DataFrame, ident: str, vector: str, k: int, seed: int = 0)
     return model.transform(rows).select(ident, F.col("_c").cast("string").alias("cluster"))
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of ``a`` to all of ``b``, dimension by dimension, so a pair's doesn't depend on its batch."""
+    out = np.zeros((len(a), len(b)))
+    for i in range(a.shape[1]):
+        out += (a[:, i, None] - b[None, :, i]) ** 2
+    return np.sqrt(out)
+
+
 def nearest_vectors(df: DataFrame, queries: DataFrame, ident: str, vector: str, k: int, block_rows: int = 20_000) -> DataFrame:
     """``query``, ``neighbour``, ``distance``, ``rank``: the exact k nearest of a stated query set among all rows.
 
@@ -62,7 +70,7 @@ def nearest_vectors(df: DataFrame, queries: DataFrame, ident: str, vector: str,
                 x = np.stack(batch.column(1).to_numpy(zero_copy_only=False))
                 for s in range(0, len(ids), 256):
                     e = min(s + 256, len(ids))
-                    d = np.sqrt(np.maximum(((q[s:e, None, :] - x[None, :, :]) ** 2).sum(-1), 0)) if x.size < 2_000_000 else np.sqrt(np.maximum((q[s:e] ** 2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q[s:e] @ x.T, 0))
+                    d = distances(q[s:e], x)
                     d[ids[s:e, None] == own[None]] = np.inf
                     d, i = np.hstack([best_d[s:e], d]), np.hstack([best_i[s:e], np.broadcast_to(own, (e - s, len(own)))])
                     o = np.lexsort((i, d), axis=1)[:, :k]
@@ -78,15 +86,15 @@ def nearest_vectors(df: DataFrame, queries: DataFrame, ident: str, vector: str,
     return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def connected_labels(edges: DataFrame, most: int = 60) -> DataFrame:
+def connected_labels(edges: DataFrame) -> DataFrame:
     """``node``, ``label``: the smallest node of each connected set of an undirected edge table (``a``, ``b``).
 
     Rounds of taking the smallest neighbouring label and jumping to the label's own label; the
-    driver sees one count per round.
+    driver sees one count per round; labels only fall, so the rounds end.
     """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    for _ in range(most):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         step = labels.join(near, "node").select("node", F.least("label", "m").alias("new"), "label")
         jump = step.join(labels.select(F.col("node").alias("new"), F.col("label").alias("far")), "new", "left")
@@ -95,7 +103,6 @@ def connected_labels(edges: DataFrame, most: int = 60) -> DataFrame:
         labels = nxt.select("node", "label")
         if moved:
             return labels
-    raise RuntimeError(f"labels still move after {most} rounds")
 
 
 def propagated_labels(nodes: DataFrame, edges: DataFrame, halves: int = 20) -> DataFrame:

@@ -91,21 +91,21 @@ def uphill(v: DataFrame, key: list[str]) -> DataFrame:
     return v.join(best, [*key, *PLACE]).select(*key, *PLACE, "v", *[F.col(f"s.{c}").alias(f"to_{c}") for c in PLACE])
 
 
-def basins(v: DataFrame, key: list[str], most: int = 40) -> DataFrame:
+def basins(v: DataFrame, key: list[str]) -> DataFrame:
     """Watershed by steepest ascent: each voxel with the summit (``to_*``) its uphill path ends at.
 
-    Paths are halved every round by pointing to the pointer's pointer.
+    Paths are halved every round by pointing to the pointer's pointer; they only climb, so the
+    rounds end.
     """
     rows = cut(uphill(v, key))
     to = [f"to_{c}" for c in PLACE]
-    for _ in range(most):
+    while True:
         nxt = rows.select(*key, *[F.col(c).alias(t) for c, t in zip(PLACE, to)], *[F.col(t).alias(f"n{t}") for t in to])
         step = cut(rows.join(nxt, [*key, *to], "left").select(*key, *PLACE, "v", *[F.coalesce(f"n{t}", t).alias(t) for t in to], reduce(lambda a, b: a | b, [F.coalesce(f"n{t}", t) != F.col(t) for t in to]).alias("moved")))
         still = not step.where("moved").isEmpty()
         rows = step.drop("moved")
         if not still:
             return rows
-    raise RuntimeError(f"paths still move after {most} rounds")
 
 
 def components(mask: DataFrame, key: list[str], full: bool = False) -> DataFrame:
@@ -156,22 +156,72 @@ def noise_threshold(v: DataFrame, key: list[str], k: float) -> DataFrame:
     return background_noise(v, key, "v").select(*key, (k * F.col("noise")).alias("threshold"))
 
 
-def detect(v: DataFrame, key: list[str], family: str, **p: float) -> DataFrame:
+def smoothed(v: DataFrame, key: list[str], sigma: float) -> DataFrame:
+    """Gaussian blur in y and x at the places of ``v``; none for 0."""
+    if sigma <= 0:
+        return v
+    return v.select(*key, *PLACE).join(blur(v, key, gaussian_taps(sigma)), [*key, *PLACE])
+
+
+def scale_responses(v: DataFrame, key: list[str], sigmas: list[float]) -> DataFrame:
+    """``scale``, ``v``: differences of blurs at neighbouring widths, at every place that one reaches."""
+    blurred = [cut(blur(v, key, gaussian_taps(s))) for s in sigmas]
+    parts = [difference(a, b, key).withColumn("scale", F.lit(i)) for i, (a, b) in enumerate(zip(blurred, blurred[1:]))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def scale_ladder(variant: str, least: float, most: float, many: int) -> list[float]:
+    """Widths of a search over scales: ``many`` and one even steps (log), or 1.6 times each from ``least`` past ``most`` (dog)."""
+    if variant == "log":
+        return [least + (most - least) * i / max(many - 1, 1) for i in range(many)] + [most * 1.6]
+    out = [least]
+    while out[-1] <= most:
+        out.append(out[-1] * 1.6)
+    return out if len(out) > 1 else [least, least * 1.6]
+
+
+def wavelet_product(v: DataFrame, key: list[str], low: int, high: int) -> DataFrame:
+    """Product of the positive a-trous planes ``low`` to ``high`` (from 1), at the places of ``v``; only positive products."""
+    smooth, out = v, None
+    for level in range(1, high + 1):
+        rougher, smooth = smooth, cut(blur(smooth, key, B3_SPLINE, 2 ** (level - 1)))
+        if level >= low:
+            plane = difference(rougher, smooth, key).where("v > 0").withColumnRenamed("v", f"w{level}")
+            out = plane if out is None else out.join(plane, [*key, *PLACE])
+    product = reduce(lambda a, b: a * b, [F.col(f"w{i}") for i in range(low, high + 1)])
+    return v.select(*key, *PLACE).join(out, [*key, *PLACE]).select(*key, *PLACE, product.alias("v"))
+
+
+def deviation_threshold(v: DataFrame, key: list[str], k: float) -> DataFrame:
+    """k times the deviation about the median of the values of each plane; where that is 0, their standard deviation."""
+    by = [*key, "z"]
+    med = cut(group_percentiles(v, by, "v", {"m": 0.5}).withColumnsRenamed({c: f"m_{c}" for c in by}))
+    dev = group_percentiles(v.join(med, same(by, "m_")).select(*by, F.abs(F.col("v") - F.col("m")).alias("d")), by, "d", {"d": 0.5})
+    std = v.groupBy(*by).agg(F.stddev_pop("v").alias("s"))
+    return dev.join(std, by).select(*by, (k * F.when(F.col("d") > 0, F.col("d") * MAD_SCALE).otherwise(F.col("s") + 1e-9)).alias("threshold"))
+
+
+def detect(v: DataFrame, key: list[str], family: str, **p: float | str) -> DataFrame:
     """Foreground voxels by a detector family; parameters as in the search space.
 
-    mean_fold: above ``threshold`` times the mean of the positive projection. mad_tophat: top-hat,
-    then above ``noise_k`` times the noise. log_dog: difference of two blurs above ``threshold``
-    of its maximum. h_dome: within ``h`` of the maximum below each summit. otsu_adaptive: above
-    Otsu's threshold. wavelet: product of a-trous planes above ``k`` times its noise.
+    mean_fold: blurred by ``blur_sigma``, above ``threshold`` times the mean of the positive
+    projection and above ``abs_floor``. mad_tophat: top-hat of ``tophat_radius``, blurred, above
+    ``noise_k`` times the background's noise. log_dog: some difference of blurs of the ``variant``'s
+    widths from ``min_sigma`` to ``max_sigma`` above ``threshold`` of the greatest. h_dome: within ``h``
+    of the maximum below each summit. otsu_adaptive: above Otsu's threshold, or (``method``
+    local) above the mean of a block of ``block_size`` by ``offset_k`` deviations. wavelet:
+    product of the a-trous planes ``levels`` above ``k`` times its deviation per plane.
     """
     if family == "mean_fold":
+        v = smoothed(v, key, p.get("blur_sigma", 0.0))
         t = max_projection(v, key).where("v > 0").groupBy(*key).agg((p.get("threshold", 1.5) * F.avg("v")).alias("threshold"))
         return above(v, t, key, p.get("abs_floor", 0.0))
     if family == "mad_tophat":
-        h = top_hat(v, key, int(p.get("tophat_radius", 2)))
-        return above(h, noise_threshold(v, key, p.get("noise_k", 3.0)), key)
+        h = smoothed(top_hat(v, key, int(p.get("tophat_radius", 2))), key, p.get("blur_sigma", 0.0))
+        return above(h, noise_threshold(h, key, p.get("noise_k", 3.0)), key)
     if family == "log_dog":
-        d = difference(blur(v, key, gaussian_taps(1.0)), blur(v, key, gaussian_taps(1.6)), key)
+        ladder = scale_ladder(p.get("variant", "dog"), p.get("min_sigma", 1.0), p.get("max_sigma", 1.6), int(p.get("num_sigma", 2)))
+        d = cut(scale_responses(v, key, ladder).groupBy(*key, *PLACE).agg(F.max("v").alias("v")))
         t = d.groupBy(*key).agg((p.get("threshold", 0.1) * F.max("v")).alias("threshold"))
         return above(d, t, key)
     if family == "h_dome":
@@ -181,16 +231,83 @@ def detect(v: DataFrame, key: list[str], family: str, **p: float) -> DataFrame:
         rows = b.join(top, [*key, *[f"to_{c}" for c in PLACE]]).join(whole, key)
         return rows.where(F.col("v") > F.col("top") - p.get("h", 0.1) * F.col("most")).select(*key, *PLACE, "v")
     if family == "otsu_adaptive":
-        return above(v, otsu(v, key), key)
+        if p.get("method", "otsu") == "otsu":
+            return above(v, otsu(v, key), key)
+        size = int(p.get("block_size", 15)) // 2 * 2 + 1
+        local = blur(v, key, [1 / size] * size).withColumnRenamed("v", "local")
+        noise = v.groupBy(*key).agg(F.stddev_pop("v").alias("s")).withColumn("s", F.when(F.col("s") > 0, F.col("s")).otherwise(1.0))
+        rows = v.join(local, [*key, *PLACE]).join(noise, key)
+        return rows.where(F.col("v") > F.col("local") + p.get("offset_k", 1.0) * F.col("s")).select(*key, *PLACE, "v")
     if family == "wavelet":
-        a1 = blur(v, key, B3_SPLINE)
-        a2 = blur(a1, key, B3_SPLINE, 2)
-        w1, w2 = difference(v, a1, key), difference(a1, a2, key)
-        m = w1.where("v > 0").join(w2.where("v > 0").withColumnRenamed("v", "u"), [*key, *PLACE]).withColumn("v", F.col("v") * F.col("u")).drop("u")
-        return above(m, noise_threshold(m, key, p.get("k", 2.0)), key)
+        low, high = (int(x) for x in str(p.get("levels", "1-2")).split("-"))
+        m = cut(wavelet_product(v, key, low, high))
+        return above(m, deviation_threshold(m, key, p.get("k", 2.0)), [*key, "z"])
     raise ValueError(f"unknown family {family}")
 
 
+def merged_basins(b: DataFrame, key: list[str], h: float) -> DataFrame:
+    """``basins`` in which a summit less than ``h`` above its highest pass goes to the basin beyond it, if that is higher.
+
+    So the summits left are the h-maxima. Passes are the greatest of the lower values where two
+    basins touch. Every round merges basins along their highest passes; the rounds end when none
+    is low, and each has fewer basins. Equal summits: the one at the greater place stays.
+    """
+    to = [f"to_{c}" for c in PLACE]
+    root = F.struct(*[F.col(c) for c in [*key, *to]])
+    rows = cut(b.select(*key, *PLACE, "v", root.alias("root")))
+    half = [o for o in around() if o > (0, 0, 0)]
+    moved = _shifted(rows.select(*key, *PLACE, "v"), key, half).withColumnRenamed("v", "u")
+    other = rows.select(*key, *[F.col(c).alias(f"from_{c}") for c in PLACE], F.col("root").alias("there"))
+    touch = moved.join(rows, [*key, *PLACE]).join(other, [*key, *[f"from_{c}" for c in PLACE]]).where("root <> there")
+    pairs = touch.select(F.col("root").alias("a"), F.col("there").alias("b"), F.least("u", "v").alias("pass"))
+    edges = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "pass")).groupBy("a", "b").agg(F.max("pass").alias("pass")))
+    owner = cut(rows.groupBy("root").agg(F.max("v").alias("top")).select(F.col("root").alias("first"), "root", "top"))
+    while True:
+        tops = owner.groupBy("root").agg(F.max("top").alias("top"))
+        ends = lambda side: tops.select(F.col("root").alias(side), F.col("top").alias(f"top_{side}"))
+        best = edges.join(ends("b"), "b").groupBy("a").agg(F.max(F.struct("pass", "top_b", "b")).alias("m")).join(ends("a"), "a")
+        low = (F.col("top_a") - F.col("m.pass") < h) & ((F.col("m.top_b") > F.col("top_a")) | ((F.col("m.top_b") == F.col("top_a")) & (F.col("m.b") > F.col("a"))))
+        goes = cut(best.where(low).select("a", F.col("m.b").alias("next")))
+        if goes.isEmpty():
+            break
+        while True:  # to the end of each chain
+            ahead = goes.select(F.col("a").alias("next"), F.col("next").alias("far"))
+            step = cut(goes.join(ahead, "next", "left").select("a", F.coalesce("far", "next").alias("next"), F.col("far").isNotNull().alias("moved")))
+            goes = step.select("a", "next")
+            if step.where("moved").isEmpty():
+                break
+        hop = lambda c: goes.select(F.col("a").alias(c), F.col("next").alias(f"{c}_next"))
+        owner = cut(owner.join(hop("root"), "root", "left").select("first", F.coalesce("root_next", "root").alias("root"), "top"))
+        e = edges.join(hop("a"), "a", "left").join(hop("b"), "b", "left").select(F.coalesce("a_next", "a").alias("a"), F.coalesce("b_next", "b").alias("b"), "pass")
+        edges = cut(e.where("a <> b").groupBy("a", "b").agg(F.max("pass").alias("pass")))
+    return rows.withColumnRenamed("root", "first").join(owner.select("first", "root"), "first").select(*key, *PLACE, "v", *[F.col(f"root.{t}").alias(t) for t in to])
+
+
+def size_gate(labelled: DataFrame, key: list[str], least: int = 0, most: int | None = None) -> DataFrame:
+    """Labels of at least ``least`` and at most ``most`` voxels, numbered 1..N per key in their order."""
+    n = labelled.groupBy(*key, "label").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    n = n if most is None else n.where(F.col("_n") <= most)
+    first = n.select(*key, "label", F.dense_rank().over(Window.partitionBy(*key).orderBy("label")).alias("_new"))
+    return labelled.join(first, [*key, "label"]).drop("label").withColumnRenamed("_new", "label")
+
+
+def objects(v: DataFrame, key: list[str], family: str, **p: float | str | bool) -> DataFrame:
+    """``detect``, then objects: place, ``v`` and ``label`` 1..N per key.
+
+    With ``watershed`` the foreground is parted into the basins of its h-maxima (``marker_h``; for
+    mad_tophat ``seed_h_k`` times the noise is the caller's to give as ``marker_h``), else into
+    connected voxels (6 neighbours); then ``min_size`` and ``max_size`` count.
+    """
+    fg = cut(detect(v, key, family, **p))
+    if p.get("watershed", True):
+        b = merged_basins(basins(fg, key), key, max(float(p.get("marker_h", 0.0)), 1e-6))
+        where = F.struct(*[F.col(f"to_{c}") for c in PLACE])
+        labelled = b.withColumn("label", where).drop(*[f"to_{c}" for c in PLACE])
+    else:
+        labelled = components(fg, key)
+    return size_gate(labelled, key, int(p.get("min_size", 0)), int(p["max_size"]) if p.get("max_size") else None)
+
+
 def label_totals(image: DataFrame, mask: DataFrame, key: list[str], label: str, by: str) -> DataFrame:
     """``key``, ``label``, ``by``, ``total``: sums of an image's values over the voxels of each label.
 

@@ -339,6 +339,13 @@ def region_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voxels.inner_labels(props, KEY)
 
 
+@query()
+def spot_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of the detected foreground, parted at h-maxima and size-gated, with their properties."""
+    o = voxels.objects(voxel_table(spark, sf_dir), KEY, "mean_fold", threshold=1.05, marker_h=50.0, min_size=1)
+    return voxels.region_properties(o, KEY)
+
+
 @query()
 def watershed_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Basins of steepest ascent: size and summit."""

@@ -318,3 +318,41 @@ def test_more_files(spark, tmp_path):
 def cards_expectations(spark):
     m, c = spark.createDataFrame([("Sc35",), ("Brd4",)], "marker string"), spark.createDataFrame([("sc35-biology", "20-60")], "slug string, count string")
     return {r.marker: r["count"] for r in cards.expectations(m, c, "count").collect()}
+
+
+def test_objects_are_parted_at_h_maxima_and_gated_by_size(spark):
+    # two summits of 10 and 6 with a pass of 4 between, one of 5 beside 6, and a speck elsewhere
+    line = [10, 8, 4, 6, 5, 5.5]
+    v = voxel_df(spark, [(1, 0, 0, x, float(a)) for x, a in enumerate(line)] + [(1, 0, 50, 50, 9.0), (2, 0, 0, 0, 3.0)])
+    parts = lambda h, **p: sorted(sorted((r.y, r.x) for r in rows) for rows in groups(voxels.objects(v, ["k"], "mean_fold", threshold=0.1, marker_h=h, **p)))
+
+    def groups(df):
+        out = {}
+        for r in df.where("k = 1").collect():
+            out.setdefault(r.label, []).append(r)
+        assert set(out) == set(range(1, len(out) + 1))
+        return out.values()
+
+    row = lambda *xs: [(0, x) for x in xs]
+    assert parts(0.1) == [row(0, 1, 2), row(3, 4), row(5), [(50, 50)]] or parts(0.1) == [row(0, 1, 2), row(3), row(4, 5), [(50, 50)]]
+    assert parts(1.0) == [row(0, 1, 2), row(3, 4, 5), [(50, 50)]]
+    assert parts(2.5) == [row(0, 1, 2, 3, 4, 5), [(50, 50)]]
+    assert parts(1.0, min_size=2) == [row(0, 1, 2), row(3, 4, 5)] and parts(1.0, max_size=2) == [[(50, 50)]]
+    assert parts(0.0, watershed=False) == [row(0, 1, 2, 3, 4, 5), [(50, 50)]]
+
+
+@pytest.mark.parametrize(("family", "p"), [("log_dog", {"variant": "log", "min_sigma": 0.8, "max_sigma": 2.0, "num_sigma": 3}), ("log_dog", {"variant": "dog", "min_sigma": 0.8, "max_sigma": 3.0}), ("otsu_adaptive", {"method": "local", "block_size": 7, "offset_k": 0.5}), ("wavelet", {"levels": "2-3", "k": 1.0}), ("mean_fold", {"blur_sigma": 0.7}), ("mad_tophat", {"blur_sigma": 0.7, "tophat_radius": 3})])
+def test_parameters_of_the_families(spark, family, p):
+    yy, xx = np.mgrid[0:15, 0:15]
+    base = 0 if family == "mad_tophat" else 5  # absent places are 0, so an opened border is too
+    img = base + 100 * np.exp(-((yy - 4) ** 2 + (xx - 4) ** 2) / 4.0) + 90 * np.exp(-((yy - 10) ** 2 + (xx - 10) ** 2) / 4.0)
+    v = voxel_df(spark, [(1, 0, int(y), int(x), float(img[y, x])) for y in range(15) for x in range(15)])
+    got = {(r.y, r.x) for r in voxels.detect(v, ["k"], family, **p).collect()}
+    assert {(4, 4), (10, 10)} <= got and (7, 7) not in got and len(got) < 110
+
+
+def test_distances_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(5, 8)), rng.normal(size=(300, 8))
+    d = matrix.distances(a, b)
+    assert (d[:, 100:101] == matrix.distances(a, b[100:101])).all() and np.allclose(d, np.linalg.norm(a[:, None] - b[None], axis=2))
