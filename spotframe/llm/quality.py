@@ -123,8 +123,9 @@ class Lines:
         is_common = found(common)
         self.common = np.bincount(wline[is_common], minlength=n_lines)
         self.joining = np.bincount(wline[is_common & ~found(binders)], minlength=n_lines)
-        pairs = np.unique(np.stack([self.doc[wline[is_common]].astype("uint64"), h[is_common]], 1), axis=0)
-        self.distinct_common = np.bincount(pairs[:, 0].astype("int64"), minlength=len(texts))
+        met = np.zeros((len(texts), max(len(common), 1)), "bool")
+        met[self.doc[wline[is_common]], np.searchsorted(common, h[is_common])] = True
+        self.distinct_common = met.sum(1)
         self.capital = np.bincount(wline[cls[w0] == UPPER], minlength=n_lines)
         self.single = np.bincount(wline[w1 - w0 == 1], minlength=n_lines)
         # the first token and the last character
@@ -180,9 +181,13 @@ class Lines:
         bare = full & (self.words >= 1) & (self.words <= 5) & (self.joining == 0) & (self.capital >= 0.5 * self.words) & (self.digits == 0)
         kind = np.select([~full, heading, table & ~speechless, junk | menu, entry | names, prose, loose], ["", "heading", "table", "junk", "list", "prose", "junk"], "")
         # lines that a document repeats are filler, whatever they say
-        seen, of, times = np.unique(np.stack([self.doc.astype("uint64"), self.key], 1)[full], axis=0, return_inverse=True, return_counts=True)
+        k, d = self.key[full], self.doc[full]
+        order = np.lexsort((k, d))
+        at = np.flatnonzero(np.r_[True, (np.diff(d[order]) != 0) | (np.diff(k[order]) != 0)]) if len(d) else np.zeros(0, "int64")
+        size = np.diff(np.r_[at, len(d)])
+        times = np.zeros(len(d), "int64")
+        times[order] = np.repeat(size, size)
         filler, self.repeated = np.zeros(len(n), "bool"), np.zeros(len(n), "bool")
-        times = times[of.reshape(-1)]
         self.repeated[full] = times >= 2
         filler[full] = (times >= 4) & np.isin(kind[full], ["", "prose"]) | (times >= 2) & (kind[full] == "")
         kind[filler] = "junk"
