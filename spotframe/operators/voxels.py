@@ -316,18 +316,23 @@ def label_totals(image: DataFrame, mask: DataFrame, key: list[str], label: str,
     return image.join(mask, [*key, *PLACE]).groupBy(*key, label, by).agg(F.sum("v").alias("total"))
 
 
-def local_means(points: DataFrame, image: DataFrame, key: list[str], by: str) -> DataFrame:
-    """``key``, place, ``by``, ``local``: means of each channel ``by`` over the 27 voxels about the given places.
+def local_sums(points: DataFrame, image: DataFrame, key: list[str], by: str) -> DataFrame:
+    """``key``, place, ``by``, ``local``: sums of each channel ``by`` over the 27 voxels about the given places.
 
     Places without a voxel count as 0; a place without any near voxel of a channel has no row.
     """
     near = [F.struct(*[F.lit(d).alias(f"d{c}") for c, d in zip(PLACE, o)]) for o in around()]
     rows = points.select(*key, *PLACE).distinct().withColumn("_o", F.explode(F.array(*near)))
     rows = rows.select(*key, *[F.col(c).alias(f"at_{c}") for c in PLACE], *[(F.col(c) + F.col(f"_o.d{c}")).alias(c) for c in PLACE])
-    sums = rows.join(image, [*key, *PLACE]).groupBy(*key, *[f"at_{c}" for c in PLACE], by).agg((F.sum("v") / 27).alias("local"))
+    sums = rows.join(image, [*key, *PLACE]).groupBy(*key, *[f"at_{c}" for c in PLACE], by).agg(F.sum("v").alias("local"))
     return sums.withColumnsRenamed({f"at_{c}": c for c in PLACE})
 
 
+def local_means(points: DataFrame, image: DataFrame, key: list[str], by: str) -> DataFrame:
+    """``local_sums`` as means."""
+    return local_sums(points, image, key, by).withColumn("local", F.col("local") / 27)
+
+
 #: What a border pixel adds to a perimeter, by 10 x its diagonal and 2 x its straight border neighbours + 1.
 PERIMETER = {5: 1.0, 7: 1.0, 15: 1.0, 17: 1.0, 25: 1.0, 27: 1.0, 21: 2**0.5, 33: 2**0.5, 13: (1 + 2**0.5) / 2, 23: (1 + 2**0.5) / 2}
 

@@ -91,9 +91,11 @@ def nucleus_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = cut(spot_places(spark, sf_dir))
     picture = cut(image(places))
     totals = voxels.label_totals(picture, nucleus_mask(places), ["fov"], "nucleus", "marker")
-    dapi = voxels.local_means(places.where("nucleus <> 0 AND NOT is_bead"), picture.where("marker = 'DAPI'"), ["fov"], "marker").drop("marker").withColumnRenamed("local", "local_dapi")
+    dapi = voxels.local_sums(places.where("nucleus <> 0 AND NOT is_bead"), picture.where("marker = 'DAPI'"), ["fov"], "marker").drop("marker").withColumnRenamed("local", "local_dapi")
     s = places.join(dapi, ["fov", *voxels.PLACE], "left").fillna(0.0, ["local_dapi"])
-    return features.nucleus_marker_features(s, nuclei(spark, sf_dir).where("kept = 1"), totals, MARKERS, VOXEL)
+    # sums of a FLOAT's multiples are exact in any order, so the division comes last
+    f = features.nucleus_marker_features(s, nuclei(spark, sf_dir).where("kept = 1"), totals, MARKERS, VOXEL)
+    return f.withColumn("local_dapi", F.col("local_dapi") / 27)
 
 
 _IMAGE = f"""WITH {SPOTS}, {NUCLEI},
@@ -104,13 +106,13 @@ image AS (SELECT fov, marker, z + dz AS z, y + dy AS y, x + dx AS x, sum(integra
 mask AS (SELECT fov, z + dz AS z, y + dy AS y, x + dx AS x, min(nucleus) AS nucleus FROM places, near WHERE nucleus <> 0 AND abs(dz) + abs(dy) + abs(dx) <= 1 GROUP BY 1, 2, 3, 4),
 totals AS (SELECT fov, nucleus, marker, sum(v) AS total FROM image JOIN mask USING (fov, z, y, x) GROUP BY 1, 2, 3),
 asked AS (SELECT DISTINCT fov, z, y, x FROM places WHERE nucleus <> 0),
-local AS (SELECT q.fov, q.z, q.y, q.x, i.marker, sum(i.v) / 27 AS local FROM asked q CROSS JOIN near JOIN image i ON i.fov = q.fov AND i.z = q.z + dz AND i.y = q.y + dy AND i.x = q.x + dx GROUP BY 1, 2, 3, 4, 5)
+local AS (SELECT q.fov, q.z, q.y, q.x, i.marker, sum(i.v) AS whole, sum(i.v) / 27 AS local FROM asked q CROSS JOIN near JOIN image i ON i.fov = q.fov AND i.z = q.z + dz AND i.y = q.y + dy AND i.x = q.x + dx GROUP BY 1, 2, 3, 4, 5)
 """
 _FEATURES = _IMAGE + f""",
 agg AS (SELECT p.fov, nucleus, p.marker, count(*) FILTER (WHERE NOT is_bead) AS n_foci, count(*) FILTER (WHERE is_bead) AS n_beads,
         avg(volume) FILTER (WHERE NOT is_bead) AS vol_mean, median(volume) FILTER (WHERE NOT is_bead) AS vol_median, stddev_samp(volume) FILTER (WHERE NOT is_bead) AS vol_std,
         sum(integrated) FILTER (WHERE NOT is_bead) AS foci_int, sum(integrated) FILTER (WHERE is_bead) AS bead_int,
-        avg(intensity) FILTER (WHERE NOT is_bead) AS mean_intensity, avg(coalesce(local, 0)) FILTER (WHERE NOT is_bead) AS local_dapi
+        avg(intensity) FILTER (WHERE NOT is_bead) AS mean_intensity, avg(coalesce(whole, 0)) FILTER (WHERE NOT is_bead) / 27 AS local_dapi
         FROM places p LEFT JOIN local l ON l.fov = p.fov AND l.z = p.z AND l.y = p.y AND l.x = p.x AND l.marker = 'DAPI' WHERE nucleus <> 0 GROUP BY 1, 2, 3),
 grid AS (SELECT fov, nucleus, nucleus_volume_um3, volume_vox, marker FROM nuclei, (VALUES ('Brd4'), ('DAPI'), ('Pol2'), ('Sc35')) t(marker) WHERE kept = 1),
 j AS (SELECT grid.*, coalesce(n_foci, 0) AS n_foci, coalesce(n_beads, 0) AS n_beads, coalesce(vol_mean, 0) AS vol_mean, coalesce(vol_median, 0) AS vol_median, vol_std, coalesce(foci_int, 0) AS fi,
