@@ -90,14 +90,15 @@ def connected_labels(edges: DataFrame) -> DataFrame:
     """``node``, ``label``: the smallest node of each connected set of an undirected edge table (``a``, ``b``).
 
     Rounds of taking the smallest neighbouring label and jumping to the label's own label; the
-    driver sees one count per round; labels only fall, so the rounds end.
+    driver sees one count per round; labels only fall, so the rounds end. The table of labels
+    isn't broadcast: rows with few different labels are many times their file's size in memory.
     """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        step = labels.join(near, "node").select("node", F.least("label", "m").alias("new"), "label")
-        jump = step.join(labels.select(F.col("node").alias("new"), F.col("label").alias("far")), "new", "left")
+        near = both.join(labels.withColumnRenamed("node", "b").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
+        step = labels.join(near.hint("merge"), "node").select("node", F.least("label", "m").alias("new"), "label")
+        jump = step.join(labels.select(F.col("node").alias("new"), F.col("label").alias("far")).hint("merge"), "new", "left")
         nxt = cut(jump.select("node", F.least("new", F.coalesce("far", "new")).alias("label"), (F.least("new", F.coalesce("far", "new")) != F.col("label")).alias("moved")))
         moved = nxt.where("moved").isEmpty()
         labels = nxt.select("node", "label")

@@ -109,13 +109,18 @@ def basins(v: DataFrame, key: list[str]) -> DataFrame:
 
 
 def components(mask: DataFrame, key: list[str], full: bool = False) -> DataFrame:
-    """``mask`` with ``label``: 1..N per key over connected voxels (6 neighbours, or 26), by first place."""
+    """``mask`` with ``label``: 1..N per key over connected voxels (6 neighbours, or 26), by first place.
+
+    Joins are merged, never broadcast: the planner takes shifted voxels for as small as the file of
+    the mask, and labels, of which few are different, are small on disk alone.
+    """
     node = F.struct(*[F.col(k) for k in key], *[F.col(c) for c in PLACE])
     here = mask.select(node.alias("n"), *key, *PLACE)
-    rows = _shifted(mask, key, around(full)).select(*key, *PLACE, F.struct(*[F.col(k) for k in key], *[F.col(f"from_{c}").alias(c) for c in PLACE]).alias("b"))
-    edges = here.join(rows, [*key, *PLACE]).where("n < b").select(F.col("n").alias("a"), "b")
+    back = [o for o in around(full) if o < (0, 0, 0)]  # each pair once, from its later voxel
+    rows = _shifted(mask, key, back).select(*key, *PLACE, F.struct(*[F.col(k) for k in key], *[F.col(f"from_{c}").alias(c) for c in PLACE]).alias("b"))
+    edges = here.join(rows.hint("merge"), [*key, *PLACE]).select(F.col("n").alias("a"), "b")
     labels = connected_labels(edges)
-    out = mask.withColumn("n", node).join(labels.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("label", "n")).drop("label", "n")
+    out = mask.withColumn("n", node).join(labels.withColumnRenamed("node", "n").hint("merge"), "n", "left").withColumn("root", F.coalesce("label", "n")).drop("label", "n")
     first = out.select(*key, "root").distinct().withColumn("label", F.dense_rank().over(Window.partitionBy(*key).orderBy("root")))
     return out.join(first, [*key, "root"]).drop("root")
 

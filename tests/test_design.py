@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spotframe.operators import cards, geometry, matrix, panel, voxels
+from spotframe.session import cut
 from spotframe.sources import files
 from spotframe.streaming import ingest
 
@@ -98,6 +99,21 @@ def test_components_basins_and_border(spark):
     assert {r.volume for r in p.collect()} == {3, 1} and [(r.cy, r.cx) for r in voxels.inner_labels(p, ["fov"]).collect()] == [(5.0, 5.0)]
 
 
+def test_components_broadcast_no_voxels(spark):
+    """26 shifts of a mask, and labels of one object, are far larger than the files that the planner sees."""
+    mask = cut(spark.range(30_000).selectExpr("1 fov", "cast(id % 2 as int) z", "cast(id div 2 % 500 * 2 as int) y", "cast(id div 1000 as int) x", "1.0D v"))
+    star = cut(spark.range(1, 300_000).selectExpr("0L a", "id b"))
+    try:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", "40m")  # a larger broadcast is an error; what is under 10m by its true size may take 32m
+        got = voxels.region_properties(voxels.components(mask, ["fov"], full=True), ["fov"]).orderBy("label").collect()
+        spark.conf.set("spark.sql.maxBroadcastTableSize", "8m")
+        labels = matrix.connected_labels(star).groupBy("label").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert [(r.label, r.volume, r.min_y, r.max_y, r.max_x) for r in got] == [(i + 1, 60, 2 * i, 2 * i, 29) for i in range(500)]
+    assert [tuple(r) for r in labels] == [(0, 300_000)]
+
+
 def test_labels_of_long_chains(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(100) if i % 10 != 9] + [(500, 500)], "a int, b int")
     got = {r.node: r.label for r in matrix.connected_labels(e).collect()}
